@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module of this subpackage that holds it
 MODULES = {
     "op2_bpe": "op2_bpe",
+    "op4_media": "op4_media",
 }
 
 
