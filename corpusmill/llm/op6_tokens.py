@@ -40,7 +40,7 @@ from .common import map_rows, rows_in_chunks, stored, table
 SHARD_TOKENS = 1 << 18
 BLOCK = 4096
 BITS = 16
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 MAGIC = b"WMTX0001"
 END_ID = 1
 
@@ -51,13 +51,37 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Recent:
+    """Codes by string in two generations: when the young one is full it becomes the old one
+    and what is used again moves up, so memory is bounded and frequent strings stay."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = wanted.difference(young)
+        if old:
+            for x in [x for x in out if x in old]:
+                young[x] = old[x]
+                out.remove(x)
+        return list(out)
+
+
 class Tokens:
     """The library's tokenizer behind a cache of white-space separated chunks.
 
     The vocabulary's normalizer and splitter never join anything across white space, so a
-    text's ids are those of its chunks.
+    text's ids are those of its chunks.  A new chunk of Latin-1 characters, which the
+    normalizer only lower-cases, is looked up again by its pieces; what is new then goes to
+    the library, many pieces in one call with a special token between them.
     """
 
+    #: Fixed value: the vocabulary's own split pattern.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -65,22 +89,48 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.pieces = _Recent(CACHE_CHUNKS), _Recent(CACHE_CHUNKS)
         self.chunk = regex.compile(r"\P{White_Space}+")
         self.odd = regex.compile(r"[\x1c-\x1f]")  # separators to str.split, not to the tokenizer
+        self.plain = regex.compile(r"[\x21-\x3b=-\x7e\xa1-\xac\xae-\xff]+")
+        self.piece = regex.compile(self.PIECES)
+        self.between = "<|startoftext|>"
+        self.between_id = self.tokenizer.token_to_id(self.between)
 
     def split(self, text: str) -> list[str]:
         return self.chunk.findall(text) if self.odd.search(text) else text.split()
 
+    def _ask(self, strings: list[str]) -> list[bytes]:
+        """Codes of strings that hold no special token."""
+        out = []
+        for at in range(0, len(strings), 4096):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(strings[at : at + 4096])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.between_id)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        known, plain = self.chunks.young, self.plain.fullmatch
+        easy, hard = [], []
+        for c in new:
+            (easy if plain(c) else hard).append(c)
+        for c, code in zip(hard, self.tokenizer.encode_batch(hard, add_special_tokens=False), strict=True):
+            known[c] = struct.pack(f"<{len(code.ids)}I", *code.ids)
+        cut = list(map(self.piece.findall, map(str.lower, easy)))
+        unknown = self.pieces.missing(set().union(*cut)) if cut else []
+        pieces = self.pieces.young
+        if unknown:
+            pieces.update(zip(unknown, self._ask(unknown), strict=True))
+        for c, parts in zip(easy, cut, strict=True):
+            known[c] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(t) for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        if new := list(set().union(*parts) - known.keys()):
-            for chunk, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[chunk] = struct.pack(f"<{len(code.ids)}I", *code.ids)
+        if new := self.chunks.missing(set().union(*parts)):
+            self._learn(new)
+        known = self.chunks.young
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 

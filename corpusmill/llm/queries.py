@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op2_bpe": "op2_bpe",
     "op4_media": "op4_media",
+    "op6_tokens": "op6_tokens",
 }
 
 
