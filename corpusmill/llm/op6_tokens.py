@@ -154,7 +154,7 @@ def shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
         for at in range(0, len(raw), BLOCK):
             plain = raw[at : at + BLOCK].tobytes()
             small = squeeze(plain)
-            blocks.append(min(small, plain, key=len))
+            blocks.append(small if len(small) < len(plain) else plain)
             sizes.append(len(blocks[-1]))
         planes.append(struct.pack("<I", int(len(ids) - bit.sum())) + np.array(ones, "<u4").tobytes() + np.array(sizes, "<u4").tobytes())
     return MAGIC + struct.pack("<IIII", len(doc_ids), len(ids), BITS, len(head)) + head + b"".join(planes) + b"".join(blocks)
