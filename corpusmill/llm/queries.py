@@ -9,6 +9,7 @@ MODULES = {
     "op2_bpe": "op2_bpe",
     "op4_media": "op4_media",
     "op6_tokens": "op6_tokens",
+    "op8_toxicity": "op8_toxicity",
     "op9_quality": "op9_quality",
 }
 
