@@ -36,7 +36,7 @@ from .hashing import WORD_BYTE, as_bytes, mix, word_hashes
 from .labelled import held_out, training_rows
 
 SLOTS = 1 << 20
-PER_CLASS = 3000
+PER_CLASS = 2000
 WINDOW = 6
 #: Times the root of a count that is taken off it.
 DISCOUNT = 2.0

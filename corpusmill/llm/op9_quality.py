@@ -28,7 +28,7 @@ from .hashing import BLANK_BYTE, as_bytes, gram_hashes, word_hashes
 from .labelled import held_out, training_rows
 
 BUCKETS, DIM = 1 << 17, 12
-PER_CLASS, EPOCHS, RATE, SEED = 2500, 6, 0.5, 7
+PER_CLASS, EPOCHS, RATE, SEED = 1500, 6, 0.5, 7
 THRESHOLD = 0.3
 #: The word feature that stands for a word said again, whichever it is (as heavy as eight others).
 REPEATED = np.uint64(0x5EED)
@@ -51,9 +51,13 @@ def counted(rows: DataFrame) -> list:
         pairs = [np.unique(features(t), return_counts=True) for t in chunk.column(0).to_pylist()]
         return [chunk.column(1), [a for a, _ in pairs], [n.astype(np.float32) for _, n in pairs]]
 
-    got = map_rows(rows, ["text", "label"], "label int, bucket array<int>, n array<float>", work).toPandas()
-    out = [(int(y), np.asarray(b, np.int64), np.asarray(n, np.float32)) for y, b, n in got.itertuples(index=False)]
-    return sorted(out, key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
+    got = map_rows(rows, ["text", "label"], "label int, bucket array<int>, n array<float>", work).toArrow().combine_chunks()
+    bucket, n = (got[c].combine_chunks() if got.num_rows else None for c in ("bucket", "n"))
+    out = []
+    for i, y in enumerate(got["label"].to_pylist()):
+        a, b = bucket.offsets[i].as_py(), bucket.offsets[i + 1].as_py()
+        out.append((y, bucket.values[a:b].to_numpy(), n.values[a:b].to_numpy()))
+    return sorted(out, key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes(), x[2][:64].tobytes()))
 
 
 class SubwordClassifier:
