@@ -11,8 +11,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, label) of at most per_class rows of each class, and the counts of the classes
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(text, label) of at most per_class[k] rows of class k, and the counts of the classes
     among all rows that may be learnt from.
 
     The rows are those with the smallest hash of the id, so the choice depends neither on the
@@ -23,7 +23,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = None
     for k in (0, 1):
-        part = fair.where(F.col("label") == k).orderBy(*order).limit(per_class)
+        part = fair.where(F.col("label") == k).orderBy(*order).limit(per_class[k])
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").where(F.col("text").isNotNull()).select("text", "label")
     return rows, totals

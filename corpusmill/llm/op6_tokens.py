@@ -28,19 +28,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_in_chunks, stored, table
+from .common import map_rows, stored, table
+from .hashing import BLANK_BYTE, word_hashes
 
 #: Ids after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 1 << 18
 BLOCK = 4096
 BITS = 16
-CACHE_CHUNKS = 400_000
+#: Chunks of text whose ids a worker keeps (about 40 bytes each).
+CACHE_CHUNKS = 3_000_000
+#: Text that is tokenized at a time.
+BATCH_BYTES = 4 << 20
 MAGIC = b"WMTX0001"
 END_ID = 1
 
@@ -51,37 +54,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Recent:
-    """Codes by string in two generations: when the young one is full it becomes the old one
-    and what is used again moves up, so memory is bounded and frequent strings stay."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        out = wanted.difference(young)
-        if old:
-            for x in [x for x in out if x in old]:
-                young[x] = old[x]
-                out.remove(x)
-        return list(out)
-
-
 class Tokens:
-    """The library's tokenizer behind a cache of white-space separated chunks.
+    """The library's tokenizer behind a table of chunks, for whole batches of texts.
 
     The vocabulary's normalizer and splitter never join anything across white space, so a
-    text's ids are those of its chunks.  A new chunk of Latin-1 characters, which the
-    normalizer only lower-cases, is looked up again by its pieces; what is new then goes to
-    the library, many pieces in one call with a special token between them.
+    text's ids are those of its chunks between ASCII white space.  Chunks are known by the
+    64-bit hash of their bytes in a sorted array; new ones go to the library, many in one
+    call with a special token between them (which it cuts out before all else).
     """
 
-    #: Fixed value: the vocabulary's own split pattern.
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -89,49 +70,69 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks, self.pieces = _Recent(CACHE_CHUNKS), _Recent(CACHE_CHUNKS)
-        self.chunk = regex.compile(r"\P{White_Space}+")
-        self.odd = regex.compile(r"[\x1c-\x1f]")  # separators to str.split, not to the tokenizer
-        self.plain = regex.compile(r"[\x21-\x3b=-\x7e\xa1-\xac\xae-\xff]+")
-        self.piece = regex.compile(self.PIECES)
-        self.between = "<|startoftext|>"
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.between = self.specials[0]
         self.between_id = self.tokenizer.token_to_id(self.between)
-
-    def split(self, text: str) -> list[str]:
-        return self.chunk.findall(text) if self.odd.search(text) else text.split()
-
-    def _ask(self, strings: list[str]) -> list[bytes]:
-        """Codes of strings that hold no special token."""
-        out = []
-        for at in range(0, len(strings), 4096):
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(strings[at : at + 4096])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.between_id)).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        known, plain = self.chunks.young, self.plain.fullmatch
-        easy, hard = [], []
-        for c in new:
-            (easy if plain(c) else hard).append(c)
-        for c, code in zip(hard, self.tokenizer.encode_batch(hard, add_special_tokens=False), strict=True):
-            known[c] = struct.pack(f"<{len(code.ids)}I", *code.ids)
-        cut = list(map(self.piece.findall, map(str.lower, easy)))
-        unknown = self.pieces.missing(set().union(*cut)) if cut else []
-        pieces = self.pieces.young
-        if unknown:
-            pieces.update(zip(unknown, self._ask(unknown), strict=True))
-        for c, parts in zip(easy, cut, strict=True):
-            known[c] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in texts]
-        if new := self.chunks.missing(set().union(*parts)):
-            self._learn(new)
-        known = self.chunks.young
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        self.key = np.zeros(0, np.uint64)
+        self.at, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.turn = np.zeros(0, np.uint32), 0
+
+    def ask(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in a row, and how many each has."""
+        marked = [i for i, c in enumerate(chunks) if "<" in c and any(x in c for x in self.specials)]
+        if marked:
+            codes = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in chunks]
+            return np.concatenate(codes), np.array([len(c) for c in codes])
+        ids, sizes = [], []
+        for k in range(0, len(chunks), 4096):
+            got = np.array(self.tokenizer.encode_batch_fast([self.between.join(chunks[k : k + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(got == self.between_id)
+            sizes.append(np.diff(np.concatenate(([-1], cut, [len(got)]))) - 1)
+            ids.append(np.delete(got, cut))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        if len(self.key) and len(self.key) + len(keys) > CACHE_CHUNKS:  # forget what was not used of late
+            keep = (self.used == self.turn) | (self.used >= np.median(self.used)) & (self.used > self.turn - 64)
+            self.key, self.used, size = self.key[keep], self.used[keep], self.size[keep]
+            self.pool = self.pool[spread(self.at[keep], size)]
+            self.at, self.size = np.cumsum(size) - size, size
+        ids, size = self.ask(chunks)
+        to = np.searchsorted(self.key, keys)
+        self.key = np.insert(self.key, to, keys)
+        self.at = np.insert(self.at, to, len(self.pool) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, to, size)
+        self.used = np.insert(self.used, to, self.turn)
+        self.pool = np.concatenate((self.pool, ids))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the texts in a row, and how many each has."""
+        self.turn += 1
+        parts = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join(parts), np.uint8)
+        text_end = np.cumsum([len(x) + 1 for x in parts]) - 1
+        hashes, start, end = word_hashes(raw, ~BLANK_BYTE[raw])
+        if not len(hashes):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        to = np.searchsorted(self.key, keys)
+        new = np.ones(len(keys), bool) if not len(self.key) else self.key[np.minimum(to, len(self.key) - 1)] != keys
+        if new.any():
+            self.used[to[~new]] = self.turn
+            data = raw.tobytes()
+            self.learn(keys[new], [data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            to = np.searchsorted(self.key, keys)
+        self.used[to] = self.turn
+        size = self.size[to][inverse]
+        ids = self.pool[spread(self.at[to][inverse], size)]
+        upto = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, text_end)]
+        return ids, np.diff(np.concatenate(([0], upto)))
+
+
+def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes of the runs that begin at at and have the sizes."""
+    end = np.cumsum(size)
+    return np.repeat(at - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +150,7 @@ def shard(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
         bit = (v & np.uint16(1 << (BITS - 1 - level))) != 0
         raw = np.packbits(bit)
         ones = np.concatenate(([0], np.bitwise_count(raw).cumsum(dtype=np.int64)[BLOCK - 1 :: BLOCK]))[: -(-len(raw) // BLOCK)]
-        v = np.concatenate((v[~bit], v[bit]))
+        v = np.concatenate((np.compress(~bit, v), np.compress(bit, v)))
         sizes = []
         for at in range(0, len(raw), BLOCK):
             plain = raw[at : at + BLOCK].tobytes()
@@ -240,40 +241,50 @@ class WaveletMatrix:
             raw = np.frombuffer(b"".join(self.block(level, k) for k in range(self.count)), np.uint8)
             bit = np.unpackbits(raw, count=self.n).view(bool)
             up, zeros = np.empty_like(v), self.zeros[level]
-            up[~bit] = v[:zeros]
-            up[bit] = v[zeros:] | np.uint16(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~bit)] = v[:zeros]
+            up[np.flatnonzero(bit)] = v[zeros:] | np.uint16(1 << (self.bits - 1 - level))
             v = up
         return v
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about BATCH_BYTES of text each."""
+    for batch in batches:
+        rows = max(1, int(BATCH_BYTES / max(batch.nbytes / max(batch.num_rows, 1), 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards to the shared folder; returns the table of them, as read again."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = _tokens(spec.value), TaskContext.get().partitionId()
-        seq = start = size = 0
-        doc_ids, codes = [], []
+        seq = start = 0
+        doc_ids, lengths, codes, held = [], [], [], 0
 
         def closed():
-            ids = np.frombuffer(b"".join(codes), "<u4")
+            ids = np.concatenate(codes)
             if len(ids) and ids.max() >= 1 << BITS:
                 raise ValueError(f"an id needs more than {BITS} bits")
-            image = shard(doc_ids, [len(c) // 4 for c in codes], ids)
+            image = shard(doc_ids, lengths, ids)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "start_in_part": pa.array([start], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "payload": pa.array([image], pa.binary())})
 
-        for chunk in rows_in_chunks(batches):
-            for d, code in zip(chunk.column(0).to_pylist(), tokens.encode_all([t or "" for t in chunk.column(1).to_pylist()]), strict=True):
+        for chunk in by_bytes(batches):
+            ids, size = tokens.encode_all([t or "" for t in chunk.column(1).to_pylist()])
+            ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
+            done = 0
+            for d, n in zip(chunk.column(0).to_pylist(), size.tolist(), strict=True):
                 doc_ids.append(d)
-                codes.append(code + end)
-                size += len(code) // 4 + 1
-                if size >= shard_tokens:
+                lengths.append(n)
+                codes.append(ids[done : done + n])
+                done, held = done + n, held + n
+                if held >= shard_tokens:
                     yield closed()
-                    seq, start, size = seq + 1, start + size, 0
-                    doc_ids.clear()
-                    codes.clear()
+                    seq, start, held = seq + 1, start + held, 0
+                    doc_ids.clear(), lengths.clear(), codes.clear()
         if doc_ids:
             yield closed()
 

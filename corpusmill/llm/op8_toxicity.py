@@ -14,7 +14,7 @@ cross-fitted (each half of the labelled rows is scored by models of the other ha
 Words are runs of letters and digits, lower-cased.  The class models know words and pairs by
 64-bit hashes; the shared order lies in a table of fixed size (SLOTS), where a collision can
 only smooth a little more.
-The models are fitted on at most PER_CLASS labelled rows of each class (documented
+The models are fitted on at most PER_CLASS labelled rows of the classes (documented
 parameter); the corpus counts cover every document.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; without
@@ -36,10 +36,12 @@ from .hashing import WORD_BYTE, as_bytes, mix, word_hashes
 from .labelled import held_out, training_rows
 
 SLOTS = 1 << 20
-PER_CLASS = 2000
+PER_CLASS = (1500, 2500)
 WINDOW = 6
 #: Times the root of a count that is taken off it.
 DISCOUNT = 2.0
+#: Of the logistic regression.
+RIDGE = 0.1
 
 
 def words(text: str) -> np.ndarray:
@@ -154,14 +156,14 @@ def evidence(h: np.ndarray, toxic: ClassModel, plain: ClassModel) -> tuple[float
     return float(d.mean()), float((total[size:] - total[:-size]).max() / WINDOW), float((one_t - one_p).max())
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Weights (the last for the constant) by Newton's method with a small ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights (the last for the constant) by Newton's method with a ridge."""
     a = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 1e-3 * w
-        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(len(w)), grad)
+        grad = a.T @ (p - y) + RIDGE * w
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w)), grad)
     return w
 
 
@@ -195,14 +197,17 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> ToxicityModel:
     rows, totals = training_rows(docs, labels, label, per_class)
 
     def work(chunk):
         return [chunk.column(1), [words(t).view(np.int64) for t in chunk.column(0).to_pylist()]]
 
-    got = map_rows(rows, ["text", "label"], "label int, words array<long>", work).toPandas()
-    learnt = sorted(((np.asarray(w, np.int64).view(np.uint64), int(y)) for y, w in got.itertuples(index=False)), key=lambda r: (r[1], mix(r[0][:8]).tobytes(), len(r[0])))
+    got = map_rows(rows, ["text", "label"], "label int, words array<long>", work).toArrow().combine_chunks()
+    flat = got["words"].combine_chunks() if got.num_rows else None
+    at = flat.offsets.to_pylist() if got.num_rows else []
+    learnt = [(flat.values[at[i] : at[i + 1]].to_numpy().view(np.uint64), y) for i, y in enumerate(got["label"].to_pylist())]
+    learnt.sort(key=lambda r: (r[1], len(r[0]), r[0][:64].tobytes()))
     return ToxicityModel.fit(learnt, totals, corpus_counts(docs))
 
 

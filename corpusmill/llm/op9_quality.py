@@ -4,7 +4,7 @@ A document is the average of learned vectors of its features: hashed words and h
 character n-grams (3 to 5 bytes, with word edges), and a
 feature for a word that follows itself.  A softmax over the average gives the
 class.  Vectors and output weights are learned together by stochastic gradient descent in
-numpy, on the driver, from a bounded sample of labelled rows (PER_CLASS rows of each class,
+numpy, on the driver, from a bounded sample of labelled rows (PER_CLASS rows of the classes,
 documented parameter) whose features the executors count.  As the output is linear in the
 average, each feature's share of the logit is known after training: executors score whole
 documents with one table look-up a feature.
@@ -28,7 +28,7 @@ from .hashing import BLANK_BYTE, as_bytes, gram_hashes, word_hashes
 from .labelled import held_out, training_rows
 
 BUCKETS, DIM = 1 << 17, 12
-PER_CLASS, EPOCHS, RATE, SEED = 1500, 6, 0.5, 7
+PER_CLASS, EPOCHS, RATE, SEED = (1500, 1500), 6, 0.5, 7
 THRESHOLD = 0.3
 #: The word feature that stands for a word said again, whichever it is (as heavy as eight others).
 REPEATED = np.uint64(0x5EED)
@@ -102,7 +102,7 @@ class SubwordClassifier:
         return float(1 / (1 + np.exp(-z)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> SubwordClassifier:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> SubwordClassifier:
     rows, totals = training_rows(docs, labels, label, per_class)
     return SubwordClassifier.fit(counted(rows), totals)
 
