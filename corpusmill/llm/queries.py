@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that holds it
 MODULES = {
+    "op1_decontaminate": "op1_decontaminate",
     "op2_bpe": "op2_bpe",
     "op4_media": "op4_media",
     "op6_tokens": "op6_tokens",
