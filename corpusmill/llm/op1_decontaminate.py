@@ -105,6 +105,10 @@ def hit_spans(w: Column, windows: Windows) -> Column:
     return F.concat(*parts) if parts else F.array().cast(SPANS)
 
 
+def runs_of(w: Column, n: int):
+    return lambda s: F.struct(s.alias("s"), F.lit(n).alias("l"), run_text(w, s, n).alias("window"))
+
+
 def covered(spans: Column) -> Column:
     """Number of words inside any span."""
     zero = F.struct(F.lit(1).alias("end"), F.lit(0).alias("n"))
@@ -129,7 +133,8 @@ def contamination(docs: DataFrame, windows: Windows, id_col: str = "doc_id", tex
         grouped = hits.groupBy("_row", "_id", "n_words", "n_hit").agg(F.flatten(F.collect_set("items")).alias("items"))
     else:
         w = F.col("_w")
-        runs = F.concat(*(F.transform(starts(w, n), lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("l"), run_text(w, s, n).alias("window"))) for n in range(1, WINDOW + 1) if n == WINDOW or windows.table.where(F.col("l") == n).limit(1).count()))
+        lengths = sorted(r["l"] for r in windows.table.select("l").distinct().collect())  # 13 at most
+        runs = F.concat(*(F.transform(starts(w, n), runs_of(w, n)) for n in lengths))
         spread = row.withColumn("_w", words(F.col("_text"))).select("_row", "_id", F.size("_w").alias("n_words"), F.explode_outer(runs).alias("x")).select("_row", "_id", "n_words", F.col("x.s").alias("s"), F.col("x.l").alias("l"), F.col("x.window").alias("window"))
         hits = spread.join(windows.table.select("window", "items"), "window", "left")
         grouped = hits.groupBy("_row", "_id", "n_words").agg(F.flatten(F.collect_set("items")).alias("items"), covered(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("s", "l")))).alias("n_hit"))

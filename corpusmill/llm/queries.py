@@ -12,6 +12,7 @@ MODULES = {
     "op6_tokens": "op6_tokens",
     "op8_toxicity": "op8_toxicity",
     "op9_quality": "op9_quality",
+    "op10_pii": "op10_pii",
 }
 
 
