@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_decontaminate": "op1_decontaminate",
     "op2_bpe": "op2_bpe",
+    "op3_jaccard": "op3_jaccard",
     "op4_media": "op4_media",
     "op6_tokens": "op6_tokens",
     "op8_toxicity": "op8_toxicity",
