@@ -11,6 +11,7 @@ MODULES = {
     "op3_jaccard": "op3_jaccard",
     "op4_media": "op4_media",
     "op6_tokens": "op6_tokens",
+    "op7_substrings": "op7_substrings",
     "op8_toxicity": "op8_toxicity",
     "op9_quality": "op9_quality",
     "op10_pii": "op10_pii",
