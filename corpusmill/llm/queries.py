@@ -10,6 +10,7 @@ MODULES = {
     "op2_bpe": "op2_bpe",
     "op3_jaccard": "op3_jaccard",
     "op4_media": "op4_media",
+    "op5_html": "op5_html",
     "op6_tokens": "op6_tokens",
     "op7_substrings": "op7_substrings",
     "op8_toxicity": "op8_toxicity",
