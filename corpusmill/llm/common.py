@@ -65,3 +65,14 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType | str, work
 
     parsed = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     return df.select(*columns).mapInArrow(run, parsed)
+
+
+def filter_rows(df: DataFrame, column: str, keep: Callable) -> DataFrame:
+    """The rows of df for which keep(values of one column) says so, with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in rows_in_chunks(batches):
+            yield chunk.filter(pa.array(keep(chunk.column(at).to_pylist()), pa.bool_()))
+
+    at = df.columns.index(column)
+    return df.mapInArrow(run, df.schema)

@@ -221,23 +221,25 @@ def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     return map_rows(encoded, [id_col, ids_col], f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, text string", work)
 
 
-def bpe_round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The kept columns, n_tokens, digests of the ids and of the text decoded from them.  The
-    ids go no further than the worker: what leaves it is 150 bytes a document."""
+def bpe_round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """The kept columns, n_tokens, digests of the ids and of the text decoded from them, and,
+    if asked for, the ids.  Else these go no further than the worker: what leaves it is 150
+    bytes a document."""
     spec = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
 
     def work(chunk):
         codec = _codec(spec.value)
-        n, ids_sha, text_sha = [], [], []
+        n, ids_sha, text_sha, all_ids = [], [], [], []
         for t in chunk.column(len(keep)).to_pylist():
             ids = codec.encode(t or "")
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(codec.listed(ids).encode()).hexdigest())
             text_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-        return [*(chunk.column(i) for i in range(len(keep))), n, ids_sha, text_sha]
+            all_ids.append(ids.astype(np.int32))
+        return [*(chunk.column(i) for i in range(len(keep))), n, ids_sha, text_sha, *([all_ids] if with_ids else [])]
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_rows(docs, [*keep, text_col], f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return map_rows(docs, [*keep, text_col], f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, work)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import filter_rows, map_rows, table
 from .hashing import BLANK_BYTE, as_bytes, gram_hashes, word_hashes
 from .labelled import held_out, training_rows
 
@@ -120,6 +120,17 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, keep: list[str], te
     return map_rows(docs, [*keep, text_col], f"{kept}, score double", work)
 
 
+def keep_quality(docs: DataFrame, model: SubwordClassifier, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score at least the threshold; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.share, model.bias))
+
+    def good(texts: list) -> list[bool]:
+        model = SubwordClassifier(*shared.value)
+        return [model.score(t or "") >= threshold for t in texts]
+
+    return filter_rows(docs, text_col, good)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
