@@ -44,6 +44,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, whatever the length of the texts: a JVM task and its
+    Python worker hold a few batches at a time, and executors have little room beside the heap."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def rows_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, small enough to turn into Python objects."""
     for batch in batches:
@@ -63,6 +70,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType | str, work
                 out = work(chunk)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
+    small_batches(df.sparkSession)
     parsed = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     return df.select(*columns).mapInArrow(run, parsed)
 
@@ -74,5 +82,6 @@ def filter_rows(df: DataFrame, column: str, keep: Callable) -> DataFrame:
         for chunk in rows_in_chunks(batches):
             yield chunk.filter(pa.array(keep(chunk.column(at).to_pylist()), pa.bool_()))
 
+    small_batches(df.sparkSession)
     at = df.columns.index(column)
     return df.mapInArrow(run, df.schema)

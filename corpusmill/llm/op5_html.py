@@ -33,7 +33,7 @@ from .common import map_rows, table
 
 PATH, LEAF, WORDS, NUMBERS, HIDDEN = 160, 32, 24, 6, 24
 INPUT = PATH + LEAF + WORDS + NUMBERS
-TRAIN_PAGES, EPOCHS, RATE, SEED, SAMPLE_PAGES = 1500, 10, 4e-3, 11, 200
+TRAIN_PAGES, EPOCHS, RATE, SEED, SAMPLE_PAGES = 1200, 10, 4e-3, 11, 200
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -130,7 +130,7 @@ def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
         out[i, : PATH + LEAF] = _path_vector(path)
         n = np.bincount([zlib.crc32(w.encode()) % WORDS for w in own], minlength=WORDS)
         out[i, PATH + LEAF : -NUMBERS] = n / len(own)
-        out[i, -NUMBERS:] = (np.log1p(len(text)) / 8, linked / len(text), i / len(found), len(path) / 10, sum(map(text.count, ".,;!?")) / len(own), 1)
+        out[i, -NUMBERS:] = (np.log1p(len(text)) / 8, linked / len(text), i / len(found), len(path) / 10, min(sum(map(text.count, ".,;!?")) / len(own), 1.0), 1)
     return out
 
 
@@ -305,7 +305,7 @@ class Grammar:
         own = lambda a, b: re.sub(r"(\S+)", "\x01\\1", self.said(a, b))
         loose = self.rng.random() < 0.4
         out = [f"<h1>{own(2, 12)}</h1>"] if self.rng.random() < 0.85 else []
-        for _ in range(int(self.rng.integers(1, 16))):
+        for _ in range(int(self.rng.integers(1, 16) if self.rng.random() < 0.85 else self.rng.integers(16, 160))):
             kind = self.rng.random()
             if kind < 0.62:
                 out.append(f"<p>{own(1, 90)}</p>")
