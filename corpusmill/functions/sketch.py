@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .text import TR_WORD, norm_text
 
@@ -16,7 +17,7 @@ def simhash_tokens(x: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(norm_text(x), f"[^{TR_WORD}]", " "), " +"), lambda t: F.length(t) >= 2)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _votes(tokens: pd.Series) -> pd.Series:
     """Signed 64-bit SimHash: each token's md5 halves, folded, vote on every bit."""
     out = []
