@@ -19,7 +19,12 @@ Candidates.  Rows that share a signature form a bucket.  Instead of all pairs, e
 takes leaders and compares them with the members that they aren't linked with so far; what is
 verified is contracted into components, and a bucket is done when its members that never led
 lie in one component, so no link between different components is lost however large the
-bucket.  The number of leaders a bucket doubles each round.
+bucket.  The leaders of a bucket become four times
+as many each round; small buckets are compared at once.
+
+Before a pair is verified, its sizes and the sets' parity sketches (512 bits; d differing
+members change at most d of them) must leave room for similarity: most pairs of unlike sets
+that share a bucket end there, inside the join.
 
 Verification.  Sets are made again from the texts and compared exactly; a leader's text is
 read once for a salted part of its partners, which stream past it.
@@ -51,6 +56,12 @@ from .hashing import BLANK_BYTE, as_bytes, mix, word_hashes
 SHINGLE, SIMILAR = 4, 85
 #: Chance that a set's segments don't suffice, from which a plan counts as good.
 RARE = 1e-6
+#: Mean members of a segment below which full signatures are no choice.
+LEAST_MEMBERS = 2.2
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 8
+#: Buckets up to this size are compared at once; larger ones by leaders.
+SMALL = 6
 #: Ids that may be broadcast (16 MB); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Partners of a leader that one task reads.
@@ -125,7 +136,7 @@ class Plan:
         need, half = differ + 1, -(-(differ + 1) // 2)
         choices = []
         for m in range(need, 2 * need + 12):
-            if _short(m, need, low) <= RARE and (low >= 3.2 * m or differ == 0):
+            if _short(m, need, low) <= RARE and (low >= LEAST_MEMBERS * m or differ == 0):
                 spare = (m - need) // 2
                 choices += [(m - spare, m, False)]
         for m in range(half, 2 * half + 12):
@@ -178,19 +189,37 @@ def _plan(percent: int) -> Plan:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """A row a document: id, n_shingles, digest and signatures; written to the shared folder."""
+    """A row a document: id, number of the row, n, digest and signatures; written to the shared folder."""
 
     def work(chunk):
         plan, out = _plan(percent), []
-        for t in chunk.column(1).to_pylist():
+        for t in chunk.column(2).to_pylist():
             s = shingles(t or "", size)
             out.append((len(s), *digest(s), *plan.signatures(s)))
-        return [chunk.column(0), *map(list, zip(*out, strict=True))]
+        return [chunk.column(0), chunk.column(1), *map(list, zip(*out, strict=True))]
 
-    found = map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], "doc_id long, n int, d1 long, d2 long, sigs array<long>, empty array<long>, needed array<long>", work)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    found = map_rows(rows, ["doc_id", "row", "text"], "doc_id long, row long, n int, d1 long, d2 long, sigs array<long>, empty array<long>, needed array<long>", work)
     return stored(found, "sets")
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """Parity of the members at each of 512 places: sets that differ in d members differ in at
+    most d bits."""
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
+def may_be_similar(percent: int):
+    """Whether sizes and sketches of the two sides (…_a, …_b) leave room for similarity."""
+    total = F.col("n_a") + F.col("n_b")
+    most = total - 2 * F.ceil(total * percent / (100 + percent))
+    apart = F.lit(0)
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b")))
+    return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (apart <= most)
+
+
 def same(a: str, b: str):
     return F.col(a) == F.col(b)
 
@@ -248,54 +277,62 @@ def keyed(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, col, how)
 
 
+def sided(df: DataFrame, side: str, keep: tuple[str, ...]) -> DataFrame:
+    return df.select(*keep, *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep))
+
+
 def class_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough to connect all that are linked."""
+    """Links (a, b) between classes, enough to connect all that are linked.
+
+    classes: cls, rep (the id of a document of the class); rows: cls, sigs, empty, needed.
+    """
     spark = docs.sparkSession
-    spread = rows.select(F.col("cls"), F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    active = stored(spread.withColumn("c", F.count("*").over(bucket)).where("c > 1").select("sig", "cls"), "buckets")
+    spread = rows.select(F.explode("sigs").alias("sig"), "cls")
+    active = stored(spread.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"), "buckets")
     short = rows.where(F.size("needed") > 0).select(F.col("cls").alias("a"), F.explode("needed").alias("key"))
-    lonely = None
+    wanted, lonely = active.select("cls"), None
     if not short.isEmpty():
         lonely = stored(short.join(rows.select(F.col("cls").alias("b"), F.explode("empty").alias("key")), "key").where("a <> b").select("a", "b").distinct(), "short")
-    wanted = active.select("cls").distinct()
-    if lonely is not None:
-        wanted = wanted.unionByName(lonely.select(F.col("a").alias("cls"))).unionByName(lonely.select(F.col("b").alias("cls"))).distinct()
-    nodes = stored(classes.join(wanted, "cls", "left_semi").select("cls", "rep", "n"), "nodes")
-
-    def recheck(chunk):
-        keep = [digest(shingles(t or "", size))[0] == c for c, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True)]
-        return [x.filter(pa.array(keep)) for x in (chunk.column(0), chunk.column(1))]
-
-    reps = nodes.select(F.col("rep").alias("_rep")).distinct()
-    some = keyed(docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("text")), reps, "_rep", "left_semi")
-    texts = stored(map_rows(some.join(nodes.select(F.col("rep").alias("_rep"), "cls"), "_rep").select("cls", "text"), ["cls", "text"], "cls long, text string", recheck).dropDuplicates(["cls"]), "texts")
-
-    weights = active.groupBy("sig").agg(F.count("*").alias("c")).join(active, "sig").groupBy("cls").agg(F.sum("c").alias("w"))
-    members = stored(active.join(weights, "cls").join(nodes.select("cls", "n"), "cls").select("sig", "cls", "n", "w"), "members")
-    done = spark.createDataFrame([], "sig long, cls long")
+        wanted = wanted.unionByName(lonely.select(F.col("a").alias("cls"))).unionByName(lonely.select(F.col("b").alias("cls")))
+    reps = stored(classes.join(wanted.distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("_rep")), "nodes")
+
+    def again(chunk):
+        out = []
+        for c, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
+            s = shingles(t or "", size)
+            if digest(s)[0] == c:  # a repeated id may bring another text
+                out.append((c, t, len(s), *sketch(s)))
+        return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(3 + SKETCH)]
+
+    some = keyed(docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("text")), reps.select("_rep").distinct(), "_rep", "left_semi")
+    columns = ", ".join(["cls long, text string, n int", *(f"k{i} long" for i in range(SKETCH))])
+    texts = stored(map_rows(some.join(reps, "_rep"), ["cls", "text"], columns, again).dropDuplicates(["cls"]), "texts")
+    facts = texts.drop("text")
+
+    weights = active.groupBy("cls").agg(F.sum("c").alias("w"))
+    members = stored(active.join(weights, "cls").join(facts, "cls"), "members")
     links = None if lonely is None else stored(verified(lonely, texts, size, percent), "verified")
-    roots, leaders_now = (None if links is None else contracted(links)), 1
+    roots = None if links is None else contracted(links)
+    leaders_now = 1
     while True:
-        now = members if roots is None else members.join(roots, same("cls", "node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-        now = now.withColumn("root", F.col("cls")) if roots is None else now
-        now = now.join(done, ["sig", "cls"], "left_anti")
+        # members: those that have not led yet, in buckets that aren't done
+        now = members.withColumn("root", F.col("cls")) if roots is None else members.join(roots, same("cls", "node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
         groups = now.groupBy("sig", "root").agg(F.count("*").alias("k"))
         main = groups.groupBy("sig").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1").drop("roots")
-        if roots is None:  # nothing is linked yet: the member with most company leads
-            main = main.withColumn("main", F.lit(None).cast("long"))
-        members = stored(now.drop("root").join(main.select("sig"), "sig", "left_semi"), "members")
-        open_ = stored(now.join(main, "sig"), "open")
+        open_ = now.join(main, "sig").withColumn("outside", F.col("root") != F.col("main") if roots is not None else F.lit(True))
+        order = Window.partitionBy("sig", "outside").orderBy(F.desc("w"), "cls")
+        open_ = stored(open_.withColumn("leads", F.col("outside") & ((F.row_number().over(order) <= leaders_now) | (F.col("c") <= SMALL))).drop("outside", "main"), "open")
         if open_.isEmpty():
             break
-        order = Window.partitionBy("sig").orderBy(F.desc("w"), "cls")
-        lead = stored(open_.where(F.col("main").isNull() | (F.col("root") != F.col("main"))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders_now).select("sig", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")), "leaders")
-        met = lead.join(open_.select("sig", F.col("cls").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b")), "sig").where("root_a <> root_b").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-        pairs = stored(met.select("a", "b").distinct(), "pairs")
-        found = stored(verified(pairs, texts, size, percent), "verified")
-        links = found if links is None else stored(links.unionByName(found), "verified")
-        done = stored(done.unionByName(lead.select("sig", F.col("a").alias("cls"))), "done")
-        roots, leaders_now = contracted(links), leaders_now * 2
+        lead = sided(open_.where("leads").drop("leads", "w", "c"), "a", ("sig",))
+        other = sided(open_.drop("w", "c"), "b", ("sig",))
+        new = (F.col("root_a") != F.col("root_b")) & (~F.col("leads_b") | (F.col("cls_a") < F.col("cls_b")))
+        met = lead.join(other, (lead["sig"] == other["sig"]) & new & may_be_similar(percent))
+        pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+        found = stored(verified(stored(pairs, "pairs"), texts, size, percent), "verified")
+        links = found if links is None else links.unionByName(found)
+        members = open_.where("NOT leads").drop("leads", "root")
+        roots, leaders_now = contracted(links), leaders_now * 4
     return links if links is not None else spark.createDataFrame([], "a long, b long")
 
 
@@ -303,9 +340,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id) for each row of docs."""
     found = sets(docs, id_col, text_col, size, percent)
     linked = found.where("n > 0 AND doc_id IS NOT NULL")
-    firsts = stored(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("empty").alias("empty"), F.first("needed").alias("needed")).withColumnRenamed("d1", "cls"), "classes")
-    classes = firsts.select("cls", "d2", "rep", "n")
-    links = class_links(docs, classes, firsts.select("cls", "sigs", "empty", "needed"), id_col, text_col, size, percent)
+    classes = stored(linked.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.count("*").alias("k")).select(F.col("d1").alias("cls"), "d2", F.col("x.doc_id").alias("rep"), F.col("x.row").alias("row"), "k"), "classes")
+    # Of each class one row brings signatures; the others are few or are joined by a shuffle.
+    copied = classes.where("k > 1").select(F.col("cls").alias("d1"), "d2", F.col("row").alias("first"))
+    copies = stored(linked.select("row", "d1", "d2").join(copied, ["d1", "d2"]).where("row <> first").select("row"), "copies")
+    rows = keyed(linked, copies, "row", "left_anti").select(F.col("d1").alias("cls"), "sigs", "empty", "needed")
+    links = class_links(docs, classes, rows, id_col, text_col, size, percent)
     # An id that stands on several rows links the classes of all of them.
     again = linked.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count("*").alias("k")).where("k > 1 AND a <> b").select("doc_id", "a")
     shared = linked.join(again, "doc_id").select("a", F.col("d1").alias("b")).where("a <> b")
