@@ -1,4 +1,4 @@
-"""Command line: curate | downsample | filter | run-all | lexicons."""
+"""Command line: curate | downsample | filter | run-all | lexicons | score."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from .functions.lexicon import Lexicons, write_starter
 from .functions.money import bucket_targets
 from .operators import curate as C
+from .operators.score import rule_model, score_texts
 from .sources import files
 
 
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--min-true", type=int, default=C.MIN_TRUE)
         p.add_argument("--seed", default="42")
     sub.add_parser("lexicons").add_argument("folder")
+    sub.add_parser("score").add_argument("texts", nargs="+")
     return top
 
 
@@ -41,6 +43,10 @@ def main(argv: list[str] | None = None) -> None:
         write_starter(args.folder)
         return
     spark = SparkSession.builder.getOrCreate()
+    if args.command == "score":  # ad-hoc texts by the stand-in model
+        rows = score_texts(spark.createDataFrame([(t,) for t in args.texts], "text string"), "text", rule_model)
+        rows.show(len(args.texts), truncate=False)
+        return
     if args.command in ("curate", "run-all"):
         fields = [args.id_field, args.text_field]
         docs = {"jsonl": lambda: files.read_jsonl(spark, args.input, fields, args.text_field), "csv": lambda: files.read_csv(spark, args.input), "parquet": lambda: spark.read.parquet(args.input)}[args.format]()

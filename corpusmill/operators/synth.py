@@ -19,10 +19,12 @@ class Family:
     template: str  # with {slots}
     tone: str = ""
     hard: bool = False
+    viewpoint: str = "investor"
+    note: str = ""
 
 
 SLOTS: dict[str, Sequence[str]] = {
-    "company": ("Anka Enerji", "Boğaz Lojistik", "Çınar Gıda", "Doruk Çelik", "Ege Tekstil", "Fırat Cam", "Göksu İlaç", "Hisar Yapı"),
+    "company": ("Anka Enerji", "Boğaz Lojistik", "Çınar Gıda", "Doruk Çelik", "Ege Tekstil", "Fırat Cam", "Göksu İlaç", "Hisar Yapı", "Irmak Sigorta", "Kule Madencilik", "Liman Bilişim", "Meriç Kimya", "Nehir Perakende", "Ova Tarım", "Pınar Kâğıt", "Sahil Turizm"),
     "pct": tuple(str(n) for n in range(3, 40)),
     "amount": tuple(str(n) for n in range(10, 990, 7)),
     "quarter": ("birinci çeyrek", "ikinci çeyrek", "üçüncü çeyrek", "dördüncü çeyrek"),
@@ -34,7 +36,7 @@ FAMILIES: tuple[Family, ...] = (
     Family("debt_paid", "positive", "nuanced", "{company} {amount} milyon TL borcunu vadesinden önce kapattı."),
     Family("profit_fall", "negative", "clear", "{company} {quarter} kârının yüzde {pct} gerilediğini duyurdu."),
     Family("fine", "negative", "clear", "{company} hakkında {amount} milyon TL para cezası kesildi."),
-    Family("slow_growth", "negative", "nuanced", "{company} büyüdü, ancak {quarter} hedefinin yüzde {pct} altında kaldı.", "positive", True),
+    Family("slow_growth", "negative", "nuanced", "{company} büyüdü, ancak {quarter} hedefinin yüzde {pct} altında kaldı.", "positive", True, "analyst", "reads well, is bad news"),
     Family("meeting", "neutral", "clear", "{company} genel kurulunu {quarter} içinde yapacak."),
     Family("filing", "neutral", "clear", "{company} {quarter} faaliyet raporunu yayımladı."),
     Family("renewal", "neutral", "nuanced", "{company} {amount} milyon TL kredisini aynı koşullarla yeniledi."),
@@ -72,3 +74,10 @@ def benchmark(spark: SparkSession, families: Sequence[Family] = FAMILIES, per_fa
     rows = ranked.withColumn("family", enough).join(F.broadcast(facts), "family")
     numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(seeded(seed, F.col("text")), "text")))  # the benchmark is small
     return numbered.select(F.format_string(f"{prefix}-%04d", F.col("_i")).alias("id"), "text", "ground_truth", "difficulty", "category", "surface_tone", "hard_case")
+
+
+def phrasebank(spark: SparkSession, families: Sequence[Family] = FAMILIES, per_family: int = 40, seed: str = "20260330") -> DataFrame:
+    """The benchmark's rows with the annotators' columns viewpoint and annotation_note."""
+    rows = benchmark(spark, families, per_family, seed, "PHRASE")
+    notes = spark.createDataFrame([(f.category, f.viewpoint, f.note) for f in families], "category string, viewpoint string, annotation_note string")
+    return rows.join(F.broadcast(notes), "category").select("id", "text", "ground_truth", "category", "difficulty", "surface_tone", "hard_case", "viewpoint", "annotation_note")

@@ -30,6 +30,8 @@ LEX = Lexicons(
 )
 JOB = C.Curation(LEX)
 TOTAL = 1000
+#: Of the blocks of the small packing queries.
+MAX_LEN = 64
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -261,10 +263,19 @@ def slice_rows(spark, sf_dir):
 # --- packing ---------------------------------------------------------------------------------
 
 
+def _sentence_ids():
+    return F.transform(T.split_sentences(F.col("text")), lambda s: packing.stand_in_ids(F.split(s, " ")))
+
+
 def _blocks(spark, sf_dir):
-    sents = T.split_sentences(F.col("text"))
-    ids = F.transform(sents, lambda s: packing.stand_in_ids(F.split(s, " ")))
-    return packing.pack(_docs(spark, sf_dir).select("doc_id", ids.alias("s")), ["doc_id"], "s", shards=1)
+    return packing.pack(_t(spark, sf_dir, "benchmark").select("item_id", _sentence_ids().alias("s")), ["item_id"], "s", 1, MAX_LEN, 8)
+
+
+def packed_documents(spark, sf_dir):
+    """Blocks of the documents, packed in as many runs as there are shuffle partitions."""
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = packing.pack(_docs(spark, sf_dir).select("doc_id", _sentence_ids().alias("s")), ["doc_id"], "s", shards=shards)
+    return blocks.select("shard", "block", F.size("input_ids").alias("n"))
 
 
 def token_packing(spark, sf_dir):
@@ -272,11 +283,11 @@ def token_packing(spark, sf_dir):
 
 
 def packing_stats(spark, sf_dir):
-    return packing.packing_stats(_blocks(spark, sf_dir))
+    return packing.packing_stats(_blocks(spark, sf_dir), MAX_LEN)
 
 
 def block_histogram(spark, sf_dir):
-    return packing.length_histogram(_blocks(spark, sf_dir))
+    return packing.length_histogram(_blocks(spark, sf_dir), 16, MAX_LEN, 4)
 
 
 def _turn_ids(spark, sf_dir):
@@ -408,6 +419,10 @@ def synthetic_benchmark(spark, sf_dir):
     return synth.benchmark(spark).groupBy("ground_truth", "difficulty").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct("id").alias("ids"))
 
 
+def phrasebank(spark, sf_dir):
+    return synth.phrasebank(spark).groupBy("ground_truth", "surface_tone", "hard_case", "viewpoint").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
+
+
 def synthetic_distribution(spark, sf_dir):
     return report.distribution(synth.benchmark(spark), ["ground_truth", "difficulty", "category", "surface_tone", "hard_case"])
 
@@ -458,10 +473,10 @@ def cost_totals(spark, sf_dir):
 NAMES = (
     "sentence_split sentence_clean normalize_hash lexicon_flags keep_rule bucket_counts boilerplate_drop context_window exact_dedup near_candidates "
     "simhash simhash_band_pairs neardup_greedy template_normalize template_cap template_counts bucket_targets reservoir_per_bucket downsample min_true_filter "
-    "curate_run_all holdout_split stratified_split split_sizes union_splits head_subset shuffled_subset slice_rows token_packing packing_stats block_histogram "
+    "curate_run_all holdout_split stratified_split split_sizes union_splits head_subset shuffled_subset slice_rows token_packing packed_documents packing_stats block_histogram "
     "mlm_mask mlm_metrics pad_truncate confusion_matrix class_metrics overall_metrics weighted_metrics group_metrics masked_accuracy softmax_argmax mismatches "
     "error_transitions dominant_transition class_distribution category_ranking worst_categories lowest_recall intensity label_distribution label_translate "
-    "money_convert tl_format json_text_resolve synthetic_benchmark synthetic_distribution sweep_best train_eval_gap log_split final_run timing_summary compare_pivot cost_totals"
+    "money_convert tl_format json_text_resolve synthetic_benchmark phrasebank synthetic_distribution sweep_best train_eval_gap log_split final_run timing_summary compare_pivot cost_totals"
 ).split()
 
 

@@ -30,19 +30,32 @@ grp AS (SELECT grouping, key, sum(support)::BIGINT AS count, round(sum(hit) / su
 IDS = r"list_transform({0}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT + 5)"
 TURNS = rf"""turn_ids AS (SELECT conv_id || '-' || turn AS key, {IDS.format(r"string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')")}[:128] AS ids FROM conversations)"""
 HIDDEN = f"(('0x' || substr(md5('{SEED}|' || key || '|' || (i - 1)), 1, 8))::BIGINT < {int(0.15 * (1 << 32))} AND ids[i] NOT IN (0, 1, 2, 3, 4))"
-PACK = rf"""{C.SENT_SQL},
-counted AS (SELECT doc_id, idx, {IDS.format("string_split(sentence, ' ')")} AS t FROM sent),
-steps AS (SELECT row_number() OVER (ORDER BY doc_id, kind, idx) AS step, * FROM (SELECT doc_id, 0 AS kind, idx, t FROM counted UNION ALL SELECT doc_id, 1, 0, [] FROM documents))"""
+DONE = "list_filter([CASE WHEN {0}[-1] <> 3 THEN list_append({0}, 3) ELSE {0} END], lambda x: len(x) >= 8)"
+PACK = rf"""sents AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?…]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS s FROM benchmark),
+flat AS (SELECT item_id, unnest(generate_series(1, len(s))) AS i, unnest(s) AS sentence FROM sents WHERE len(s) > 0),
+steps AS (SELECT row_number() OVER (ORDER BY item_id, kind, i) AS step, kind, t FROM (
+  SELECT item_id, 0 AS kind, i, {IDS.format("string_split(sentence, ' ')")} AS t FROM flat UNION ALL SELECT item_id, 1, 0, []::INT[] FROM benchmark)),
+fold AS (SELECT 0::BIGINT AS step, [2]::INT[] AS cur, []::INT[][] AS done
+  UNION ALL SELECT s.step,
+    CASE WHEN kind = 1 THEN CASE WHEN len(cur) > 1 AND len(cur) < 63 THEN list_append(cur, 3) WHEN len(cur) = 63 THEN [2] ELSE cur END
+      WHEN len(t) > 62 THEN [2] WHEN len(cur) + len(t) + 1 <= 64 THEN list_append(list_concat(cur, t), 3) ELSE list_append(list_concat([2], t), 3) END,
+    CASE WHEN kind = 1 THEN CASE WHEN len(cur) = 63 THEN [list_append(cur, 3)] ELSE [] END
+      WHEN len(t) > 62 THEN list_concat(CASE WHEN len(cur) > 1 THEN {DONE.format("cur")} ELSE [] END, list_transform(generate_series(0, (len(t) - 1) // 62), lambda k: list_append(list_concat([2], t[k * 62 + 1 : k * 62 + 62]), 3)))
+      WHEN len(cur) + len(t) + 1 <= 64 THEN [] ELSE {DONE.format("cur")} END
+  FROM fold f JOIN steps s ON s.step = f.step + 1),
+out AS (SELECT step, unnest(generate_series(1, len(done))) AS k, unnest(done) AS ids FROM fold WHERE len(done) > 0
+  UNION ALL SELECT step + 1, 1, unnest({DONE.format("cur")}) FROM (SELECT * FROM fold ORDER BY step DESC LIMIT 1) WHERE len(cur) > 1),
+blocks AS (SELECT row_number() OVER (ORDER BY step, k) - 1 AS block, ids FROM out)"""
 FX_ROWS = ", ".join(f"({y}, '{c}', {r})" for y, by in FX.items() for c, r in by.items())
 AMOUNTS = """amt AS (SELECT o_orderkey AS k, (1999 + o_orderkey % 14)::INT AS year, ['USD', 'EUR', 'GBP'][o_orderkey % 3 + 1] AS currency,
   CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE '$' || floor(o_totalprice / 1000)::BIGINT || '.' || (o_orderkey % 10) || ['', 'k', ' million', 'm', ' bn'][o_orderkey % 5 + 1] END AS amount FROM orders)"""
 DOTS = "replace(format('{{:,}}', {0}), ',', '.')"
 
 
-def _synth() -> str:
+def _synth(seed: str = "20260329", tries: int = 160, per_family: int = 20) -> str:
     def slot(i: int, name: str) -> str:
         values = ", ".join(f"'{v}'" for v in SLOTS[name])
-        return f"([{values}])[(('0x' || substr(md5('20260329/{name}|{i}|' || a), 1, 8))::BIGINT % {len(SLOTS[name])} + 1)::INT]"
+        return f"([{values}])[(('0x' || substr(md5('{seed}/{name}|{i}|' || a), 1, 8))::BIGINT % {len(SLOTS[name])} + 1)::INT]"
 
     parts = []
     for i, f in enumerate(FAMILIES):
@@ -50,10 +63,10 @@ def _synth() -> str:
         for name in SLOTS:
             if "{" + name + "}" in f.template:
                 text = f"replace({text}, '{{{name}}}', {slot(i, name)})"
-        parts.append(f"SELECT {i} AS family, a, {text} AS text, '{f.label}' AS ground_truth, '{f.difficulty}' AS difficulty, '{f.category}' AS category, '{f.tone or f.label}' AS surface_tone, {str(f.hard).lower()} AS hard_case FROM generate_series(0, 159) g(a)")
+        parts.append(f"SELECT {i} AS family, a, {text} AS text, '{f.label}' AS ground_truth, '{f.difficulty}' AS difficulty, '{f.category}' AS category, '{f.tone or f.label}' AS surface_tone, {str(f.hard).lower()} AS hard_case FROM generate_series(0, {tries - 1}) g(a)")
     return f"""made AS ({' UNION ALL '.join(parts)}),
 once AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY text ORDER BY family, a) = 1),
-bench AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY family ORDER BY a) <= 20)"""
+bench AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY family ORDER BY a) <= {per_family})"""
 
 
 def _dist(source: str, table: str, columns: list[str]) -> str:
@@ -93,6 +106,9 @@ SELECT doc_id FROM fold WHERE keep""",
     "head_subset": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100",
     "shuffled_subset": f"SELECT doc_id FROM documents ORDER BY md5('{SEED}|' || doc_id), doc_id LIMIT 100",
     "slice_rows": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 120 OFFSET 50",
+    "token_packing": f"WITH RECURSIVE {PACK} SELECT block, len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS ids, len(ids)::INT AS mask_n FROM blocks",
+    "packing_stats": f"WITH RECURSIVE {PACK} SELECT count(*) AS blocks, sum(len(ids))::BIGINT AS tokens, round(avg(len(ids)), 4) AS mean_len, round(sum(len(ids)) * 100 / (count(*) * 64), 4) AS efficiency_pct, count(*) FILTER (WHERE len(ids) = 64) AS full, round(count(*) FILTER (WHERE len(ids) = 64) * 100 / count(*), 4) AS full_pct, min(len(ids))::INT AS min_len, max(len(ids))::INT AS max_len FROM blocks",
+    "block_histogram": f"WITH RECURSIVE {PACK}, inside AS (SELECT len(ids) AS n FROM blocks WHERE len(ids) BETWEEN 16 AND 64) SELECT (least((n - 16) // 4, 11) * 4 + 16)::INT AS bin_start, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * 4), 6) AS density FROM inside GROUP BY 1",
     "mlm_mask": f"""WITH {TURNS} SELECT key, array_to_string(list_transform(generate_series(1, len(ids)), lambda i: CASE WHEN {HIDDEN} THEN 4 ELSE ids[i] END), ',') AS input_ids,
   array_to_string(list_transform(generate_series(1, len(ids)), lambda i: CASE WHEN {HIDDEN} THEN ids[i] ELSE -100 END), ',') AS labels FROM turn_ids""",
     "mlm_metrics": f"""WITH {TURNS}, flat AS (SELECT unnest(ids) AS id FROM turn_ids),
@@ -124,6 +140,7 @@ SELECT k, a::DOUBLE AS amount_value, {DOTS.format("round(a * rate, 0)::BIGINT")}
     "tl_format": f"SELECT o_orderkey, {DOTS.format('round(o_totalprice::DECIMAL(20, 2), 0)::BIGINT')} || ' TL' AS tl, replace(printf('%.2f', o_totalprice::DOUBLE), '.', ',') AS plain FROM orders",
     "json_text_resolve": "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN md5(text) END AS text FROM conversations",
     "synthetic_benchmark": f"WITH {_synth()} SELECT ground_truth, difficulty, count(*) AS n, count(DISTINCT text) AS texts, count(*) AS ids FROM bench GROUP BY ALL",
+    "phrasebank": f"WITH {_synth('20260330', 320, 40)}, v AS (SELECT *, CASE WHEN category = 'slow_growth' THEN 'analyst' ELSE 'investor' END AS viewpoint FROM bench) SELECT ground_truth, surface_tone, hard_case, viewpoint, count(*) AS n, count(DISTINCT text) AS texts FROM v GROUP BY ALL",
     "synthetic_distribution": _dist(_synth(), "bench", ["ground_truth", "difficulty", "category", "surface_tone", "hard_case"]),
     "sweep_best": f"SELECT optim, lr::DOUBLE AS lr, steps::INT AS steps, eval_loss::DOUBLE AS eval_loss, eval_accuracy::DOUBLE AS eval_accuracy FROM (VALUES {C._values(C.SWEEP)}) t(optim, lr, steps, eval_loss, eval_accuracy) ORDER BY eval_loss, optim, lr LIMIT 1",
     "train_eval_gap": f"WITH g AS (SELECT * FROM (VALUES {C._values(C.GAP)}) t(epoch, kind, accuracy)), w AS (SELECT epoch::INT AS epoch, max(accuracy::DOUBLE) FILTER (WHERE kind = 'train') AS train_accuracy, max(accuracy::DOUBLE) FILTER (WHERE kind = 'eval') AS eval_accuracy FROM g GROUP BY epoch) SELECT *, round((train_accuracy - eval_accuracy) * 100, 2) AS gap_pct, CASE WHEN round((train_accuracy - eval_accuracy) * 100, 2) <= 5 THEN 'good' ELSE 'moderate' END AS fit FROM w",
