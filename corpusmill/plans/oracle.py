@@ -83,6 +83,18 @@ SQL = {
     "boilerplate_drop": f"WITH {C.SENT_SQL} SELECT contains({C.NORM.format('sentence')}, 'rights reserved') OR contains({C.NORM.format('sentence')}, 'licensed under') AS boilerplate, count(*) AS n FROM sent GROUP BY 1",
     "context_window": f"WITH {C.FLAG_SQL} SELECT doc_id, idx, md5(sentence) AS sentence, md5(prev) AS prev, md5(next) AS next FROM kept",
     "exact_dedup": f"WITH {C.FLAG_SQL} SELECT doc_id, idx, bucket FROM uniq",
+    "near_candidates": f"""WITH RECURSIVE {C.FLAG_SQL},
+tok AS (SELECT doc_id, idx, unnest({C.SIM_TOKENS.format("sentence")}) AS t FROM flag),
+half AS (SELECT doc_id, idx, xor(('0x' || substr(md5(t), 1, 16))::UBIGINT, ('0x' || substr(md5(t), 17, 16))::UBIGINT) AS h FROM tok),
+bits AS (SELECT doc_id, idx, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM half, generate_series(0, 63) g(b) GROUP BY doc_id, idx, b),
+sim AS (SELECT doc_id, idx, coalesce(sum(CASE WHEN v >= 0 THEN (1::HUGEINT << b) ELSE 0 END), 0)::UBIGINT AS h FROM flag LEFT JOIN bits USING (doc_id, idx) GROUP BY doc_id, idx),
+first AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, idx) = 1),
+seq AS (SELECT doc_id, idx, h, h >> 48 AS band, row_number() OVER (PARTITION BY h >> 48 ORDER BY doc_id, idx) AS r FROM first),
+fold AS (SELECT band, r, doc_id, idx, [h] AS alive, TRUE AS keep FROM seq WHERE r = 1
+  UNION ALL SELECT s.band, s.r, s.doc_id, s.idx, CASE WHEN len(list_filter(f.alive, lambda x: bit_count(xor(x, s.h)) <= 3)) > 0 THEN f.alive ELSE list_append(f.alive, s.h) END, len(list_filter(f.alive, lambda x: bit_count(xor(x, s.h)) <= 3)) = 0
+  FROM fold f JOIN seq s ON s.band = f.band AND s.r = f.r + 1)
+SELECT doc_id, idx, bucket, prev, next FROM kept SEMI JOIN (SELECT doc_id, idx FROM fold WHERE keep) USING (doc_id, idx)
+QUALIFY row_number() OVER (PARTITION BY md5({C.NORM.format("sentence")}) ORDER BY doc_id, idx) = 1""",
     "simhash": f"WITH {C.SIM_SQL} SELECT doc_id, lpad(lower(to_hex(h)), 16, '0') AS simhash FROM sim",
     "simhash_band_pairs": f"WITH {C.SIM_SQL} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM first a JOIN first b ON a.h >> 48 = b.h >> 48 AND a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3",
     "neardup_greedy": f"""WITH RECURSIVE {C.SIM_SQL},
