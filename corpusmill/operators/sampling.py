@@ -16,11 +16,27 @@ def holdout(df: DataFrame, keys: list[str], seed: str, share: float = 0.05) -> D
     return df.withColumn("split", F.when(unit < share, "test").otherwise("train"))
 
 
+def ranked(df: DataFrame, groups: list[str], keys: list[str], seed: str) -> DataFrame:
+    """df with _r, each row's place in the seeded order of its group, and _n, the group's rows.
+
+    A group of any size is ranked in 4096 parts by the leading digits of the hash: parts are
+    ranked by themselves and moved up by the counts of the parts before, so no task holds a
+    whole group.
+    """
+    part = [*groups, "_part"]
+    hashed = df.withColumn("_h", seeded(seed, *(F.col(k) for k in keys))).withColumn("_part", F.substring("_h", 1, 3))
+    counts = hashed.groupBy(*part).agg(F.count("*").alias("_k"))
+    whole = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_k").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = counts.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(part)), before.alias("_before"), F.sum("_k").over(whole).alias("_n"))
+    match = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(part)]
+    own = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_h", *keys)))
+    out = own.join(moved, match).withColumn("_r", F.col("_r") + F.col("_before"))
+    return out.drop("_h", "_part", "_before", *(f"_{i}" for i in range(len(part))))
+
+
 def stratified(df: DataFrame, strata: list[str], keys: list[str], seed: str, shares: Sequence[tuple[str, float]] = (("train", 0.8), ("validation", 0.1), ("test", 0.1))) -> DataFrame:
     """df with split: each stratum cut at the shares of its rows, in seeded order."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_h", seeded(seed, *(F.col(k) for k in keys)))
-    ranked = ranked.withColumn("_r", F.row_number().over(w.orderBy("_h", *keys))).withColumn("_n", F.count("*").over(w))
     split, upto = F.lit(shares[-1][0]), 0.0
     cuts = []
     for name, share in shares[:-1]:
@@ -28,7 +44,7 @@ def stratified(df: DataFrame, strata: list[str], keys: list[str], seed: str, sha
         cuts.append((name, round(upto, 10)))
     for name, cut in reversed(cuts):
         split = F.when(F.col("_r") <= F.round(F.col("_n") * F.lit(cut), 0), name).otherwise(split)
-    return ranked.withColumn("split", split).drop("_h", "_r", "_n")
+    return ranked(df, strata, keys, seed).withColumn("split", split).drop("_r", "_n")
 
 
 def split_sizes(df: DataFrame) -> DataFrame:
