@@ -109,6 +109,13 @@ def runs_of(w: Column, n: int):
     return lambda s: F.struct(s.alias("s"), F.lit(n).alias("l"), run_text(w, s, n).alias("window"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once.  A filter on columns that are themselves
+    expressions is moved below them with the expressions written out at each use, and inside
+    lambdas they would run for each element; a lambda's variable can't be written out."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def covered(spans: Column) -> Column:
     """Number of words inside any span."""
     zero = F.struct(F.lit(1).alias("end"), F.lit(0).alias("n"))
@@ -128,8 +135,9 @@ def contamination(docs: DataFrame, windows: Windows, id_col: str = "doc_id", tex
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
     row = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if windows.small:
-        judged = _judged(row, windows, "_text").select("_row", "_id", F.size("_w").alias("n_words"), covered(F.col("_spans")).alias("n_hit"), F.transform("_spans", lambda x: run_text(F.col("_w"), x["s"], x["l"])).alias("_found"))
-        hits = judged.select("_row", "_id", "n_words", "n_hit", F.explode_outer(F.array_distinct("_found")).alias("window")).join(F.broadcast(windows.table.select("window", "items")), "window", "left")
+        facts = let(words(F.col("_text")), lambda w: let(hit_spans(w, windows), lambda found: F.struct(F.size(w).alias("n_words"), covered(found).alias("n_hit"), F.array_distinct(F.transform(found, lambda x: run_text(w, x["s"], x["l"]))).alias("found"))))
+        judged = row.select("_row", "_id", facts.alias("x")).select("_row", "_id", "x.n_words", "x.n_hit", F.explode_outer("x.found").alias("window"))
+        hits = judged.join(F.broadcast(windows.table.select("window", "items")), "window", "left")
         grouped = hits.groupBy("_row", "_id", "n_words", "n_hit").agg(F.flatten(F.collect_set("items")).alias("items"))
     else:
         w = F.col("_w")
@@ -152,10 +160,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         key = F.md5(F.col(text_col))
         bad = contamination(docs.select(key.alias("_key"), text_col).dropDuplicates(["_key"]), windows, "_key", text_col).where("contaminated").select("_key")
         return docs.join(bad, key == bad["_key"], "left_anti")
-    judged = _judged(docs, windows, text_col)
     if mode == "documents":
-        kept = judged.where(~F.coalesce(is_contaminated(F.size("_w"), covered(F.col("_spans"))), F.lit(False)))
-        return kept.select(docs.columns)
+        bad = let(words(F.col(text_col)), lambda w: let(hit_spans(w, windows), lambda found: is_contaminated(F.size(w), covered(found))))
+        return docs.where(~bad)
+    judged = _judged(docs, windows, text_col)
     gaps = F.split(F.col(text_col), WORD, -1)
     hit = lambda i: F.exists("_spans", lambda x: (i >= x["s"]) & (i < x["s"] + x["l"]))
     rest = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.concat(F.get(gaps, i - 1), F.when(hit(i), F.lit("")).otherwise(F.get(F.col("_w"), i - 1)))), ""), F.get(gaps, F.size("_w")))

@@ -169,7 +169,8 @@ class Plan:
                     more = size[segment] > 1
                     sigs.append(mix((total[segment] - value)[more] + band.salts[segment[more]]))
                     bare = blank[size <= 1]
-                    enough = 2 * n >= need
+                    # a segment of one member bears no difference: without it nothing is left to match
+                    enough = n + int((size > 1).sum()) >= need
                 else:
                     bare = blank[size == 0]
                     enough = n >= need
