@@ -205,7 +205,9 @@ def fit_pii(docs: DataFrame, text_col: str = "text") -> SpanModel:
 
 def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
     """docs with the spans in text_col replaced; all columns stay."""
-    return with_spans(docs, model, text_col).withColumn(text_col, redacted(F.col(text_col), F.col("spans"))).select(docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    clean = redacted(F.col("_text"), F.col("spans"))
+    return with_spans(packed, model, "_text").select(*(clean.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

@@ -126,11 +126,6 @@ def is_contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (n_hit * SHARE >= n_words)
 
 
-def _judged(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
-    """docs with _w (words), _spans: in the row itself."""
-    return docs.withColumn("_w", words(F.col(text_col))).withColumn("_spans", hit_spans(F.col("_w"), windows))
-
-
 def contamination(docs: DataFrame, windows: Windows, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
     row = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -163,11 +158,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if mode == "documents":
         bad = let(words(F.col(text_col)), lambda w: let(hit_spans(w, windows), lambda found: is_contaminated(F.size(w), covered(found))))
         return docs.where(~bad)
-    judged = _judged(docs, windows, text_col)
-    gaps = F.split(F.col(text_col), WORD, -1)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text")).withColumn("_w", words(F.col("_text")))
+    judged = packed.withColumn("_spans", hit_spans(F.col("_w"), windows)).withColumn("_gaps", F.split("_text", WORD, -1))
     hit = lambda i: F.exists("_spans", lambda x: (i >= x["s"]) & (i < x["s"] + x["l"]))
-    rest = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.concat(F.get(gaps, i - 1), F.when(hit(i), F.lit("")).otherwise(F.get(F.col("_w"), i - 1)))), ""), F.get(gaps, F.size("_w")))
-    return judged.withColumn(text_col, F.when(F.size("_spans") > 0, rest).otherwise(F.col(text_col))).select(docs.columns)
+    rest = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.concat(F.get("_gaps", i - 1), F.when(hit(i), F.lit("")).otherwise(F.get("_w", i - 1)))), ""), F.get("_gaps", F.size("_w")))
+    cut = F.when(F.size("_spans") > 0, rest).otherwise(F.col("_text"))
+    return judged.select(*(cut.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

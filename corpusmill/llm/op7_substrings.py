@@ -25,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows, table
 from .hashing import BLANK_BYTE, as_bytes, mix, powers
@@ -119,12 +120,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the repeated passages cut out of all documents but the first of each."""
     spans = repeated_passages(docs, id_col, text_col, run_words).where("doc_id <> first_doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_doc"), F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
-    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    joined = packed.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left")
 
     def work(chunk):
         out = []
-        for t, spans in zip(chunk.column(len(others)).to_pylist(), chunk.column(len(others) + 1).to_pylist(), strict=True):
+        for t, spans in zip(chunk.column(1).to_pylist(), chunk.column(2).to_pylist(), strict=True):
             if t and spans:
                 raw, at, kept = t.encode(), 0, []
                 for s in spans:
@@ -132,10 +133,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     at = s["end"]
                 t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
             out.append(t)
-        return [*(chunk.column(i) for i in range(len(others))), out]
+        return [chunk.column(0), out]
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text_col])
-    return map_rows(joined, [*others, text_col, "_spans"], schema, work).select(docs.columns)
+    cut = map_rows(joined, ["_row", "_text", "_spans"], T.StructType([joined.schema["_row"], T.StructField("_cut", T.StringType())]), work)
+    return cut.select(*(F.col("_cut").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

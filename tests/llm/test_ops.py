@@ -22,13 +22,16 @@ from corpusmill.llm import op9_quality as op9
 from corpusmill.llm import op10_pii as op10
 from corpusmill.llm.labelled import held_out
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text2 string, _w string, s int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _w string, spans string, _spans int, row int"
+
+
+EXTRA = ("x", "y", 1, 2)
 
 
 def docs(spark, texts, ids=None):
     """Documents with extra columns whose names clash with inner ones."""
     ids = range(len(texts)) if ids is None else ids
-    return spark.createDataFrame([(i, t, None, None, None, "x", "y", 1) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    return spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in zip(ids, texts, strict=True)], SCHEMA)
 
 
 def said(rng, n, vocabulary=400):
@@ -79,7 +82,9 @@ def test_decontaminate_keeps_and_cuts(spark):
     df, bench = docs(spark, [item, clean, f"{clean} {item}.", None]), spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = op1.decontaminate(df, bench)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
-    cut = {r["doc_id"]: r["text"] for r in op1.decontaminate(df, bench, mode="spans").collect()}
+    rows = op1.decontaminate(df, bench, mode="spans").collect()
+    assert all(tuple(r)[5:] == EXTRA for r in rows)
+    cut = {r["doc_id"]: r["text"] for r in rows}
     assert cut[1] == clean and cut[0].strip() == "" and cut[2] == f"{clean} " + " " * 19 + "." and cut[3] is None
     assert op1.decontaminate(df, bench.limit(0)).count() == 4 and op1.contamination(df.limit(0), op1.benchmark_windows(bench)).count() == 0
 
@@ -307,7 +312,9 @@ def test_repeated_passages(spark):
     by_id = dict(zip(ids, texts, strict=True))
     for r in rows:
         assert r["n_words"] >= op7.RUN_WORDS and by_id[r["doc_id"]].encode()[r["start"] : r["end"]].decode("utf-8", "ignore").strip()[3:-3] in passages[r["doc_id"] // 100] and r["first_doc_id"] == r["doc_id"] // 100 * 100
-    left = {r["doc_id"]: r["text"] for r in op7.drop_repeats(df).collect()}
+    rest = op7.drop_repeats(df)
+    assert rest.columns == df.columns and all(tuple(r)[5:] == EXTRA for r in rest.collect())
+    left = {r["doc_id"]: r["text"] for r in rest.collect()}
     assert left[0] == by_id[0] and len(left[1]) < len(by_id[1]) and left[9000] is None and left[clean[0]] == by_id[clean[0]]
     same = docs(spark, [texts[0], texts[0], texts[0]], [1, 1, None])
     assert op7.repeated_passages(same).count() == 0 and op7.repeated_passages(df.limit(0)).count() == 0
@@ -390,6 +397,7 @@ def test_weak_supervision_adds_secrets_and_redacts(spark):
     model = op10.fit_pii(df)
     clean = op10.redact(df, model)
     assert clean.columns == df.columns
+    assert all(tuple(r)[5:] == EXTRA for r in clean.collect())
     rows = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert all(rows[k] == 'x token = "<SECRET>" y' for k in range(30)) and rows[30] == "mail me: <EMAIL> now" and rows[100] is None and rows[101] == "plain"
     assert (model.reliability.sum(axis=2) - 1 < 1e-9).all()
