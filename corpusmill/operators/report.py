@@ -7,7 +7,6 @@ from html import escape
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import LABELS
 
 NO_ERRORS = "hata yok"
 

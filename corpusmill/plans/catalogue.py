@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.lexicon import Lexicons, phrase_pattern
 from ..functions.sketch import band, hamming, simhash64
 from ..operators import curate as C
-from ..operators import localise, metrics, packing, report, runs, sampling, synth
+from ..operators import localise, metrics, packing, report, runs, sampling, score, synth
 
 SEED = "42"
 LEX = Lexicons(
@@ -334,6 +334,18 @@ def group_metrics(spark, sf_dir):
     return metrics.grouped_summary(_predictions(spark, sf_dir), "ground_truth", "predicted_label", ["difficulty", "category"])
 
 
+def score_texts(spark, sf_dir):
+    """A stand-in model's classes, in Arrow batches."""
+    scored = score.score_texts(_docs(spark, sf_dir).select("doc_id", "text"), "text", score.rule_model)
+    return scored.select("doc_id", "predicted_label", *(F.round(f"score_{k}", 5).alias(f"score_{k}") for k in metrics.LABELS))
+
+
+def attach_predictions(spark, sf_dir):
+    rows = _t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "negative").otherwise("positive").alias("ground_truth"))
+    predicted = _predictions(spark, sf_dir).select("doc_id", "predicted_label")
+    return metrics.attach_predictions(rows, predicted, "doc_id", "ground_truth").groupBy("ground_truth", "correct").agg(F.count("*").alias("n"))
+
+
 def masked_accuracy(spark, sf_dir):
     rows = _t(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 3 == 0, -100).otherwise(F.col("quality")).alias("label"), F.lit(1).alias("predicted"))
     return metrics.masked_accuracy(rows, "predicted", "label")
@@ -474,7 +486,7 @@ NAMES = (
     "sentence_split sentence_clean normalize_hash lexicon_flags keep_rule bucket_counts boilerplate_drop context_window exact_dedup near_candidates "
     "simhash simhash_band_pairs neardup_greedy template_normalize template_cap template_counts bucket_targets reservoir_per_bucket downsample min_true_filter "
     "curate_run_all holdout_split stratified_split split_sizes union_splits head_subset shuffled_subset slice_rows token_packing packed_documents packing_stats block_histogram "
-    "mlm_mask mlm_metrics pad_truncate confusion_matrix class_metrics overall_metrics weighted_metrics group_metrics masked_accuracy softmax_argmax mismatches "
+    "mlm_mask mlm_metrics pad_truncate confusion_matrix class_metrics overall_metrics weighted_metrics group_metrics score_texts attach_predictions masked_accuracy softmax_argmax mismatches "
     "error_transitions dominant_transition class_distribution category_ranking worst_categories lowest_recall intensity label_distribution label_translate "
     "money_convert tl_format json_text_resolve synthetic_benchmark phrasebank synthetic_distribution sweep_best train_eval_gap log_split final_run timing_summary compare_pivot cost_totals"
 ).split()

@@ -133,6 +133,10 @@ SELECT round(avg(l), 6) AS avg_loss, round(exp(avg(l)), 6) AS perplexity, round(
     "overall_metrics": f"WITH {C._class_sql()} SELECT sum(support)::BIGINT AS count, round(sum(hit) / sum(support), 4) AS accuracy, round(avg(f1) FILTER (WHERE support > 0), 4) AS macro_f1 FROM cls",
     "weighted_metrics": f"WITH {C._class_sql()} SELECT round(sum(hit) / sum(support), 4) AS accuracy, round(sum(p * support) / sum(support), 4) AS precision, round(sum(r * support) / sum(support), 4) AS recall, round(sum(f1 * support) / sum(support), 4) AS f1 FROM cls",
     "group_metrics": f"WITH {GROUPS} SELECT * FROM grp",
+    "score_texts": """WITH z AS (SELECT doc_id, [(length(text) - length(replace(text, '!', '')) + length(text) - length(replace(text, '$', '')))::DOUBLE, (length(text) < 500)::INT::DOUBLE, (length(text) - length(replace(text, ',', ''))) / 10::DOUBLE] AS z FROM documents),
+e AS (SELECT doc_id, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z)
+SELECT doc_id, ['negative', 'neutral', 'positive'][list_position(z, list_max(z))] AS predicted_label, round(round(e[1] / list_sum(e), 6), 5) AS score_negative, round(round(e[2] / list_sum(e), 6), 5) AS score_neutral, round(round(e[3] / list_sum(e), 6), 5) AS score_positive FROM e""",
+    "attach_predictions": f"WITH {C.PRED_SQL}, r AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'negative' ELSE 'positive' END AS ground_truth FROM labels) SELECT r.ground_truth, r.ground_truth = predicted_label AS correct, count(*) AS n FROM r JOIN pred USING (doc_id) GROUP BY ALL",
     "masked_accuracy": "SELECT round(avg((quality = 1)::INT), 4) AS accuracy FROM labels WHERE doc_id % 3 <> 0 AND quality <> -100",
     "softmax_argmax": "WITH e AS (SELECT vec_id, list_transform(embedding[:10], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, (list_position(v, list_max(v)) - 1)::INT AS predicted, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS score FROM e",
     "mismatches": f"WITH {C.PRED_SQL} SELECT doc_id, ground_truth, predicted_label FROM pred WHERE ground_truth <> predicted_label",
