@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..deploy import ship
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of one Arrow batch that become Python objects at a time.
 CHUNK_ROWS = 128
@@ -47,6 +49,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 8 MB, whatever the length of the texts: a JVM task and its
     Python worker hold a few batches at a time, and executors have little room beside the heap."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64m"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 

@@ -208,7 +208,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     at = flat.offsets.to_pylist() if got.num_rows else []
     learnt = [(flat.values[at[i] : at[i + 1]].to_numpy().view(np.uint64), y) for i, y in enumerate(got["label"].to_pylist())]
     learnt.sort(key=lambda r: (r[1], len(r[0]), r[0][:64].tobytes()))
-    return ToxicityModel.fit(learnt, totals, corpus_counts(docs))
+    model = ToxicityModel.fit(learnt, totals, corpus_counts(docs))
+    del learnt, flat, got
+    pa.default_memory_pool().release_unused()  # the driver goes on without the training rows
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ repeated rows get equal scores; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .hashing import BLANK_BYTE, as_bytes, gram_hashes, word_hashes
 from .labelled import held_out, training_rows
 
 BUCKETS, DIM = 1 << 17, 12
-PER_CLASS, EPOCHS, RATE, SEED = (1500, 1500), 6, 0.5, 7
+PER_CLASS, EPOCHS, RATE, SEED = (1000, 1000), 8, 0.5, 7
 THRESHOLD = 0.3
 #: The word feature that stands for a word said again, whichever it is (as heavy as eight others).
 REPEATED = np.uint64(0x5EED)
@@ -104,7 +105,9 @@ class SubwordClassifier:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> SubwordClassifier:
     rows, totals = training_rows(docs, labels, label, per_class)
-    return SubwordClassifier.fit(counted(rows), totals)
+    model = SubwordClassifier.fit(counted(rows), totals)
+    pa.default_memory_pool().release_unused()  # the driver goes on without the training rows
+    return model
 
 
 def score_quality(docs: DataFrame, model: SubwordClassifier, keep: list[str], text_col: str = "text") -> DataFrame:
