@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +63,14 @@ def rows_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield batch.slice(at, CHUNK_ROWS)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on between
+    tasks, and their executor has little room beside the heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: T.StructType | str, work: Callable) -> DataFrame:
     """work(chunk: RecordBatch) -> list of columns, run in Arrow batches on the chosen columns."""
 
@@ -72,6 +82,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: T.StructType | str, work
             if chunk.num_rows:
                 out = work(chunk)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+                del out
+        release()
 
     small_batches(df.sparkSession)
     parsed = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -84,6 +96,7 @@ def filter_rows(df: DataFrame, column: str, keep: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in rows_in_chunks(batches):
             yield chunk.filter(pa.array(keep(chunk.column(at).to_pylist()), pa.bool_()))
+        release()
 
     small_batches(df.sparkSession)
     at = df.columns.index(column)

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_rows, table
 
 #: Pieces and pair verdicts kept per Python worker; when full they are dropped, not refused.
-CACHE_PIECES = 500_000
-CACHE_PAIRS = 500_000
+CACHE_PIECES = 150_000
+CACHE_PAIRS = 200_000
 #: The split pattern of the byte-level vocabulary.
 #: White space as the tokenizer's pattern library sees it (Unicode White_Space).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_in_chunks, stored, table
+from .common import map_rows, release, rows_in_chunks, stored, table
 from .hashing import BLANK_BYTE, as_bytes, mix, word_hashes
 
 SHINGLE, SIMILAR = 4, 85
@@ -266,6 +266,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     left.append(a)
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        release()
 
     met = members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", "member")
     return met.mapInArrow(run, "a long, b long")
