@@ -208,11 +208,13 @@ class BiLSTM:
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator, epochs: int = EPOCHS, rate: float = RATE) -> None:
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step, total = 0, epochs * -(-len(pages) // 16)
+        step, total = 0, epochs * (-(-len(pages) // 16) + -(-len(pages) // 256))
         for _ in range(epochs):
             order = rng.permutation(len(pages))
-            for k in range(0, len(order), 16):
-                some = [pages[j] for j in order[k : k + 16]]
+            near = [sorted(order[k : k + 256], key=lambda j: len(pages[j][1])) for k in range(0, len(order), 256)]
+            batches = [part[k : k + 16] for part in near for k in range(0, len(part), 16)]  # of like length
+            for k in rng.permutation(len(batches)):
+                some = [pages[j] for j in batches[k]]
                 x, size = self.padded([p for p, _ in some])
                 y = np.zeros(x.shape[:2], np.float32)
                 for j, (_, labels) in enumerate(some):
