@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import os
 import uuid
@@ -39,13 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_FOLDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside lie in one shared folder, which goes at the end."""
+    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, folder: str, what: str) -> DataFrame:
+    path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: a cut in the lineage that
     survives the loss of executors.  The folder is a new one at each call."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, _FOLDER.get() or shared_dir(df.sparkSession), what)
 
 
 def small_batches(spark: SparkSession) -> None:

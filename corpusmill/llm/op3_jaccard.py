@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, release, rows_in_chunks, stored, table
+from .common import map_rows, release, rows_in_chunks, scratch, shared_dir, stored, table, written
 from .hashing import BLANK_BYTE, as_bytes, mix, word_hashes
 
 SHINGLE, SIMILAR = 4, 85
@@ -312,7 +312,8 @@ def class_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, id_col: st
     facts = texts.drop("text")
 
     weights = active.groupBy("cls").agg(F.sum("c").alias("w"))
-    members = stored(active.join(weights, "cls").join(facts, "cls"), "members")
+    members = stored(active.join(weights, "cls").join(facts.select("cls", "n"), "cls"), "members")
+    sketches = facts.drop("n")
     links = None if lonely is None else stored(verified(lonely, texts, size, percent), "verified")
     roots = None if links is None else contracted(links)
     leaders_now = 1
@@ -322,8 +323,9 @@ def class_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, id_col: st
         groups = now.groupBy("sig", "root").agg(F.count("*").alias("k"))
         main = groups.groupBy("sig").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1").drop("roots")
         open_ = now.join(main, "sig").withColumn("outside", F.col("root") != F.col("main") if roots is not None else F.lit(True))
-        order = Window.partitionBy("sig", "outside").orderBy(F.desc("w"), "cls")
-        open_ = stored(open_.withColumn("leads", F.col("outside") & ((F.row_number().over(order) <= leaders_now) | (F.col("c") <= SMALL))).drop("outside", "main"), "open")
+        order = Window.partitionBy("sig").orderBy(F.desc("outside"), F.desc("w"), "cls")
+        open_ = open_.withColumn("leads", F.col("outside") & ((F.row_number().over(order) <= leaders_now) | (F.col("c") <= SMALL))).drop("outside", "main")
+        open_ = stored(open_.join(sketches, "cls"), "open")  # the wide columns come last
         if open_.isEmpty():
             break
         lead = sided(open_.where("leads").drop("leads", "w", "c"), "a", ("sig",))
@@ -333,13 +335,20 @@ def class_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, id_col: st
         pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
         found = stored(verified(stored(pairs, "pairs"), texts, size, percent), "verified")
         links = found if links is None else links.unionByName(found)
-        members = open_.where("NOT leads").drop("leads", "root")
+        members = open_.where("NOT leads").drop("leads", "root", *(f"k{i}" for i in range(SKETCH)))
         roots, leaders_now = contracted(links), leaders_now * 4
     return links if links is not None else spark.createDataFrame([], "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+    """(doc_id, n_shingles, component_id) for each row of docs.  The result is a table in the
+    shared folder; what was stored on the way to it is removed."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        return written(_components(docs, id_col, text_col, size, percent), shared_dir(spark), "components")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     found = sets(docs, id_col, text_col, size, percent)
     linked = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(linked.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.count("*").alias("k")).select(F.col("d1").alias("cls"), "d2", F.col("x.doc_id").alias("rep"), F.col("x.row").alias("row"), "k"), "classes")
