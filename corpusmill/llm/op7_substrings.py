@@ -6,16 +6,21 @@ Boundaries thus move with the text: an insertion changes the chunks it touches a
 and two copies of a passage are cut alike from some bytes after their start.  numpy computes
 the rolling hash by doubling, 1, 2, 4 and 8 bytes at a time.
 
-A chunk is known by a 64-bit digest.  Digests that stand in more than one document are
-repeats: they are found by an aggregation that combines in each task (a chunk that a third of
-all documents share is one row a task), then joined to the chunks, where Spark splits
-skewed keys.  Runs of neighbouring repeated chunks with at least RUN_WORDS words are the
-repeated passages.  At the edges a run ends at the last whole chunk, so passages of over 50
+A window is a shortest row of whole neighbouring chunks with at least RUN_WORDS words: one
+from each chunk on, and one back from each chunk where that is another.  It is known by a
+64-bit digest of its bytes, so a digest that stands in more than one document is a stretch of
+RUN_WORDS words that another document holds as it stands, not a sum of common phrases from
+many.  Any stretch of whole chunks with that many words is made of windows.  Repeated digests
+are found by an aggregation that combines in each task (a window that a third of all documents
+share is one row a task), then joined to the windows, where Spark splits skewed keys.
+
+The repeated passages of a document are the unions of its repeated windows that touch or
+overlap.  At the edges a passage ends at the last whole chunk, so passages of over 50
 words are found with about three fifths of their length or more, and what is shorter than
 RUN_WORDS words (a licence line, a title) is left alone.
 
 Defined results: null and empty texts have no chunks; rows that share an id are one document
-and don't repeat each other; rows with a null id are neither counted nor reported, and
+and don't repeat each other, and places are of their own text; rows with a null id are neither counted nor reported, and
 `drop_repeats` keeps them as they are; an empty table has no passages; other columns are not
 read, and `drop_repeats` keeps them.
 """
@@ -70,6 +75,17 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return ends
 
 
+def prefixes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the bytes before each place, and how many words start in them."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw)))))
+    solid = ~BLANK_BYTE[raw]
+    return total, np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
+
+
+def digests(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * _back_powers(len(total))[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+
+
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Digest of each chunk, and start << 22 | bytes << 11 | words that start in it."""
     raw = as_bytes(text)
@@ -77,49 +93,90 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = cuts(raw)
     starts = np.concatenate(([0], ends[:-1]))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw)))))
-    value = mix((total[ends] - total[starts]) * _back_powers(len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
-    solid = ~BLANK_BYTE[raw]
-    begun = np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
-    return value.view(np.int64), starts << 22 | (ends - starts) << 11 | (begun[ends] - begun[starts])
+    total, begun = prefixes(raw)
+    return digests(total, starts, ends), starts << 22 | (ends - starts) << 11 | (begun[ends] - begun[starts])
 
 
-def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, doc_id, place) for each chunk of each document."""
+def text_key(total: np.ndarray) -> int:
+    """22 bits that tell the texts of one id apart; total: hashes of prefixes."""
+    return int(mix(total[-1:] + np.uint64(len(total)))[0] >> np.uint64(42))
 
-    def work(chunk):
-        found = [chunks(t or "") for t in chunk.column(1).to_pylist()]
-        n = [len(d) for d, _ in found]
-        return [np.concatenate([d for d, _ in found]), np.repeat(chunk.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n), np.concatenate([p for _, p in found])]
 
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    return map_rows(some, ["doc_id", "text"], "digest long, doc_id long, place long", work)
+def windows(text: str, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of each window, start << 32 | end, and key of the text << 41 | words before it << 10
+    | words beyond run_words (in the last chunk or the first, so below 1024)."""
+    raw = as_bytes(text)
+    if not len(raw):
+        return (np.zeros(0, np.int64),) * 3
+    edge = np.concatenate(([0], cuts(raw)))
+    total, begun = prefixes(raw)
+    word = begun[edge]
+    last = len(edge) - 1
+    to = np.maximum(np.searchsorted(word, word[:-1] + run_words), np.arange(1, last + 1))  # beyond last: none
+    back = np.minimum(np.searchsorted(word, word[1:] - run_words, "right") - 1, np.arange(last))  # -1: none
+    i = np.flatnonzero(to <= last)
+    j = np.flatnonzero(back >= 0) + 1
+    j = j[to[back[j - 1]] != j]
+    a, b = np.concatenate((i, back[j - 1])), np.concatenate((to[i], j))
+    return digests(total, edge[a], edge[b]), edge[a] << 32 | edge[b], text_key(total) << 41 | word[a] << 10 | (word[b] - word[a] - run_words)
+
+
+def window_rows(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
+    """(digest, doc_id, place, words) for each window of each document."""
 
+    def work(chunk):
+        found = [windows(t or "", run_words) for t in chunk.column(1).to_pylist()]
+        ids = np.repeat(chunk.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x[0]) for x in found])
+        digest, place, words = (np.concatenate([x[k] for x in found]) for k in range(3))
+        return [digest, ids, place, words]
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id) for each repeated passage: places in bytes;
-    first_doc_id is the least id that holds a chunk of it."""
-    rows = chunk_rows(docs, id_col, text_col)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    return map_rows(some, ["doc_id", "text"], "digest long, doc_id long, place long, words long", work)
+
+
+def united(place: np.ndarray, words: np.ndarray, first: np.ndarray, run_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(key, start, end, n_words, first) of the passages that the repeated windows of a document make."""
+    start, end, key = place >> 32, place & 0xFFFFFFFF, words >> 41
+    order = np.lexsort((end, start, key))
+    start, end, key, first = start[order], end[order], key[order], first[order]
+    before = words[order] >> 10 & 0x7FFFFFFF
+    after = before + run_words + (words[order] & 1023)
+    other = np.concatenate(([True], key[1:] != key[:-1]))
+    group = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(group | end)
+    new = np.flatnonzero(other | np.concatenate(([False], start[1:] > (reach[:-1] & 0xFFFFFFFF))))
+    till = np.append(new[1:], len(start)) - 1
+    n_words = (np.maximum.accumulate(group | after) & 0xFFFFFFFF)[till] - before[new]
+    return list(zip(key[new].tolist(), start[new].tolist(), (reach[till] & 0xFFFFFFFF).tolist(), n_words.tolist(), np.minimum.reduceat(first, new).tolist(), strict=True))
+
+
+def passages(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
+    """(doc_id, key, start, end, n_words, first_doc_id): repeated passages with the key of their text."""
+    run_words = max(run_words, 1)
+    rows = window_rows(docs, id_col, text_col, run_words)
     repeats = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first")
-    marked = rows.join(repeats, "digest").select("doc_id", "place", "first")
-    gathered = marked.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "first"))).alias("x")).select("doc_id", F.col("x.place").alias("place"), F.col("x.first").alias("first"))
+    marked = rows.join(repeats, "digest").select("doc_id", "place", "words", "first")
+    gathered = marked.groupBy("doc_id").agg(F.collect_set(F.struct("place", "words", "first")).alias("x")).select("doc_id", "x.place", "x.words", "x.first")
 
     def work(chunk):
         out = []
         for i, d in enumerate(chunk.column(0).to_pylist()):
-            place, first = (np.asarray(chunk.column(k)[i].values) for k in (1, 2))
-            start, size, words = place >> 22, place >> 11 & 2047, place & 2047
-            new = np.flatnonzero(np.concatenate(([True], start[1:] > (start + size)[:-1])))
-            end = np.maximum.accumulate(start + size)[np.append(new[1:], len(start)) - 1]
-            out += [r for r in zip([d] * len(new), start[new].tolist(), end.tolist(), np.add.reduceat(words, new).tolist(), np.minimum.reduceat(first, new).tolist(), strict=True) if r[3] >= run_words]
-        return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(5)]
+            out += [(d, *r) for r in united(*(np.asarray(chunk.column(k)[i].values) for k in (1, 2, 3)), run_words)]
+        return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(6)]
+
+    return map_rows(gathered, ["doc_id", "place", "words", "first"], "doc_id long, key int, start long, end long, n_words long, first_doc_id long", work)
+
 
-    return map_rows(gathered, ["doc_id", "place", "first"], "doc_id long, start long, end long, n_words long, first_doc_id long", work)
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """(doc_id, start, end, n_words, first_doc_id) for each repeated passage: places in bytes;
+    first_doc_id is the least id that holds a window of it."""
+    return passages(docs, id_col, text_col, run_words).drop("key")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the repeated passages cut out of all documents but the first of each."""
-    spans = repeated_passages(docs, id_col, text_col, run_words).where("doc_id <> first_doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    """docs with the repeated passages cut out of all documents but the first of each; whole
+    characters are cut."""
+    spans = passages(docs, id_col, text_col, run_words).where("doc_id <> first_doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "key"))).alias("_spans"))
     packed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
     joined = packed.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left")
 
@@ -128,9 +185,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for t, spans in zip(chunk.column(1).to_pylist(), chunk.column(2).to_pylist(), strict=True):
             if t and spans:
                 raw, at, kept = t.encode(), 0, []
+                key = text_key(prefixes(as_bytes(t))[0])
                 for s in spans:
-                    kept.append(raw[at : s["start"]])
-                    at = s["end"]
+                    if s["key"] == key and s["end"] > at:
+                        start, end = max(s["start"], at), s["end"]
+                        while start < end and raw[start] & 0xC0 == 0x80:
+                            start += 1
+                        while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
+                            end -= 1
+                        kept.append(raw[at:start])
+                        at = end
                 t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
             out.append(t)
         return [chunk.column(0), out]

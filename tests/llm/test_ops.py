@@ -320,6 +320,32 @@ def test_repeated_passages(spark):
     assert op7.repeated_passages(same).count() == 0 and op7.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_windows_cover():
+    rng = random.Random(12)
+    for t in ["a", "é" * 2000, "x" * 5000, said(rng, 14, 10**6), *(said(rng, n, 10**6) for n in (15, 40, 900))]:
+        digest, place, words = op7.windows(t)
+        edges = [0, *op7.cuts(op7.as_bytes(t)).tolist()]
+        raw = t.encode()
+        words_before = {x: len(raw[:x].split()) for x in edges}
+        count = {(a, b): words_before[b] - words_before[a] for a in edges for b in edges if a < b} if len(edges) < 60 else {}
+        spans = set(zip((place >> 32).tolist(), (place & 0xFFFFFFFF).tolist(), strict=True))
+        assert len(spans) == len(digest) and (bool(spans) == (len(t.split()) >= 15))
+        for (a, b), n in count.items():
+            inside = [s for s in spans if a <= s[0] and s[1] <= b]
+            assert (n >= 15) == bool(inside) and (not inside or (min(inside)[0] == a and max(s[1] for s in inside) == b))
+
+
+def test_common_phrases_are_no_repeat(spark):
+    rng = random.Random(13)
+    line = next(x for x in iter(lambda: said(rng, 4, 10**7), "") if 20 < op7.cuts(op7.as_bytes(x))[0] < len(x))  # cut alike everywhere
+    phrases = [said(rng, 4, 10**7) for _ in range(8)]
+    texts = [f"{said(rng, 30, 10**7)} {line} {p} {line} {said(rng, 30, 10**7)}" for p in phrases]  # 12 words at a stretch
+    texts.append(" ".join(f"{line} {p}" for p in [*phrases, ""]))
+    df = docs(spark, texts)
+    assert op7.repeated_passages(df).count() == 0
+    assert {r["text"] for r in op7.drop_repeats(df).collect()} == set(texts)
+
+
 # --- 8, 9 -----------------------------------------------------------------------------------
 
 
