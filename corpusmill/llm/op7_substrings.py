@@ -15,7 +15,10 @@ are found by an aggregation that combines in each task (a window that a third of
 share is one row a task), then joined to the windows, where Spark splits skewed keys.
 
 The repeated passages of a document are the unions of its repeated windows that touch or
-overlap.  At the edges a passage ends at the last whole chunk, so passages of over 50
+overlap and first stand in the same document.  Where a quote of one document lies in copies
+of another, passages thus overlap at its edges, each with a first holder that has its text;
+and as what is cut from a document stands in one with a smaller id, one copy of every text
+stays.  At the edges a passage ends at the last whole chunk, so passages of over 50
 words are found with about three fifths of their length or more, and what is shorter than
 RUN_WORDS words (a licence line, a title) is left alone.
 
@@ -137,17 +140,17 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, run_words: int) ->
 def united(place: np.ndarray, words: np.ndarray, first: np.ndarray, run_words: int) -> list[tuple[int, int, int, int, int]]:
     """(key, start, end, n_words, first) of the passages that the repeated windows of a document make."""
     start, end, key = place >> 32, place & 0xFFFFFFFF, words >> 41
-    order = np.lexsort((end, start, key))
+    order = np.lexsort((end, start, first, key))
     start, end, key, first = start[order], end[order], key[order], first[order]
     before = words[order] >> 10 & 0x7FFFFFFF
     after = before + run_words + (words[order] & 1023)
-    other = np.concatenate(([True], key[1:] != key[:-1]))
+    other = np.concatenate(([True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])))
     group = np.cumsum(other) << 32
     reach = np.maximum.accumulate(group | end)
     new = np.flatnonzero(other | np.concatenate(([False], start[1:] > (reach[:-1] & 0xFFFFFFFF))))
     till = np.append(new[1:], len(start)) - 1
     n_words = (np.maximum.accumulate(group | after) & 0xFFFFFFFF)[till] - before[new]
-    return list(zip(key[new].tolist(), start[new].tolist(), (reach[till] & 0xFFFFFFFF).tolist(), n_words.tolist(), np.minimum.reduceat(first, new).tolist(), strict=True))
+    return list(zip(key[new].tolist(), start[new].tolist(), (reach[till] & 0xFFFFFFFF).tolist(), n_words.tolist(), first[new].tolist(), strict=True))
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
@@ -169,7 +172,7 @@ def passages(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> Dat
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id) for each repeated passage: places in bytes;
-    first_doc_id is the least id that holds a window of it."""
+    first_doc_id is the least id that holds it, window by window."""
     return passages(docs, id_col, text_col, run_words).drop("key")
 
 

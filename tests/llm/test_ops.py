@@ -335,6 +335,25 @@ def test_windows_cover():
             assert (n >= 15) == bool(inside) and (not inside or (min(inside)[0] == a and max(s[1] for s in inside) == b))
 
 
+def test_quote_inside_copies_stays(spark):
+    rng = random.Random(14)
+    own = lambda n: said(rng, n, 10**7)
+    quote, before, after = own(40), own(80), own(80)
+    texts = {1: f"{own(30)} {quote} {own(30)}", 5: f"{before} {quote} {after}", 9: f"{before} {quote} {after}", 12: quote}
+    df = docs(spark, list(texts.values()), list(texts))
+    rows = op7.repeated_passages(df).collect()
+    for r in rows:
+        passage = texts[r["doc_id"]].encode()[r["start"] : r["end"]]
+        assert passage in texts[r["first_doc_id"]].encode() and r["n_words"] >= op7.RUN_WORDS
+    assert {(r["doc_id"], r["first_doc_id"]) for r in rows} == {(1, 1), (5, 1), (5, 5), (9, 1), (9, 5), (12, 1)}
+    left = {r["doc_id"]: r["text"] for r in op7.drop_repeats(df).collect()}
+    assert left[1] == texts[1] and not left[9].strip()
+    assert quote in left[1] and len(left[5]) < len(texts[5]) and all(w in left[5].split() for w in [*before.split()[:-1], *after.split()[1:]])
+    # rows of one id are cut by their own places
+    twin = docs(spark, [texts[1], texts[5], own(200)], [1, 5, 5])
+    assert twin.collect()[2]["text"] in {r["text"] for r in op7.drop_repeats(twin).collect()}
+
+
 def test_common_phrases_are_no_repeat(spark):
     rng = random.Random(13)
     line = next(x for x in iter(lambda: said(rng, 4, 10**7), "") if 20 < op7.cuts(op7.as_bytes(x))[0] < len(x))  # cut alike everywhere
