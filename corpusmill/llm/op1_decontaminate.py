@@ -9,7 +9,8 @@ the expression (a literal set, shipped once a stage): a document is judged in it
 with no join, no shuffle and no copy of its text.
 
 The sets are bounded: beyond SET_LIMIT windows or anchors the windows of documents and items
-are joined by their text instead, by whatever join Spark chooses for the sizes.
+are joined by their text instead, by whatever join Spark chooses for the sizes; spans are cut
+there as well.
 
 Words: A-Z are lower-cased, then runs of digits, letters and everything beyond ASCII.
 Anchors are compared in full lower case, which only finds more to verify.
@@ -122,6 +123,12 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["l"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["s"] + x["l"] - F.greatest(a["end"], x["s"]))).alias("n")), lambda a: a["n"])
 
 
+def all_runs(w: Column, windows: Windows) -> Column:
+    """Array of (s, l, window): the runs of words that are as long as some window."""
+    lengths = sorted(r["l"] for r in windows.table.select("l").distinct().collect())  # 13 at most
+    return F.concat(*(F.transform(starts(w, n), runs_of(w, n)) for n in lengths))
+
+
 def is_contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (n_hit * SHARE >= n_words)
 
@@ -135,9 +142,7 @@ def contamination(docs: DataFrame, windows: Windows, id_col: str = "doc_id", tex
         hits = judged.join(F.broadcast(windows.table.select("window", "items")), "window", "left")
         grouped = hits.groupBy("_row", "_id", "n_words", "n_hit").agg(F.flatten(F.collect_set("items")).alias("items"))
     else:
-        w = F.col("_w")
-        lengths = sorted(r["l"] for r in windows.table.select("l").distinct().collect())  # 13 at most
-        runs = F.concat(*(F.transform(starts(w, n), runs_of(w, n)) for n in lengths))
+        runs = all_runs(F.col("_w"), windows)
         spread = row.withColumn("_w", words(F.col("_text"))).select("_row", "_id", F.size("_w").alias("n_words"), F.explode_outer(runs).alias("x")).select("_row", "_id", "n_words", F.col("x.s").alias("s"), F.col("x.l").alias("l"), F.col("x.window").alias("window"))
         hits = spread.join(windows.table.select("window", "items"), "window", "left")
         grouped = hits.groupBy("_row", "_id", "n_words").agg(F.flatten(F.collect_set("items")).alias("items"), covered(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("s", "l")))).alias("n_hit"))
@@ -149,17 +154,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs without its contaminated rows (mode "documents"), or with the hit words cut out of
     every text (mode "spans").  All columns are kept."""
     windows = benchmark_windows(benchmark)
-    if not windows.small:
-        if mode != "documents":
-            raise ValueError("spans are cut only for a benchmark within SET_LIMIT")
-        key = F.md5(F.col(text_col))
+    key = F.md5(F.col(text_col))
+    if not windows.small and mode == "documents":
         bad = contamination(docs.select(key.alias("_key"), text_col).dropDuplicates(["_key"]), windows, "_key", text_col).where("contaminated").select("_key")
         return docs.join(bad, key == bad["_key"], "left_anti")
     if mode == "documents":
         bad = let(words(F.col(text_col)), lambda w: let(hit_spans(w, windows), lambda found: is_contaminated(F.size(w), covered(found))))
         return docs.where(~bad)
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text")).withColumn("_w", words(F.col("_text")))
-    judged = packed.withColumn("_spans", hit_spans(F.col("_w"), windows)).withColumn("_gaps", F.split("_text", WORD, -1))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), key.alias("_key")).withColumn("_w", words(F.col("_text")))
+    if windows.small:
+        found = packed.withColumn("_spans", hit_spans(F.col("_w"), windows))
+    else:  # of each text once, joined by the windows
+        texts = docs.select(key.alias("_key"), F.col(text_col).alias("_text")).dropDuplicates(["_key"]).withColumn("_w", words(F.col("_text")))
+        hits = texts.select("_key", F.explode(all_runs(F.col("_w"), windows)).alias("x")).select("_key", "x.s", "x.l", "x.window").join(windows.table.select("window"), "window", "left_semi")
+        spans = hits.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("s", "l"))).alias("_spans"))
+        found = packed.join(spans, "_key", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPANS)))
+    judged = found.withColumn("_gaps", F.split("_text", WORD, -1))
     hit = lambda i: F.exists("_spans", lambda x: (i >= x["s"]) & (i < x["s"] + x["l"]))
     rest = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.concat(F.get("_gaps", i - 1), F.when(hit(i), F.lit("")).otherwise(F.get("_w", i - 1)))), ""), F.get("_gaps", F.size("_w")))
     cut = F.when(F.size("_spans") > 0, rest).otherwise(F.col("_text"))

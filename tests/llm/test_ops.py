@@ -89,6 +89,17 @@ def test_decontaminate_keeps_and_cuts(spark):
     assert op1.decontaminate(df, bench.limit(0)).count() == 4 and op1.contamination(df.limit(0), op1.benchmark_windows(bench)).count() == 0
 
 
+def test_spans_of_a_large_benchmark(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [said(rng, 20), said(rng, 13), "Tiny Item", said(rng, 40)]
+    texts = [*ODD, items[0], f"{items[1]} {items[0]}, {said(rng, 30)}", f"x tiny, ITEM y {items[3][:150]}! {items[2]}", said(rng, 300), items[0]]
+    df, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = lambda: {r["doc_id"]: tuple(r) for r in op1.decontaminate(df, bench, mode="spans").collect()}
+    small, real = rows(), op1.benchmark_windows
+    monkeypatch.setattr(op1, "benchmark_windows", lambda b: real(b, limit=3))
+    assert rows() == small and len(small) == len(texts) and sum(small[i][1] != t for i, t in enumerate(texts)) == 4
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
