@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship
@@ -43,23 +44,42 @@ def shared_dir(spark: SparkSession) -> str:
 _FOLDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
+#: Shuffle files of a query go when it has ended, rather than when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are stored inside lie in one shared folder, which goes at the end."""
     folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    token = _FOLDER.set(folder)
+    token, before = _FOLDER.set(folder), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
         _FOLDER.reset(token)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.set(_CLEANUP, before)
+        _remove(spark, folder)
 
 
 def written(df: DataFrame, folder: str, what: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes stored tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if (path := getattr(df, "_stored_at", None)) is not None:
+            _remove(df.sparkSession, path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -121,3 +141,33 @@ def filter_rows(df: DataFrame, column: str, keep: Callable) -> DataFrame:
     small_batches(df.sparkSession)
     at = df.columns.index(column)
     return df.mapInArrow(run, df.schema)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once.  A filter on columns that are themselves
+    expressions is moved below them with the expressions written out at each use, and inside
+    lambdas they would run for each element; a lambda's variable can't be written out."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def folded(items: Column, at, step, kind: str) -> Column:
+    """What a fold over items gives out, in a row.  step(at, x) is the new state (an int) and an
+    array of elements of the kind.  Appending to an array copies it, so the fold goes by blocks
+    of the root of the length and appends blocks."""
+    out, outs = f"array<{kind}>", f"array<array<{kind}>>"
+
+    def inner(start: Column, block: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            now, more = step(a["at"], x)
+            return F.struct(now.cast("int").alias("at"), F.concat(a["out"], more.cast(out)).alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(out).alias("out")), one)
+
+    def by_block(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(all_) - 1, size), lambda b: F.slice(all_, b + 1, size))
+        merge = lambda a, block: let(inner(a["at"], block), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).cast(outs).alias("out")))
+        zero = F.struct(F.lit(at).cast("int").alias("at"), F.array().cast(outs).alias("out"))
+        return F.when(F.size(all_) > 0, F.aggregate(blocks, zero, merge, lambda a: F.flatten(a["out"]))).otherwise(F.array().cast(out))
+
+    return let(items, by_block)
