@@ -14,7 +14,8 @@ Reading.  Each shard gives back its documents; what stands before a shard is its
 total of earlier parts (one row a part, counted on the driver) plus its start in the part.
 
 Defined results: a null text counts as empty and has the end id alone; rows go by id, nulls
-first, and equal ids by text, nulls first; repeated rows are repeated in the files; an empty
+first, and equal ids by the 64-bit hash of the text, then the text, however many partitions
+there are; repeated rows are repeated in the files; an empty
 table gives no shard; other columns are not read.
 """
 
@@ -25,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, table
-from .hashing import BLANK_BYTE, word_hashes
 
 #: Ids after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 1 << 18
 BLOCK = 4096
 BITS = 16
-#: Chunks of text whose ids a worker keeps (about 40 bytes each).
-CACHE_CHUNKS = 3_000_000
+#: Chunks of text whose ids a worker keeps (about 150 bytes each).
+CACHE_CHUNKS = 1_000_000
 #: Text that is tokenized at a time.
 BATCH_BYTES = 4 << 20
 MAGIC = b"WMTX0001"
@@ -58,9 +59,9 @@ class Tokens:
     """The library's tokenizer behind a table of chunks, for whole batches of texts.
 
     The vocabulary's normalizer and splitter never join anything across white space, so a
-    text's ids are those of its chunks between ASCII white space.  Chunks are known by the
-    64-bit hash of their bytes in a sorted array; new ones go to the library, many in one
-    call with a special token between them (which it cuts out before all else).
+    text's ids are those of its chunks between ASCII white space.  The table knows a chunk by
+    its bytes; new ones go to the library, many in one call with a special token between them
+    (which it cuts out before all else).  A full table starts anew.
     """
 
     def __init__(self, spec: str):
@@ -73,9 +74,11 @@ class Tokens:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.between = self.specials[0]
         self.between_id = self.tokenizer.token_to_id(self.between)
-        self.key = np.zeros(0, np.uint64)
-        self.at, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.turn = np.zeros(0, np.uint32), 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ask(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks in a row, and how many each has."""
@@ -91,42 +94,28 @@ class Tokens:
             ids.append(np.delete(got, cut))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        if len(self.key) and len(self.key) + len(keys) > CACHE_CHUNKS:  # forget what was not used of late
-            keep = (self.used == self.turn) | (self.used >= np.median(self.used)) & (self.used > self.turn - 64)
-            self.key, self.used, size = self.key[keep], self.used[keep], self.size[keep]
-            self.pool = self.pool[spread(self.at[keep], size)]
-            self.at, self.size = np.cumsum(size) - size, size
-        ids, size = self.ask(chunks)
-        to = np.searchsorted(self.key, keys)
-        self.key = np.insert(self.key, to, keys)
-        self.at = np.insert(self.at, to, len(self.pool) + np.cumsum(size) - size)
-        self.size = np.insert(self.size, to, size)
-        self.used = np.insert(self.used, to, self.turn)
-        self.pool = np.concatenate((self.pool, ids))
+    def learn(self, chunks: list[bytes]) -> None:
+        ids, size = self.ask([c.decode() for c in chunks])
+        self.row.update(zip(chunks, range(len(self.size), len(self.size) + len(chunks))))
+        self.at = np.concatenate((self.at, len(self.pool) + np.cumsum(size) - size))
+        self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, ids))
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts in a row, and how many each has."""
-        self.turn += 1
-        parts = [t.encode() for t in texts]
-        raw = np.frombuffer(b"\n".join(parts), np.uint8)
-        text_end = np.cumsum([len(x) + 1 for x in parts]) - 1
-        hashes, start, end = word_hashes(raw, ~BLANK_BYTE[raw])
-        if not len(hashes):
+        parts = [t.encode().split() for t in texts]
+        flat = list(chain.from_iterable(parts))
+        if not flat:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        to = np.searchsorted(self.key, keys)
-        new = np.ones(len(keys), bool) if not len(self.key) else self.key[np.minimum(to, len(self.key) - 1)] != keys
-        if new.any():
-            self.used[to[~new]] = self.turn
-            data = raw.tobytes()
-            self.learn(keys[new], [data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            to = np.searchsorted(self.key, keys)
-        self.used[to] = self.turn
-        size = self.size[to][inverse]
-        ids = self.pool[spread(self.at[to][inverse], size)]
-        upto = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, text_end)]
-        return ids, np.diff(np.concatenate(([0], upto)))
+        different = dict.fromkeys(flat)
+        if len(self.row) and len(self.row) + len(different) > CACHE_CHUNKS:
+            self.forget()
+        if new := [c for c in different if c not in self.row]:
+            self.learn(new)
+        row = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
+        size = self.size[row]
+        ids = self.pool[spread(self.at[row], size)]
+        upto = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, parts)])]
+        return ids, np.diff(upto)
 
 
 def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -288,7 +277,9 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if doc_ids:
             yield closed()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    by = ["doc_id", F.xxhash64("text")]  # the same keys for ranges and for the order inside them
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by, "text")
     return stored(ordered.mapInArrow(run, "part int, seq int, start_in_part long, n_tokens long, payload binary"), "token-shards")
 
 
@@ -317,5 +308,17 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return map_rows(located, ["start", "payload"], "doc_id long, start long, n_tokens long, ids_crc32 long", work)
 
 
+def occurrences(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, n): how often each id stands in the shards, by rank on the bit-planes: only the
+    blocks that it needs are opened."""
+    wanted = sorted(set(ids))
+
+    def work(chunk):
+        found = [[m.total(v) for v in wanted] for m in map(WaveletMatrix, chunk.column(0).to_pylist())]
+        return [wanted * len(found), [n for row in found for n in row]]
+
+    return map_rows(shards, ["payload"], "id int, n long", work).groupBy("id").agg(F.sum("n").alias("n"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents")))
