@@ -8,11 +8,15 @@ the rolling hash by doubling, 1, 2, 4 and 8 bytes at a time.
 
 A window is a shortest row of whole neighbouring chunks with at least RUN_WORDS words: one
 from each chunk on, and one back from each chunk where that is another.  It is known by a
-64-bit digest of its bytes, so a digest that stands in more than one document is a stretch of
-RUN_WORDS words that another document holds as it stands, not a sum of common phrases from
-many.  Any stretch of whole chunks with that many words is made of windows.  Repeated digests
-are found by an aggregation that combines in each task (a window that a third of all documents
-share is one row a task), then joined to the windows, where Spark splits skewed keys.
+96-bit cryptographic digest of its bytes, so a digest that stands in more than one document is
+a stretch of RUN_WORDS words that another document holds as it stands, not a sum of common
+phrases from many.  Any stretch of whole chunks with that many words is made of windows.
+
+Texts are read and windows shuffled once: what meets its like there is stored, a small part.
+Of windows that are alike within one Arrow batch only the first goes to their task, the others
+(already known to be repeated) are dealt by salt, so a window that a third of all documents
+share is a row a batch there.  Among what is stored, the first holders come from an aggregation
+that combines in each task and are joined back, where Spark splits skewed keys.
 
 The repeated passages of a document are the unions of its repeated windows that touch or
 overlap and first stand in the same document.  Where a quote of one document lies in copies
@@ -30,28 +34,24 @@ read, and `drop_repeats` keeps them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, table
-from .hashing import BLANK_BYTE, as_bytes, mix, powers
+from .common import map_rows, release, rows_in_chunks, scratch, shared_dir, small_batches, stored, table, written
+from .hashing import BLANK_BYTE, as_bytes, mix
 
 #: Mean bytes of a chunk (of the random cuts), least bytes between cuts, most bytes of a chunk.
 MEAN, LEAST, MOST = 24, 6, 1024
 RUN_WORDS = 15
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BACK = np.array([1], np.uint64)
-
-
-def _back_powers(n: int) -> np.ndarray:
-    global _BACK
-    if n > len(_BACK):
-        size = 1 << (n - 1).bit_length()
-        _BACK = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _INVERSE))))
-    return _BACK[:n]
+#: Ways in which windows that are alike within a batch are dealt.
+WAYS = 62
 
 
 def rolled(raw: np.ndarray) -> np.ndarray:
@@ -78,15 +78,17 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return ends
 
 
-def prefixes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the bytes before each place, and how many words start in them."""
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw)))))
+def words_before(raw: np.ndarray) -> np.ndarray:
+    """How many words start before each place."""
     solid = ~BLANK_BYTE[raw]
-    return total, np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
+    return np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
 
 
-def digests(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((total[ends] - total[starts]) * _back_powers(len(total))[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each stretch of bytes, as 64 and 32."""
+    all_ = b"".join(blake2b(raw[a:b], digest_size=12).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    parts = np.frombuffer(all_, np.dtype([("digest", "<i8"), ("tag", "<i4")]))
+    return parts["digest"], parts["tag"]
 
 
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +98,23 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = cuts(raw)
     starts = np.concatenate(([0], ends[:-1]))
-    total, begun = prefixes(raw)
-    return digests(total, starts, ends), starts << 22 | (ends - starts) << 11 | (begun[ends] - begun[starts])
+    begun = words_before(raw)
+    return digests(raw.tobytes(), starts, ends)[0], starts << 22 | (ends - starts) << 11 | (begun[ends] - begun[starts])
 
 
-def text_key(total: np.ndarray) -> int:
-    """22 bits that tell the texts of one id apart; total: hashes of prefixes."""
-    return int(mix(total[-1:] + np.uint64(len(total)))[0] >> np.uint64(42))
+def text_key(raw: bytes) -> int:
+    """64 bits that tell the texts of one id apart."""
+    return int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def windows(text: str, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest of each window, start << 32 | end, and key of the text << 41 | words before it << 10
-    | words beyond run_words (in the last chunk or the first, so below 1024)."""
+def windows(text: str, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of each window (64 and 32 bits), start << 32 | end, and words before it << 10 |
+    words beyond run_words (in the last chunk or the first, so below 1024)."""
     raw = as_bytes(text)
     if not len(raw):
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.concatenate(([0], cuts(raw)))
-    total, begun = prefixes(raw)
-    word = begun[edge]
+    word = words_before(raw)[edge]
     last = len(edge) - 1
     to = np.maximum(np.searchsorted(word, word[:-1] + run_words), np.arange(1, last + 1))  # beyond last: none
     back = np.minimum(np.searchsorted(word, word[1:] - run_words, "right") - 1, np.arange(last))  # -1: none
@@ -121,28 +122,44 @@ def windows(text: str, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarr
     j = np.flatnonzero(back >= 0) + 1
     j = j[to[back[j - 1]] != j]
     a, b = np.concatenate((i, back[j - 1])), np.concatenate((to[i], j))
-    return digests(total, edge[a], edge[b]), edge[a] << 32 | edge[b], text_key(total) << 41 | word[a] << 10 | (word[b] - word[a] - run_words)
-
-
-def window_rows(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
-    """(digest, doc_id, place, words) for each window of each document."""
-
-    def work(chunk):
-        found = [windows(t or "", run_words) for t in chunk.column(1).to_pylist()]
-        ids = np.repeat(chunk.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x[0]) for x in found])
-        digest, place, words = (np.concatenate([x[k] for x in found]) for k in range(3))
-        return [digest, ids, place, words]
-
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    return map_rows(some, ["doc_id", "text"], "digest long, doc_id long, place long, words long", work)
-
-
-def united(place: np.ndarray, words: np.ndarray, first: np.ndarray, run_words: int) -> list[tuple[int, int, int, int, int]]:
+    return *digests(raw.tobytes(), edge[a], edge[b]), edge[a] << 32 | edge[b], word[a] << 10 | (word[b] - word[a] - run_words)
+
+
+def window_rows(docs: DataFrame, run_words: int) -> DataFrame:
+    """(digest, tag, doc_id, key, place, words) for each window of each document (doc_id, text).
+    The lowest six bits of words are 0 where a batch has the digest once, 1 for the first of
+    several, beyond for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows, keys = [], [], []
+            for chunk in rows_in_chunks(iter([batch])):
+                rows += chunk.column(0).to_pylist()
+                for t in chunk.column(1).to_pylist():
+                    found.append(windows(t or "", run_words))
+                    keys.append(text_key((t or "").encode()) if len(found[-1][0]) else 0)
+            if not rows:
+                continue
+            digest, tag, place, words = (np.concatenate([x[k] for x in found]) for k in range(4))
+            _, first, of, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+            m = np.where(times[of] > 1, 2 + np.arange(len(digest)) % WAYS, 0)
+            m[first[times > 1]] = 1
+            n = [len(x[0]) for x in found]
+            columns = [digest, tag, np.repeat(np.array(rows, np.int64), n), np.repeat(np.array(keys, np.int64), n), place, words << 6 | m]
+            for at in range(0, len(digest), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], names=["digest", "tag", "doc_id", "key", "place", "words"])
+        release()
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "digest long, tag int, doc_id long, key long, place long, words long")
+
+
+def united(key: np.ndarray, place: np.ndarray, words: np.ndarray, first: np.ndarray, run_words: int) -> list[tuple[int, int, int, int, int]]:
     """(key, start, end, n_words, first) of the passages that the repeated windows of a document make."""
-    start, end, key = place >> 32, place & 0xFFFFFFFF, words >> 41
+    start, end = place >> 32, place & 0xFFFFFFFF
     order = np.lexsort((end, start, first, key))
     start, end, key, first = start[order], end[order], key[order], first[order]
-    before = words[order] >> 10 & 0x7FFFFFFF
+    before = words[order] >> 10
     after = before + run_words + (words[order] & 1023)
     other = np.concatenate(([True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])))
     group = np.cumsum(other) << 32
@@ -154,20 +171,27 @@ def united(place: np.ndarray, words: np.ndarray, first: np.ndarray, run_words: i
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
-    """(doc_id, key, start, end, n_words, first_doc_id): repeated passages with the key of their text."""
-    run_words = max(run_words, 1)
-    rows = window_rows(docs, id_col, text_col, run_words)
-    repeats = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "first")
-    marked = rows.join(repeats, "digest").select("doc_id", "place", "words", "first")
-    gathered = marked.groupBy("doc_id").agg(F.collect_set(F.struct("place", "words", "first")).alias("x")).select("doc_id", "x.place", "x.words", "x.first")
+    """(doc_id, key, start, end, n_words, first_doc_id): repeated passages with the key of their
+    text, as a table in the shared folder."""
+    run_words, spark = max(run_words, 1), docs.sparkSession
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
     def work(chunk):
         out = []
         for i, d in enumerate(chunk.column(0).to_pylist()):
-            out += [(d, *r) for r in united(*(np.asarray(chunk.column(k)[i].values) for k in (1, 2, 3)), run_words)]
+            out += [(d, *r) for r in united(*(np.asarray(chunk.column(k)[i].values) for k in (1, 2, 3, 4)), run_words)]
         return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(6)]
 
-    return map_rows(gathered, ["doc_id", "place", "words", "first"], "doc_id long, key int, start long, end long, n_words long, first_doc_id long", work)
+    with scratch(spark):
+        rows = window_rows(some, run_words).withColumn("m", F.col("words").bitwiseAND(63))
+        alike = Window.partitionBy("digest", F.greatest("m", F.lit(1)))
+        met = rows.withColumn("low", F.min("doc_id").over(alike)).withColumn("high", F.max("doc_id").over(alike)).where("low <> high OR m <> 0")
+        kept = stored(met.select("digest", "tag", "doc_id", "key", "place", F.shiftright("words", 6).alias("words")), "windows")
+        repeats = kept.groupBy("digest", "tag").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "tag", "first")
+        marked = kept.join(repeats, ["digest", "tag"]).select("doc_id", "key", "place", "words", "first")
+        gathered = marked.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place", "words", "first")).alias("x")).select("doc_id", "x.key", "x.place", "x.words", "x.first")
+        found = map_rows(gathered, ["doc_id", "key", "place", "words", "first"], "doc_id long, key long, start long, end long, n_words long, first_doc_id long", work)
+        return written(found, shared_dir(spark), "passages")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -188,7 +212,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for t, spans in zip(chunk.column(1).to_pylist(), chunk.column(2).to_pylist(), strict=True):
             if t and spans:
                 raw, at, kept = t.encode(), 0, []
-                key = text_key(prefixes(as_bytes(t))[0])
+                key = text_key(raw)
                 for s in spans:
                     if s["key"] == key and s["end"] > at:
                         start, end = max(s["start"], at), s["end"]
