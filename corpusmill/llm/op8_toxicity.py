@@ -1,21 +1,25 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, share their lowest order: how often
-each word stands in the whole corpus (counted over all documents, so it grows with them) and
-after how many different words it is seen in the labelled rows of either class.  A word that
-one class lacks thus has about the same probability in both, and only words whose use differs
-between the classes tell them apart.
-
-A document's evidence is the length-normalised difference of its two log-likelihoods, taken
-over the whole text, over the strongest window of WINDOW words and over the strongest word,
-since abuse is often a few words of a long text.  A logistic regression makes these into a probability; its inputs are
-cross-fitted (each half of the labelled rows is scored by models of the other half).
-
-Words are runs of letters and digits, lower-cased.  The class models know words and pairs by
-64-bit hashes; the shared order lies in a table of fixed size (SLOTS), where a collision can
-only smooth a little more.
-The models are fitted on at most PER_CLASS labelled rows of the classes (documented
-parameter); the corpus counts cover every document.
+Two interpolated Kneser-Ney bigram models, of toxic and of ordinary documents.  The top order
+has raw counts of pairs, the order below counts after how many different words a word stands;
+from each the fixed discount D = n1 / (n1 + 2 n2) is taken off (n1 and n2: how many counts are
+1 and 2), and what that frees goes to the order below.  Below both lies one shared order: how
+often each word stands in the whole corpus, and after how many different words in the labelled
+rows of either class.  A word that one class lacks is thus backed off to the same probability
+in both, and only words whose use differs between the classes tell them apart.
+
+A document's evidence is the length-normalised difference of its two log-likelihoods: over the
+whole text, over its strongest window of WINDOW words, and over its strongest single word (by
+the lower order), since abuse is often a few words of a long text.  A logistic regression makes
+these into a probability; its inputs are cross-fitted (each half of the labelled rows is scored
+by models of the other half).
+
+Words are runs of letters and digits, lower-cased, known by 64-bit hashes.  Corpus counts lie in
+a table by word that grows with the corpus; of words that stand in no labelled row the shared
+probability is the same on both sides and drops out, so scoring needs the counts of the sample's
+words alone.  The models are fitted on at most PER_CLASS labelled rows of the classes and at
+most TRAIN_CHARS characters of them (documented parameters); the corpus counts cover every
+document.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; without
 labels of both classes every score is the share of label 1 (0 without any); repeated rows get
@@ -31,15 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_in_chunks, table
+from .common import map_rows, release, rows_in_chunks, small_batches, table
 from .hashing import WORD_BYTE, as_bytes, mix, word_hashes
 from .labelled import held_out, training_rows
 
-SLOTS = 1 << 20
-PER_CLASS = (1500, 2500)
+PER_CLASS = (2500, 2500)
 WINDOW = 6
-#: Times the root of a count that is taken off it.
-DISCOUNT = 2.0
+#: Different words that a task holds before it passes their counts on.
+HELD_WORDS = 400_000
 #: Of the logistic regression.
 RIDGE = 0.1
 
@@ -50,28 +53,28 @@ def words(text: str) -> np.ndarray:
     return word_hashes(raw, WORD_BYTE[raw])[0]
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): occurrences of each word in all documents, counted in each task before they
+    are summed by word."""
 
-
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Occurrences of the words of all documents, by slot: pre-aggregated in each task, then
-    summed by slot, so at most SLOTS rows (a fixed bound) reach the driver."""
+    def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], names=["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for chunk in rows_in_chunks(batches):
-            texts = [t for t in chunk.column(0).to_pylist() if t]
-            if texts:
-                total += np.bincount(slots(words(" ".join(texts))), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], names=["slot", "n"])
+            found, times = np.unique(words(" ".join(t for t in chunk.column(0).to_pylist() if t)), return_counts=True)
+            keys, at = np.unique(np.concatenate((keys, found)), return_inverse=True)
+            n = np.bincount(at, np.concatenate((n, times)), minlength=len(keys)).astype(np.int64)
+            if len(keys) > HELD_WORDS:
+                yield from out(keys, n)
+                keys, n = keys[:0], n[:0]
+        yield from out(keys, n)
+        release()
 
-    got = docs.select(text_col).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.float32)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return out
+    small_batches(docs.sparkSession)
+    return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def bigrams(h: np.ndarray) -> np.ndarray:
@@ -79,17 +82,22 @@ def bigrams(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(3) + h[1:])
 
 
-def continuations(docs: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words (order 1) or pairs (2), as sorted hashes, and after how many different words each stands."""
-    item = [h if order == 1 else bigrams(h) for h in docs]
-    before = [np.concatenate((np.zeros(1, np.uint64), h))[: len(x)] for h, x in zip(docs, item, strict=True)]
-    item, before = (np.concatenate(x) if docs else np.zeros(0, np.uint64) for x in (item, before))
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def continuations(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words, as sorted hashes, and after how many different words (or the start) each stands."""
+    item = joined(docs)
+    before = joined([np.concatenate((np.zeros(1, np.uint64), h))[: len(h)] for h in docs])
     first = np.unique(mix(before * np.uint64(3) + item), return_index=True)[1]
     return np.unique(item[first], return_counts=True)
 
 
-def discounted(count: np.ndarray) -> np.ndarray:
-    return np.maximum(count - DISCOUNT * np.sqrt(count), 0)
+def discount(count: np.ndarray) -> float:
+    """Kneser and Ney's estimate; a half where there are no counts of 1 or 2."""
+    n1, n2 = int((count == 1).sum()), int((count == 2).sum())
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
@@ -100,50 +108,47 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: f
     return np.where(keys[at] == wanted, values[at], other)
 
 
+class Shared:
+    """The order that both classes back off to: the words' share of the corpus, mixed half and
+    half with their share of the continuation counts of the labelled rows; never 0."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: tuple[np.ndarray, np.ndarray, int, int]):
+        known, n, total, kinds = corpus
+        self.word, after = continuations(docs)
+        kinds = max(kinds, len(self.word), 1)
+        own = (after + 1) / (after.sum() + kinds)
+        self.share = 0.5 * own + 0.5 * (looked_up(known, n, self.word, 0.0) + 1) / (total + kinds)
+        self.other = 0.5 / (after.sum() + kinds) + 0.5 / (total + kinds)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return looked_up(self.word, self.share, h, self.other)
+
+
 class ClassModel:
-    """A bigram Kneser-Ney model of one class over a shared lowest order.
-
-    At both orders the counts are Kneser-Ney's: after how many different words something
-    stands, which copies of a passage don't raise.  The discount grows with the root of a
-    count, so what is rare is left to the shared order.  Words and pairs are found by their
-    64-bit hash.
-    """
-
-    def __init__(self, docs: list[np.ndarray], shared: np.ndarray):
-        none = [np.zeros(0, np.uint64)]
-        word, count = continuations(docs, 1)
-        share = discounted(count) / max(count.sum(), 1)
-        self.word, self.one = word[share > 0], share[share > 0]
-        self.shared, self.rest_of_all = shared, 1 - self.one.sum()
-        pair, count = continuations([h for h in docs if len(h) > 1], 2)
-        key, first = np.unique(np.concatenate([bigrams(h) for h in docs if len(h)] or none), return_index=True)
-        before = np.concatenate([h[:-1] for h in docs if len(h)] or none)[first[np.searchsorted(key, pair)]]
-        context, at = np.unique(before, return_inverse=True)
-        two = discounted(count) / np.bincount(at, count, minlength=len(context))[at] if len(pair) else np.zeros(0)
-        self.pair, self.two = pair[two > 0], two[two > 0]
-        taken = np.bincount(at, two, minlength=len(context))
-        self.context, self.rest = context[taken > 0], np.maximum(1 - taken[taken > 0], 1e-3)
+    """An interpolated Kneser-Ney bigram model of one class over the shared order."""
+
+    def __init__(self, docs: list[np.ndarray], shared: Shared):
+        self.shared = shared
+        self.word, count = continuations(docs)
+        d, total = discount(count), max(count.sum(), 1)
+        self.one, self.rest_of_all = (count - d) / total, d * len(count) / total if len(count) else 1.0
+        two = [h for h in docs if len(h) > 1]
+        self.pair, first, count = np.unique(joined([bigrams(h) for h in two]), return_index=True, return_counts=True)
+        d = discount(count)
+        self.context, at = np.unique(joined([h[:-1] for h in two])[first], return_inverse=True)
+        stands = np.bincount(at, count, minlength=len(self.context))
+        self.two = (count - d) / stands[at] if len(count) else np.zeros(0)
+        self.rest = d * np.bincount(at, minlength=len(self.context)) / stands if len(count) else np.zeros(0)
 
     def logs(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each word by itself and after the one before."""
-        one = looked_up(self.word, self.one, h, 0.0) + self.rest_of_all * self.shared[slots(h)]
+        """Log-probability of each word by the lower order and after the one before."""
+        one = looked_up(self.word, self.one, h, 0.0) + self.rest_of_all * self.shared.of(h)
         p = one.copy()
         if len(h) > 1:
             p[1:] = looked_up(self.pair, self.two, bigrams(h), 0.0) + looked_up(self.context, self.rest, h[:-1], 1.0) * one[1:]
         return np.log(one), np.log(p)
 
 
-def lowest_order(docs: list[np.ndarray], corpus: np.ndarray) -> np.ndarray:
-    """Shared probabilities: Kneser-Ney continuation counts of the labelled rows, mixed half
-    and half with the words' share of the corpus; never 0."""
-    after = np.zeros(SLOTS, np.float32)
-    word, count = continuations(docs, 1)
-    np.add.at(after, slots(word), count)
-    flat = np.float32(1.0)
-    mixed = 0.5 * (after + flat) / (after.sum() + SLOTS) + 0.5 * (corpus + flat) / (corpus.sum() + SLOTS)
-    return mixed.astype(np.float32)
-
-
 def evidence(h: np.ndarray, toxic: ClassModel, plain: ClassModel) -> tuple[float, float, float]:
     """Length-normalised log-likelihood differences: of the text, of its strongest window of
     WINDOW words, and of its strongest single word."""
@@ -172,7 +177,7 @@ class ToxicityModel:
         self.toxic, self.plain, self.weights = toxic, plain, weights
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, int]], totals: dict[int, int], corpus: np.ndarray) -> ToxicityModel:
+    def fit(cls, rows: list[tuple[np.ndarray, int]], totals: dict[int, int], corpus: tuple[np.ndarray, np.ndarray, int, int]) -> ToxicityModel:
         by = {k: [h for h, y in rows if y == k] for k in (0, 1)}
         if len(by[0]) < 2 or len(by[1]) < 2:
             p = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-6), 1 - 1e-6)
@@ -180,7 +185,7 @@ class ToxicityModel:
         x, y = [], []
         for half in (0, 1):
             learn = {k: by[k][half::2] for k in (0, 1)}
-            shared = lowest_order(learn[0] + learn[1], corpus)
+            shared = Shared(learn[0] + learn[1], corpus)
             toxic, plain = ClassModel(learn[1], shared), ClassModel(learn[0], shared)
             for k in (0, 1):
                 for h in by[k][1 - half :: 2]:
@@ -188,7 +193,7 @@ class ToxicityModel:
                     y.append(k)
         weights = fit_logistic(np.array(x), np.array(y, float))
         weights[-1] += np.log(totals[1] / totals[0]) - np.log(len(by[1]) / len(by[0]))
-        shared = lowest_order(by[0] + by[1], corpus)
+        shared = Shared(by[0] + by[1], corpus)
         return cls(ClassModel(by[1], shared), ClassModel(by[0], shared), weights)
 
     def score(self, text: str) -> float:
@@ -208,15 +213,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     at = flat.offsets.to_pylist() if got.num_rows else []
     learnt = [(flat.values[at[i] : at[i + 1]].to_numpy().view(np.uint64), y) for i, y in enumerate(got["label"].to_pylist())]
     learnt.sort(key=lambda r: (r[1], len(r[0]), r[0][:64].tobytes()))
-    model = ToxicityModel.fit(learnt, totals, corpus_counts(docs))
+    model = ToxicityModel.fit(learnt, totals, sample_counts(docs, joined([h for h, _ in learnt])))
     del learnt, flat, got
     pa.default_memory_pool().release_unused()  # the driver goes on without the training rows
     return model
 
 
+def sample_counts(docs: DataFrame, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of the corpus: the sample's words (sorted) and their occurrences, all occurrences, and how
+    many different words there are.  The whole table is counted; the sample's part is bounded."""
+    spark = docs.sparkSession
+    wanted = np.unique(sample)
+    ids = spark.createDataFrame(pa.table({"word": pa.array(wanted.view(np.int64)), "ours": pa.array(np.ones(len(wanted), bool))}))
+    counts = corpus_counts(docs).join(F.broadcast(ids), "word", "left")
+    # one row for the words that are not ours
+    found = counts.groupBy(F.when(F.col("ours"), F.col("word")).alias("word")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    n, kinds = found["n"].to_numpy(), found["kinds"].to_numpy()
+    known = found["word"].is_valid().to_numpy() if found.num_rows else np.zeros(0, bool)
+    word = found["word"].fill_null(0).to_numpy().view(np.uint64)[known]
+    order = np.argsort(word)
+    return word[order], n[known][order].astype(float), int(n.sum()), int(kinds.sum())
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns and score.  The model's tables have a bounded size: SLOTS floats
-    and the frequent words and pairs of the bounded sample."""
+    """The kept columns and score.  The model's tables have the size of the bounded sample: its
+    different words and pairs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
