@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its features: hashed words and hashed
-character n-grams (3 to 5 bytes, with word edges), and a
-feature for a word that follows itself.  A softmax over the average gives the
-class.  Vectors and output weights are learned together by stochastic gradient descent in
-numpy, on the driver, from a bounded sample of labelled rows (PER_CLASS rows of the classes,
-documented parameter) whose features the executors count.  As the output is linear in the
+A document is the average of learned vectors of its features: hashed words, hashed pairs of
+neighbouring words, and hashed character n-grams (3 to 5 bytes, with word edges).  In a pair a
+word that repeats the one before is written as "the same", so all such pairs share a vector;
+every feature weighs alike.  A softmax over the average gives the class.  Vectors and output weights are learned together by stochastic gradient descent in
+numpy, on the driver, from a bounded sample of labelled rows (at most PER_CLASS rows of the
+classes and TRAIN_CHARS characters of them, documented parameters) whose features the executors count.  As the output is linear in the
 average, each feature's share of the logit is known after training: executors score whole
 documents with one table look-up a feature.
 
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_rows, table
-from .hashing import BLANK_BYTE, as_bytes, gram_hashes, word_hashes
+from .hashing import BLANK_BYTE, as_bytes, gram_hashes, mix, word_hashes
 from .labelled import held_out, training_rows
 
 BUCKETS, DIM = 1 << 17, 12
-PER_CLASS, EPOCHS, RATE, SEED = (1000, 1000), 8, 0.5, 7
+PER_CLASS, EPOCHS, RATE, SEED = (1500, 1500), 8, 0.5, 7
 THRESHOLD = 0.3
-#: The word feature that stands for a word said again, whichever it is (as heavy as eight others).
-REPEATED = np.uint64(0x5EED)
+#: The pair of a word and "the same".
+SAME = np.uint64(0x5EED)
 
 
 def features(text: str) -> np.ndarray:
@@ -40,8 +40,8 @@ def features(text: str) -> np.ndarray:
     raw = as_bytes(f" {text} ")
     blank = BLANK_BYTE[raw]
     words = word_hashes(raw, ~blank)[0]
-    again = np.full(int((words[1:] == words[:-1]).sum()) * 8, REPEATED)
-    parts = [words, again, *(gram_hashes(raw, blank, n) for n in (3, 4, 5))]
+    pairs = np.where(words[1:] == words[:-1], SAME, mix(words[:-1] * np.uint64(3) + words[1:]))
+    parts = [words, pairs, *(gram_hashes(raw, blank, n) for n in (3, 4, 5))]
     return (np.concatenate(parts) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
