@@ -8,9 +8,9 @@ possible windows are verified as exact strings in the set of windows.  Both sets
 the expression (a literal set, shipped once a stage): a document is judged in its own row,
 with no join, no shuffle and no copy of its text.
 
-The sets are bounded: beyond SET_LIMIT windows or anchors the windows of documents and items
-are joined by their text instead, by whatever join Spark chooses for the sizes; spans are cut
-there as well.
+The sets are bounded: a benchmark of more than SET_LIMIT windows is taken in batches of that
+many, in the order of its items, each by a pass of the same kind over the texts; the driver
+holds one batch at a time.  What the passes find is gathered by the digest of the text.
 
 Words: A-Z are lower-cased, then runs of digits, letters and everything beyond ASCII.
 Anchors are compared in full lower case, which only finds more to verify.
@@ -24,16 +24,21 @@ other columns of either table are not read, and `decontaminate` keeps them.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import folded, let, scratch, shared_dir, stored, table, written
 
 WINDOW, ANCHOR = 13, 5
-#: Windows and anchors that may be shipped with the expression (some 10 MB).
+#: Windows that may be shipped with the expression (some 10 MB; neighbours share their anchors,
+#: of which there are nine times as many at most).
 SET_LIMIT = 60_000
+#: Hit windows and their items that may be broadcast to find the items of documents.
+BROADCAST_ITEMS = 200_000
 #: Contaminated: n_hit > 0 and SHARE * n_hit >= n_words.
 SHARE = 20
 #: The words of the contract, as they stand before A-Z are lower-cased.
@@ -59,44 +64,57 @@ def starts(w: Column, size, step: int = 1) -> Column:
     return F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+Batch = dict[int, tuple[list[str], list[int]]]  # l -> windows, anchors
+
+
+def anchor_of(size: int) -> int:
+    return min(ANCHOR, size)
+
+
 @dataclass
 class Windows:
-    """The windows of a benchmark: text -> ids of the items that hold it, by length."""
+    """The windows of a benchmark."""
 
-    table: DataFrame  # window, l, items
-    small: bool
-    by_length: dict[int, tuple[list[str], list[int]]]  # l -> windows, anchors; when small
+    table: DataFrame  # window, l, items, place
+    limit: int
+    only: Batch | None  # when all fit into one batch
 
+    @property
+    def small(self) -> bool:
+        return self.only is not None
 
-def anchor_of(size: int) -> int:
-    return min(ANCHOR, size)
+    def batches(self) -> Iterator[Batch]:
+        if self.small:
+            yield self.only
+            return
+        rows = self.table.orderBy("place").select("window", "l").toLocalIterator()
+        while some := list(islice(rows, self.limit)):
+            yield batch_of(self.table.sparkSession, some)
+
+
+def batch_of(spark: SparkSession, rows: list[Row]) -> Batch:
+    out: Batch = {}
+    w = F.split("window", " ")
+    for n in sorted({r["l"] for r in rows}):
+        g, texts = anchor_of(n), sorted(r["window"] for r in rows if r["l"] == n)
+        found = spark.createDataFrame([(t,) for t in texts], "window string").select(F.explode(F.transform(starts(w, g), lambda s: anchor_hash(w, s, g))).alias("h")).distinct().collect()
+        out[n] = texts, sorted(r["h"] for r in found)
+    return out
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = SET_LIMIT) -> Windows:
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
-    cut = items.withColumn("l", size).select("item", "l", F.explode(F.transform(starts(F.col("w"), F.col("l")), lambda s: run_text(F.col("w"), s, F.col("l")))).alias("window"))
-    found = cut.groupBy("window", "l").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    spark = benchmark.sparkSession
-    got = found.limit(limit + 1).collect()
-    if len(got) > limit:
-        return Windows(found, False, {})
-    local = spark.createDataFrame([tuple(r) for r in got], "window string, l int, items array<string>")
-    w = F.split("window", " ")
-    anchors: dict[int, set[int]] = {}
-    for n in {r["l"] for r in got}:
-        g = anchor_of(n)
-        rows = local.where(F.col("l") == n).select(F.explode(F.transform(starts(w, g), lambda s: anchor_hash(w, s, g))).alias("h")).distinct().collect()
-        anchors[n] = {r["h"] for r in rows}
-    if sum(map(len, anchors.values())) > limit:
-        return Windows(found, False, {})
-    return Windows(local, True, {n: (sorted(r["window"] for r in got if r["l"] == n), sorted(anchors[n])) for n in sorted(anchors)})
+    cut = items.withColumn("l", size).select("item", "l", F.posexplode(F.transform(starts(F.col("w"), F.col("l")), lambda s: run_text(F.col("w"), s, F.col("l")))).alias("at", "window"))
+    found = cut.groupBy("window", "l").agg(F.array_sort(F.collect_set("item")).alias("items"), F.min(F.struct("item", "at")).alias("place"))
+    got = found.select("window", "l").limit(limit + 1).collect()
+    return Windows(found, limit, batch_of(benchmark.sparkSession, got) if len(got) <= limit else None)
 
 
-def hit_spans(w: Column, windows: Windows) -> Column:
-    """Array of (s, l): where windows occur among the words (small benchmarks only)."""
+def hit_spans(w: Column, batch: Batch) -> Column:
+    """Array of (s, l): where windows of the batch occur among the words."""
     parts = []
-    for n, (texts, anchors) in windows.by_length.items():
+    for n, (texts, anchors) in batch.items():
         g = anchor_of(n)
         step = n - g + 1
         found = F.filter(F.when(F.size(w) >= n, starts(w, g, step)).otherwise(F.array().cast("array<int>")), lambda j: anchor_hash(w, j, g).isin(anchors))
@@ -106,48 +124,78 @@ def hit_spans(w: Column, windows: Windows) -> Column:
     return F.concat(*parts) if parts else F.array().cast(SPANS)
 
 
-def runs_of(w: Column, n: int):
-    return lambda s: F.struct(s.alias("s"), F.lit(n).alias("l"), run_text(w, s, n).alias("window"))
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once.  A filter on columns that are themselves
-    expressions is moved below them with the expressions written out at each use, and inside
-    lambdas they would run for each element; a lambda's variable can't be written out."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def covered(spans: Column) -> Column:
     """Number of words inside any span."""
     zero = F.struct(F.lit(1).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(F.array_sort(spans), zero, lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["l"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["s"] + x["l"] - F.greatest(a["end"], x["s"]))).alias("n")), lambda a: a["n"])
 
 
-def all_runs(w: Column, windows: Windows) -> Column:
-    """Array of (s, l, window): the runs of words that are as long as some window."""
-    lengths = sorted(r["l"] for r in windows.table.select("l").distinct().collect())  # 13 at most
-    return F.concat(*(F.transform(starts(w, n), runs_of(w, n)) for n in lengths))
-
-
 def is_contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (n_hit * SHARE >= n_words)
 
 
+def facts(text: Column, batch: Batch) -> Column:
+    """Struct of n_words, spans and found: the texts of the windows that occur."""
+    body = lambda w, spans: F.struct(F.size(w).alias("n_words"), spans.alias("spans"), F.array_distinct(F.transform(spans, lambda x: run_text(w, x["s"], x["l"]))).alias("found"))
+    return let(words(text), lambda w: let(hit_spans(w, batch), lambda spans: body(w, spans)))
+
+
+def text_hits(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
+    """(_key, n_words, spans, found) of each text with hits, by its digest: a pass over the texts
+    for each batch of windows.  What the passes find is stored."""
+    parts = None
+    for batch in windows.batches():
+        one = docs.select(F.md5(F.col(text_col)).alias("_key"), facts(F.col(text_col), batch).alias("x")).select("_key", "x.*").where(F.size("spans") > 0)
+        one = stored(one.dropDuplicates(["_key"]), "hits")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("found")).alias("found"))
+
+
 def contamination(docs: DataFrame, windows: Windows, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
-    row = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if windows.small:
-        facts = let(words(F.col("_text")), lambda w: let(hit_spans(w, windows), lambda found: F.struct(F.size(w).alias("n_words"), covered(found).alias("n_hit"), F.array_distinct(F.transform(found, lambda x: run_text(w, x["s"], x["l"]))).alias("found"))))
-        judged = row.select("_row", "_id", facts.alias("x")).select("_row", "_id", "x.n_words", "x.n_hit", F.explode_outer("x.found").alias("window"))
-        hits = judged.join(F.broadcast(windows.table.select("window", "items")), "window", "left")
-        grouped = hits.groupBy("_row", "_id", "n_words", "n_hit").agg(F.flatten(F.collect_set("items")).alias("items"))
-    else:
-        runs = all_runs(F.col("_w"), windows)
-        spread = row.withColumn("_w", words(F.col("_text"))).select("_row", "_id", F.size("_w").alias("n_words"), F.explode_outer(runs).alias("x")).select("_row", "_id", "n_words", F.col("x.s").alias("s"), F.col("x.l").alias("l"), F.col("x.window").alias("window"))
-        hits = spread.join(windows.table.select("window", "items"), "window", "left")
-        grouped = hits.groupBy("_row", "_id", "n_words").agg(F.flatten(F.collect_set("items")).alias("items"), covered(F.collect_list(F.when(F.col("items").isNotNull(), F.struct("s", "l")))).alias("n_hit"))
-    out = grouped.select("_id", "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
-    return out.select(F.col("_id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs, as a table
+    in the shared folder."""
+    spark = docs.sparkSession
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    with scratch(spark):
+        if windows.small:
+            judged = plain.select("_id", facts(F.col("_text"), windows.only).alias("x"))
+            rows = judged.select("_id", "x.n_words", F.col("x.spans").alias("spans"), F.col("x.found").alias("found"))
+        else:
+            hits = text_hits(plain, windows, "_text").drop("n_words")
+            keyed = plain.select("_id", F.size(words(F.col("_text"))).alias("n_words"), F.md5("_text").alias("_key"))
+            rows = keyed.join(hits, "_key", "left").select("_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("found", F.array().cast("array<string>")).alias("found"))
+        # the texts are read once; only rows with hits look for their items
+        rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "n_words", covered(F.col("spans")).alias("n_hit"), "found"), "judged")
+        hit = rows.where(F.size("found") > 0).select("_row", F.explode("found").alias("window"))
+        items = windows.table.select("window", "items")
+        few = windows.small and items.agg(F.sum(F.size("items")).alias("n")).first()["n"] or 0
+        of = hit.join(F.broadcast(items) if windows.small and few <= BROADCAST_ITEMS else items, "window")
+        named = of.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        with_items = rows.where(F.size("found") > 0).join(named, "_row").select("_id", "n_words", "n_hit", "items")
+        without = rows.where(F.size("found") == 0).select("_id", "n_words", "n_hit", F.array().cast("array<string>").alias("items"))
+        out = with_items.unionByName(without)
+        return written(out.select(F.col("_id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated")), shared_dir(spark), "contamination")
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """text without the words inside spans; what stands between words stays."""
+    zero = "struct<s:int,e:int>"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        e = x["s"] + x["l"]
+        new = F.struct(F.greatest(at, x["s"]).alias("s"), e.alias("e"))
+        return F.greatest(at, e), F.when(e > at, F.array(new)).otherwise(F.array().cast(f"array<{zero}>"))
+
+    def cut(gaps: Column, w: Column, gone: Column) -> Column:
+        solid = F.zip_with(F.slice(gaps, F.lit(1), F.size(w)), w, lambda a, b: F.concat(a, b))  # each word behind its gap
+        before = lambda i: F.when(i > 0, F.get(gone, i - 1)["e"]).otherwise(F.lit(1))
+        part = lambda all_: lambda x, i: F.concat(F.array_join(F.slice(all_, before(i), x["s"] - before(i)), ""), F.array_join(F.slice(gaps, x["s"], x["e"] - x["s"]), ""))
+        last = F.element_at(gone, -1)["e"]
+        rest = lambda all_: F.array_join(F.slice(all_, last, F.size(w) - last + 1), "")
+        return let(solid, lambda all_: F.concat(F.array_join(F.transform(gone, part(all_)), ""), rest(all_), F.element_at(gaps, -1)))
+
+    whole = let(F.split(text, WORD, -1), lambda gaps: let(words(text), lambda w: let(folded(F.array_sort(spans), 1, step, zero), lambda gone: cut(gaps, w, gone))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", mode: str = "documents") -> DataFrame:
@@ -155,25 +203,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     every text (mode "spans").  All columns are kept."""
     windows = benchmark_windows(benchmark)
     key = F.md5(F.col(text_col))
-    if not windows.small and mode == "documents":
-        bad = contamination(docs.select(key.alias("_key"), text_col).dropDuplicates(["_key"]), windows, "_key", text_col).where("contaminated").select("_key")
-        return docs.join(bad, key == bad["_key"], "left_anti")
-    if mode == "documents":
-        bad = let(words(F.col(text_col)), lambda w: let(hit_spans(w, windows), lambda found: is_contaminated(F.size(w), covered(found))))
+    if mode == "documents" and windows.small:
+        bad = let(words(F.col(text_col)), lambda w: let(hit_spans(w, windows.only), lambda spans: is_contaminated(F.size(w), covered(spans))))
         return docs.where(~bad)
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), key.alias("_key")).withColumn("_w", words(F.col("_text")))
+    if mode == "documents":
+        bad = text_hits(docs, windows, text_col).where(is_contaminated(F.col("n_words"), covered(F.col("spans")))).select(F.col("_key").alias("_bad_key"))
+        return docs.join(bad, key == bad["_bad_key"], "left_anti")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), key.alias("_key"))
     if windows.small:
-        found = packed.withColumn("_spans", hit_spans(F.col("_w"), windows))
-    else:  # of each text once, joined by the windows
-        texts = docs.select(key.alias("_key"), F.col(text_col).alias("_text")).dropDuplicates(["_key"]).withColumn("_w", words(F.col("_text")))
-        hits = texts.select("_key", F.explode(all_runs(F.col("_w"), windows)).alias("x")).select("_key", "x.s", "x.l", "x.window").join(windows.table.select("window"), "window", "left_semi")
-        spans = hits.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("s", "l"))).alias("_spans"))
-        found = packed.join(spans, "_key", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPANS)))
-    judged = found.withColumn("_gaps", F.split("_text", WORD, -1))
-    hit = lambda i: F.exists("_spans", lambda x: (i >= x["s"]) & (i < x["s"] + x["l"]))
-    rest = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.concat(F.get("_gaps", i - 1), F.when(hit(i), F.lit("")).otherwise(F.get("_w", i - 1)))), ""), F.get("_gaps", F.size("_w")))
-    cut = F.when(F.size("_spans") > 0, rest).otherwise(F.col("_text"))
-    return judged.select(*(cut.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+        found = packed.withColumn("_spans", let(words(F.col("_text")), lambda w: hit_spans(w, windows.only)))
+    else:
+        found = packed.join(text_hits(docs, windows, text_col).select("_key", F.col("spans").alias("_spans")), "_key", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPANS)))
+    cut = without_spans(F.col("_text"), F.col("_spans"))
+    return found.select(*(cut.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
