@@ -8,7 +8,8 @@ lossy DCT of common motion-JPEG could not return the stored bytes.)  Frames lie
 list of a RIFF/AVI file with an idx1 index.
 
 Reading.  The RIFF chunks are parsed, idx1 locates the frames, every frame is decoded by
-itself.  Shots: the 16-bin histogram difference between neighbouring frames is held against
+itself; lossless frames with other Huffman tables, predictors and widths are read as well, one
+sample at a time.  Shots: the 16-bin histogram difference between neighbouring frames is held against
 an adaptive threshold, mean plus three deviations of the preceding differences of the shot;
 each shot is a clip with its times.
 
@@ -46,7 +47,7 @@ def _words() -> np.ndarray:
 WORD = _words()
 DIFFERENCE = np.zeros(512, np.int16)
 DIFFERENCE[WORD] = np.arange(-255, 256)
-HUFFMAN = bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1))
+HUFFMAN = b"\0" + bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1))
 
 
 def _pack(samples: np.ndarray) -> np.ndarray:
@@ -79,7 +80,7 @@ def _unpack(coded: np.ndarray) -> np.ndarray:
 def _jpeg(rows: int, coded: bytes) -> bytes:
     return (
         b"\xff\xd8" + b"\xff\xc3" + struct.pack(">HBHHB3B", 11, 8, rows, WIDTH, 1, 1, 0x11, 0)
-        + b"\xff\xc4" + struct.pack(">HB", 3 + len(HUFFMAN), 0) + HUFFMAN
+        + b"\xff\xc4" + struct.pack(">H", 2 + len(HUFFMAN)) + HUFFMAN
         + b"\xff\xda" + struct.pack(">HB2B3B", 8, 1, 1, 0, 1, 0, 0) + coded.replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
     )
 
@@ -116,24 +117,68 @@ def _parts(data: bytes, at: int, end: int):
         at += 8 + size + (size & 1)
 
 
-def _scan(frame: bytes) -> tuple[int, bytes]:
-    """Rows and coded bytes of a frame written by this module."""
-    at, rows, table_ok = 2, 0, False
+def _scan(frame: bytes) -> tuple[int, int, int, list[tuple[bytes, bytes]], bytes]:
+    """Rows, width and predictor of a lossless frame of one component, its Huffman tables (id and
+    definition) and its coded bytes."""
+    at, rows, width, tables = 2, 0, 0, []
     while frame[at + 1] != 0xDA:
-        size = struct.unpack_from(">H", frame, at + 2)[0]
-        if frame[at + 1] == 0xC3:
-            rows = struct.unpack_from(">H", frame, at + 5)[0]
-        if frame[at + 1] == 0xC4:
-            table_ok = frame[at + 5 : at + 2 + size] == HUFFMAN
+        kind, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        if kind == 0xC3:
+            bits, rows, width, parts = struct.unpack_from(">BHHB", frame, at + 4)
+            if bits != 8 or parts != 1:
+                raise ValueError("not an 8-bit frame of one component")
+        elif kind in (0xC0, 0xC1, 0xC2, *range(0xC5, 0xC8), *range(0xC9, 0xD0), 0xDD):
+            raise ValueError(f"not a lossless Huffman frame without restarts: marker {kind:#x}")
+        elif kind == 0xC4:
+            place, end = at + 4, at + 2 + size
+            while place < end:
+                n = 17 + sum(frame[place + 1 : place + 17])
+                tables.append((frame[place : place + 1], frame[place + 1 : place + n]))
+                place += n
         at += 2 + size
-    if not rows or not table_ok:
-        raise ValueError("not a lossless JPEG frame with the 9-bit table")
+    if not rows or not tables:
+        raise ValueError("not a lossless JPEG frame")
+    used, predictor = frame[at + 6] >> 4, frame[at + 7]
     at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
-    return rows, frame[at:-2].replace(b"\xff\x00", b"\xff")
+    coded = frame[at:-2].replace(b"\xff\x00", b"\xff")
+    return rows, width, predictor, [(k, d) for k, d in tables if k[0] & 15 == used][-1:], coded
+
+
+def _plain(rows: int, width: int, predictor: int, table: bytes, coded: bytes) -> np.ndarray:
+    """Samples of a frame with any Huffman table and predictor, bit by bit."""
+    symbol, code, at = {}, 0, 16
+    for length in range(1, 17):
+        for _ in range(table[length - 1]):
+            symbol[length, code] = table[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    bits = np.unpackbits(np.frombuffer(coded, np.uint8)).tolist()
+    x, place = np.zeros((rows, width), np.int32), 0
+    for r in range(rows):
+        for c in range(width):
+            length, code = 1, bits[place]
+            while (length, code) not in symbol:
+                code = code << 1 | bits[place + length]
+                length += 1
+            s, place, value = symbol[length, code], place + length, 0
+            for bit in bits[place : place + s]:
+                value = value << 1 | bit
+            place += s
+            d = value if not s or value >> (s - 1) else value - (1 << s) + 1
+            left, up, corner = (int(x[r, c - 1]) if c else 0), (int(x[r - 1, c]) if r else 0), (int(x[r - 1, c - 1]) if r and c else 0)
+            if not c:
+                guess = up if r else 128
+            elif not r:
+                guess = left
+            else:
+                guess = (0, left, up, corner, left + up - corner, left + (up - corner >> 1), up + (left - corner >> 1), left + up >> 1)[predictor]
+            x[r, c] = guess + d & 255
+    return x.astype(np.uint8)
 
 
 def read_avi(data: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-    """Samples (rows of 192), the first row of each frame, frames a second."""
+    """Samples (rows of the frames' width), the first row of each frame, frames a second.  Frames
+    as this module writes them are decoded together, others one by one."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     movi, index, fps = 0, b"", float(FPS)
@@ -146,18 +191,18 @@ def read_avi(data: bytes) -> tuple[np.ndarray, np.ndarray, float]:
                     fps = 1e6 / struct.unpack_from("<I", data, where)[0]
         elif kind == b"idx1":
             index = data[at : at + size]
-    coded, starts, row = [], [], 0
-    for _, _, offset, size in struct.iter_unpack("<4sIII", index):
-        rows, bits = _scan(data[movi + offset + 8 : movi + offset + 8 + size])
-        coded.append(bits)
-        starts.append(row)
-        row += rows
-    return _unpack(np.frombuffer(b"".join(coded), np.uint8)), np.array(starts), fps
+    frames = [_scan(data[movi + offset + 8 : movi + offset + 8 + size]) for _, _, offset, size in struct.iter_unpack("<4sIII", index)]
+    starts = np.cumsum([0, *(f[0] for f in frames[:-1])])
+    own = all(w == WIDTH and p == 1 and t[0][1] == HUFFMAN[1:] for _, w, p, t, _ in frames) and all(f[0] == ROWS for f in frames[:-1])
+    if own:
+        return _unpack(np.frombuffer(b"".join(f[4] for f in frames), np.uint8)), starts, fps
+    return np.concatenate([_plain(r, w, p, t[0][1], c) for r, w, p, t, c in frames]), starts, fps
 
 
-def histograms(samples: np.ndarray) -> np.ndarray:
-    frame = np.repeat(np.arange(-(-len(samples) // ROWS)), ROWS * WIDTH)[: samples.size]
-    return np.bincount(frame * BINS + (samples.ravel() >> 4), minlength=(frame[-1] + 1) * BINS).reshape(-1, BINS)
+def histograms(samples: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A histogram of BINS bins for each frame."""
+    frame = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(samples))) * samples.shape[1])
+    return np.bincount(frame * BINS + (samples.ravel() >> 4), minlength=len(starts) * BINS).reshape(-1, BINS)
 
 
 def shots(hist: np.ndarray) -> list[tuple[int, int]]:
@@ -178,8 +223,8 @@ def shots(hist: np.ndarray) -> list[tuple[int, int]]:
     return [*out, (first, len(hist))]
 
 
-def feature(samples: np.ndarray) -> str:
-    hist = histograms(samples)
+def feature(samples: np.ndarray, starts: np.ndarray) -> str:
+    hist = histograms(samples, starts)
     return f"frames={len(hist)};shots={len(shots(hist))};levels={'-'.join(map(str, hist.sum(axis=0).tolist()))}"
 
 
@@ -200,9 +245,9 @@ def read_media(media: DataFrame, keep: list[str], media_col: str = "media") -> D
     def work(chunk):
         out = []
         for m in chunk.column(len(keep)).to_pylist():
-            samples = read_avi(m)[0]
+            samples, starts, _ = read_avi(m)
             raw = samples.tobytes()
-            out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples)))
+            out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(samples, starts)))
         return [*(chunk.column(i) for i in range(len(keep))), *map(list, zip(*out, strict=True))]
 
     return map_rows(media.where(F.col(media_col).isNotNull()), [*keep, media_col], f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", work)
@@ -216,7 +261,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
         for i, m in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
             samples, starts, fps = read_avi(m)
             rows = [*starts.tolist(), len(samples)]
-            for k, (a, b) in enumerate(shots(histograms(samples))):
+            for k, (a, b) in enumerate(shots(histograms(samples, starts))):
                 out.append((i, k, a / fps, b / fps, b - a, float(samples[rows[a] : rows[b]].mean())))
         return list(map(list, zip(*out, strict=True)))
 
@@ -226,3 +271,8 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return read_media(to_media(docs, ["doc_id", "n_bytes"]), ["doc_id", "n_bytes"])
+
+
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips of every document's file."""
+    return clips(to_media(table(spark, sf_dir, "documents"), ["doc_id"]))

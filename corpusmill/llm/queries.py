@@ -16,6 +16,7 @@ MODULES = {
     "op8_toxicity": "op8_toxicity",
     "op9_quality": "op9_quality",
     "op10_pii": "op10_pii",
+    "media_clips": "op4_media",
 }
 
 
@@ -24,5 +25,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
+    found = {name: getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items() if name == module}
     return {name: sql for name, sql in found.items() if sql}
