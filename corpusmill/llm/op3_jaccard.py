@@ -1,7 +1,13 @@
 """N-gram Jaccard join by universe partition and pigeonhole, with exact verification.
 
-A document is the set of its distinct word shingles, as 64-bit hashes.  Equal sets form one
-class; classes are joined.
+A document is the set of its distinct word shingles.  Documents whose words are the same in
+the same order form one class (by a 128-bit cryptographic digest); classes are joined.
+
+Exactness.  A shingle is counted and compared by its words: within a text, and between two
+texts, words become numbers by their bytes and shingles numbers by pairs of numbers.  64-bit
+hashes of shingles serve for the filter alone, where a clash can only bring one more candidate:
+equal shingles have equal hashes, so a set keeps as many hashes as it has shingles, and what
+similar sets share they share in hashes as well.
 
 Filter.  Sets are put into bands by size, such that similar sets lie in the same band or in
 neighbouring ones; each set appears in its own band and in the one below.  For a band, at
@@ -15,22 +21,24 @@ one member), which also bear a single difference in the segment.  Empty segments
 signature; the rare sets whose segments don't suffice are matched through a second table of
 empty segments.
 
-Candidates.  Rows that share a signature form a bucket.  Instead of all pairs, each round
-takes leaders and compares them with the members that they aren't linked with so far; what is
-verified is contracted into components, and a bucket is done when its members that never led
-lie in one component, so no link between different components is lost however large the
-bucket.  The leaders of a bucket become four times
-as many each round; small buckets are compared at once.
+Candidates.  Rows that share a signature form a bucket.  One shuffle of (signature, id) finds
+those of more than one row; of rows that share a signature within one Arrow batch only the
+first goes to the bucket's task, the others (already known to have company) are dealt by salt,
+so a signature that a third of all rows hold doesn't meet in one task.  In buckets of up to
+SMALL members all are compared.  Beyond, each round takes leaders and compares them with the
+members that they aren't linked with so far; what is verified is contracted into components,
+and a bucket is done when its members that never led lie in one component, so no link between
+different components is lost however large the bucket.  The leaders of a bucket become four
+times as many each round.  Leaders are found by group limits and joined to members by joins
+whose skewed partitions Spark splits.
 
 Before a pair is verified, its sizes and the sets' parity sketches (512 bits; d differing
-members change at most d of them) must leave room for similarity: most pairs of unlike sets
-that share a bucket end there, inside the join.
-
-Verification.  Sets are made again from the texts and compared exactly; a leader's text is
-read once for a salted part of its partners, which stream past it.
+members change at most d of them) must leave room for similarity.
 
-Components are found by random contraction of the links, in tables; nothing of that size
-reaches the driver.
+Verification.  A leader's text is read once for a salted part of its partners, which stream
+past it.  Components are found by contraction of the links, in tables; new links are
+contracted over the roots of the old ones.  Nothing of that size reaches the driver; tables
+are removed when their successors are stored.
 
 Defined results: a null, empty or blank text has no shingles and is its own component; a text
 of fewer words than a shingle is one shingle; rows that share an id count as one document,
@@ -44,13 +52,15 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, release, rows_in_chunks, scratch, shared_dir, stored, table, written
+from .common import discard, map_rows, release, rows_in_chunks, scratch, shared_dir, small_batches, stored, table, written
 from .hashing import BLANK_BYTE, as_bytes, mix, word_hashes
 
 SHINGLE, SIMILAR = 4, 85
@@ -62,38 +72,77 @@ LEAST_MEMBERS = 2.2
 SKETCH = 8
 #: Buckets up to this size are compared at once; larger ones by leaders.
 SMALL = 6
-#: Ids that may be broadcast (16 MB); beyond that they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids that may be broadcast (16 MB), and pairs; beyond that they are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 100_000
 #: Partners of a leader that one task reads.
 SALT_ROWS = 256
+#: Ways in which rows of one signature and batch are dealt.
+WAYS = 62
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SKETCHES = [f"k{i}" for i in range(SKETCH)]
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text."""
-    raw = LOWER[as_bytes(text)]
-    h = word_hashes(raw, ~BLANK_BYTE[raw])[0]
-    k = min(size, len(h))
-    if not k:
-        return h
-    total = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-        total ^= total >> np.uint64(29)
-    return np.unique(mix(total))
+def words(text: str | None) -> list[bytes]:
+    """Runs of bytes other than 32 and 9 to 13, A-Z lower-cased (bytes know ASCII only)."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed integers."""
-    a = mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0)
-    b = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) if len(s) else np.uint64(0)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+class Grams:
+    """The distinct shingles of a text, numbered exactly.
 
+    Words are numbered by their bytes.  Two neighbouring (or overlapping) runs make a longer
+    run, numbered by the pair of their numbers, until runs are as long as a shingle.
+    """
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
+    def __init__(self, found: list[bytes], size: int):
+        self.size = min(size, len(found))
+        self.number = dict(zip(dict.fromkeys(found), count()))
+        now = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        self.levels, run = [], 1
+        self.first = np.unique(now, return_index=True)[1] if self.size == 1 else now[:0]
+        while run < self.size:
+            step = min(run, self.size - run)
+            most = int(now.max()) + 1
+            pair = now[: len(now) - step] * most + now[step:]
+            known, self.first, now = np.unique(pair, return_index=True, return_inverse=True)
+            self.levels.append((step, most, known))
+            run += step
+
+    @property
+    def n(self) -> int:
+        return len(self.first)
+
+    def hashes(self, text: str) -> np.ndarray:
+        """Sorted 64-bit hashes, one for each shingle of the text."""
+        raw = LOWER[as_bytes(text)]
+        h = word_hashes(raw, ~BLANK_BYTE[raw])[0]
+        total = np.full(len(self.first), np.uint64(self.size))
+        for i in range(self.size):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + h[self.first + i]
+            total ^= total >> np.uint64(29)
+        return np.sort(mix(total))
+
+    def shared(self, found: list[bytes], size: int) -> int:
+        """How many distinct shingles of the other text are among these."""
+        if min(size, len(found)) != self.size:
+            return 0
+        now = np.fromiter((self.number.get(w, -1) for w in found), np.int64, len(found))
+        for step, most, known in self.levels:
+            left, right = now[: len(now) - step], now[step:]
+            pair = np.where((left >= 0) & (right >= 0), left * most + right, -1)
+            at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+            now = np.where(known[at] == pair, at, -1)
+        return len(np.unique(now[now >= 0]))
+
+
+def digest(found: list[bytes]) -> bytes | None:
+    """128 bits that name the words in their order; none without words."""
+    return blake2b(b" ".join(found), digest_size=16).digest() if found else None
+
+
+def enough(both: int, a: int, b: int, percent: int) -> bool:
+    return both > 0 and 100 * both >= percent * (a + b - both)
 
 
 @dataclass(frozen=True)
@@ -116,7 +165,10 @@ class Band:
 
 def _short(m: int, need: int, n: int) -> float:
     """Bound on the chance that n random members fill fewer than need of m segments."""
-    return 0.0 if need <= 1 else math.exp(math.log(math.comb(m, need - 1)) + n * math.log((need - 1) / m))
+    if need <= 1:
+        return 0.0
+    ways = math.lgamma(m + 1) - math.lgamma(need) - math.lgamma(m - need + 2)
+    return math.exp(min(ways + n * math.log((need - 1) / m), 0.0))
 
 
 class Plan:
@@ -170,15 +222,15 @@ class Plan:
                     sigs.append(mix((total[segment] - value)[more] + band.salts[segment[more]]))
                     bare = blank[size <= 1]
                     # a segment of one member bears no difference: without it nothing is left to match
-                    enough = n + int((size > 1).sum()) >= need
+                    suffices = n + int((size > 1).sum()) >= need
                 else:
                     bare = blank[size == 0]
-                    enough = n >= need
+                    suffices = n >= need
                     if n > need + 1:
                         full = full[np.argsort(-size[full], kind="stable")][: n - (n - need) // 2]
                 sigs.append(mix(total[full] + band.salts[full]))
                 empty.append(bare)
-                if not enough:
+                if not suffices:
                     needed.append(bare)
         none = [np.zeros(0, np.uint64)]
         return tuple(np.concatenate(x or none).view(np.int64) for x in (sigs, empty, needed))
@@ -189,19 +241,62 @@ def _plan(percent: int) -> Plan:
     return Plan(percent)
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """A row a document: id, number of the row, n, digest and signatures; written to the shared folder."""
+def digests(docs: DataFrame) -> DataFrame:
+    """A row a row of docs (doc_id, text): doc_id, dg (digest of the words, none without)."""
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, dg binary", lambda chunk: [chunk.column(0), [digest(words(t)) for t in chunk.column(1).to_pylist()]])
 
-    def work(chunk):
-        plan, out = _plan(percent), []
-        for t in chunk.column(2).to_pylist():
-            s = shingles(t or "", size)
-            out.append((len(s), *digest(s), *plan.signatures(s)))
-        return [chunk.column(0), chunk.column(1), *map(list, zip(*out, strict=True))]
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    found = map_rows(rows, ["doc_id", "row", "text"], "doc_id long, row long, n int, d1 long, d2 long, sigs array<long>, empty array<long>, needed array<long>", work)
-    return stored(found, "sets")
+def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, doc, m) for every signature.  m is 0 where a batch has the signature once, 1 for the
+    first of several, beyond for the others; keys of empty segments that a set needs have -1.
+    A row with m = -2 - n for each text holds the size n of its set and, as sig, its digest's
+    first 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = _plan(percent)
+        for batch in batches:
+            sigs, needs, rows, names, sizes = [], [], [], [], []
+            for chunk in rows_in_chunks(iter([batch])):
+                for d, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
+                    if found := words(t):
+                        g = Grams(found, size)
+                        s, _, needed = plan.signatures(g.hashes(t))
+                        rows.append(d)
+                        sigs.append(s)
+                        needs.append(needed)
+                        names.append(int.from_bytes(digest(found)[:8], "big", signed=True))
+                        sizes.append(-2 - g.n)
+            if not rows:
+                continue
+            ids, flat, more = np.array(rows, np.int64), np.concatenate(sigs), np.concatenate(needs)
+            _, first, of, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+            m = np.where(times[of] > 1, 2 + np.arange(len(flat)) % WAYS, 0).astype(np.int32)
+            m[first[times > 1]] = 1
+            sig = np.concatenate((flat, more, np.array(names, np.int64)))
+            doc = np.concatenate((np.repeat(ids, [len(x) for x in sigs]), np.repeat(ids, [len(x) for x in needs]), ids))
+            m = np.concatenate((m, np.full(len(more), -1, np.int32), np.array(sizes, np.int32)))
+            for at in range(0, len(sig), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (sig, doc, m)], names=["sig", "doc", "m"])
+        release()
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc long, m int")
+
+
+def empty_segments(docs: DataFrame, keys: list[int], size: int, percent: int) -> DataFrame:
+    """(key, b) for every set that has one of the segments empty."""
+    wanted = np.array(sorted(keys), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = _plan(percent)
+        for chunk in rows_in_chunks(batches):
+            got = [np.intersect1d(plan.signatures(Grams(words(t), size).hashes(t or ""))[1], wanted) for t in chunk.column(1).to_pylist()]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got), pa.int64()), pa.array(np.repeat(np.array(chunk.column(0).to_pylist(), np.int64), [len(x) for x in got]))], names=["key", "b"])
+        release()
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, b long")
 
 
 def sketch(s: np.ndarray) -> list[int]:
@@ -211,133 +306,208 @@ def sketch(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
-def may_be_similar(percent: int):
+def may_be_similar(percent: int) -> Column:
     """Whether sizes and sketches of the two sides (…_a, …_b) leave room for similarity."""
     total = F.col("n_a") + F.col("n_b")
     most = total - 2 * F.ceil(total * percent / (100 + percent))
     apart = F.lit(0)
-    for i in range(SKETCH):
-        apart = apart + F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b")))
+    for k in SKETCHES:
+        apart = apart + F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b")))
     return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (apart <= most)
 
 
-def same(a: str, b: str):
-    return F.col(a) == F.col(b)
+def few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def keyed(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
+    """df semi- or anti-joined with distinct ids (one column of the same name); the ids are
+    broadcast only when they are counted to be few."""
+    return df.join(F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids, col, how)
 
 
 def contracted(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of the links (a, b): equal roots for connected nodes.
 
-    Each turn every node moves to the neighbour (or itself) of least random rank, which leaves
-    a fraction of the nodes; links that have become loops go.
+    Each turn every node moves to the neighbour (or itself) of least rank; links that have
+    become loops go.  Ranks are the ids in the first turn, which ends stars around a least id,
+    and random later, which leaves a fraction of the nodes each turn.
     """
     spark = edges.sparkSession
     edges = stored(edges.where("a <> b").distinct(), "links")
     roots, turn = None, 0
     while not edges.isEmpty():
-        rank = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731
+        rank = lambda c: F.xxhash64(F.lit(turn), c) if turn else c  # noqa: B023, E731
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
         best = both.groupBy("v").agg(F.min(F.struct(rank(F.col("w")).alias("r"), F.col("w"))).alias("x"))
         moved = stored(best.select("v", F.when(F.struct(rank(F.col("v")).alias("r"), F.col("v").alias("w")) < F.col("x"), F.col("v")).otherwise(F.col("x.w")).alias("to")), "moved")
         step = lambda df, c: df.join(moved.withColumnRenamed("v", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-        roots = moved.select(F.col("v").alias("node"), F.col("to").alias("root")) if roots is None else step(roots, "root").unionByName(moved.join(roots.select(F.col("node").alias("v")), "v", "left_anti").select(F.col("v").alias("node"), F.col("to").alias("root")))
-        roots = stored(roots, "roots")
+        old_roots, old_edges = roots, edges
+        named = moved.select(F.col("v").alias("node"), F.col("to").alias("root"))
+        roots = stored(named if roots is None else step(roots, "root").unionByName(named.join(roots.select("node"), "node", "left_anti")), "roots")
         edges = stored(step(step(edges, "a"), "b").where("a <> b").distinct(), "links")
+        discard(moved, old_roots, old_edges)
         turn += 1
+    discard(edges)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
+def rooted(df: DataFrame, roots: DataFrame | None, col: str, name: str) -> DataFrame:
+    """df with the root of the node in col, which is itself where it has none."""
+    if roots is None:
+        return df.withColumn(name, F.col(col))
+    return df.join(roots.select(F.col("node").alias(col), F.col("root").alias("_root")), col, "left").withColumn(name, F.coalesce("_root", col)).drop("_root")
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots after new links, which are contracted over the old roots."""
+    new = contracted(rooted(rooted(links, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if roots is None:
+        return new
+    moved = rooted(roots.withColumnRenamed("root", "old"), new, "old", "root").select("node", "root")
+    out = stored(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")), "roots")
+    discard(roots, new)
+    return out
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, repeats: bool, size: int) -> DataFrame:
+    """(doc, dg, n, sketch, text) of the documents with these ids; a text once an id."""
+
+    def work(chunk):
+        out = []
+        for d, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
+            if found := words(t):
+                g = Grams(found, size)
+                out.append((d, digest(found), g.n, *sketch(g.hashes(t)), t))
+        return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(4 + SKETCH)]
+
+    some = keyed(docs, ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    found = map_rows(some, ["doc_id", "text"], ", ".join(["doc long, dg binary, n int", *(f"{k} long" for k in SKETCHES), "text string"]), work)
+    return stored(found.dropDuplicates(["doc", "dg"]) if repeats else found, "texts")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
-    salted = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    members = salted.join(texts, same("b", "cls")).select("a", "part", F.lit(1).alias("member"), "b", "text")
-    leaders = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts, same("a", "cls")).select("a", "part", F.lit(0).alias("member"), F.col("a").alias("b"), "text")
+    """The pairs (a, b) of documents with similar sets; each a is read once for a part of its b."""
+    side = lambda x: texts.select(*(F.col(c).alias(c if c == "doc" else f"{c}_{x}") for c in ["doc", "dg", "n", *SKETCHES])).withColumnRenamed("doc", x)
+    near = stored(pairs.join(side("b"), "b").join(side("a"), "a").where(may_be_similar(percent)).select("a", "dg_a", "b", "dg_b"), "near")
+    small = few(near, BROADCAST_PAIRS)
+    parts = near.groupBy("a", "dg_a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts"))
+    parts = parts if small else stored(parts, "parts")  # then Spark splits the join's skewed keys
+    salted = near.join(F.broadcast(parts) if small else parts, ["a", "dg_a"]).select("a", "dg_a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "dg_b")
+    heads = parts.select("a", "dg_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wanted = salted.select("a", "dg_a", "part", F.lit(1).alias("member"), F.col("b").alias("doc"), F.col("dg_b").alias("dg")).unionByName(heads.select("a", "dg_a", "part", F.lit(0).alias("member"), F.col("a").alias("doc"), F.col("dg_a").alias("dg")))
+    wanted = F.broadcast(wanted) if small else wanted
+    met = texts.select("doc", "dg", "n", "text").join(wanted, ["doc", "dg"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
         for chunk in rows_in_chunks(batches):
             left, right = [], []
-            for a, part, member, b, t in zip(*(chunk.column(i).to_pylist() for i in range(5)), strict=True):
-                s = shingles(t, size)
+            for a, dg, part, member, b, n, t in zip(*(chunk.column(i).to_pylist() for i in range(7)), strict=True):
                 if not member:
-                    head, own = (a, part), s
-                elif head == (a, part) and similar(own, s, percent):
+                    head, own = (a, dg, part), Grams(words(t), size)
+                elif head == (a, dg, part) and enough(own.shared(words(t), size), own.n, n, percent):
                     left.append(a)
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
         release()
 
-    met = members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", "member")
-    return met.mapInArrow(run, "a long, b long")
-
-
-def keyed(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
-    """df semi- or anti-joined with distinct ids (one column of the same name); the ids are
-    broadcast only when they are counted to be few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, col, how)
-
-
-def sided(df: DataFrame, side: str, keep: tuple[str, ...]) -> DataFrame:
-    return df.select(*keep, *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep))
-
-
-def class_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough to connect all that are linked.
-
-    classes: cls, rep (the id of a document of the class); rows: cls, sigs, empty, needed.
-    """
-    spark = docs.sparkSession
-    spread = rows.select(F.explode("sigs").alias("sig"), "cls")
-    active = stored(spread.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"), "buckets")
-    short = rows.where(F.size("needed") > 0).select(F.col("cls").alias("a"), F.explode("needed").alias("key"))
-    wanted, lonely = active.select("cls"), None
+    ordered = met.select("a", "dg_a", "part", "member", "doc", "n", "text").repartition("a", "dg_a", "part").sortWithinPartitions("a", "dg_a", "part", "member")
+    found = stored(ordered.mapInArrow(run, "a long, b long").distinct(), "verified")
+    discard(near, parts)
+    return found
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, in one of the directions that it came in."""
+    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def node_links(nodes: DataFrame, repeats: bool, size: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Links (a, b) between the documents of nodes (doc_id, text), enough to connect all that are
+    linked or every link; the roots that they make; and (doc, name, n) with the sizes of sets."""
+    spread = signature_rows(nodes, size, percent)
+    same = Window.partitionBy("sig", F.greatest("m", F.lit(1)))
+    spread = spread.withColumn("c", F.count("*").over(same)).where("c > 1 OR m <> 0").drop("c")
+    buckets = stored(spread, "buckets")
+    sizes = stored(buckets.where("m < -1").select("doc", F.col("sig").alias("name"), (-2 - F.col("m")).alias("n")).distinct(), "sizes")
+    short = buckets.where("m = -1").select(F.col("doc").alias("a"), F.col("sig").alias("key"))
+    # what shares most signatures leads: of near copies the one in the middle
+    active = buckets.where("m >= 0").select("sig", "doc")
+    active = stored(active.join(active.groupBy("doc").agg(F.count("*").alias("w")), "doc"), "active")
+    # the first of each bucket; map tasks pass on no more than that of any signature
+    order = Window.partitionBy("sig").orderBy(F.desc("w"), "doc")
+    ranked = active.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SMALL + 1)
+    heads = stored(ranked.groupBy("sig").agg(F.array_sort(F.collect_set("doc")).alias("docs"), F.max("k").alias("k"), F.min_by("doc", "k").alias("a")).where("k > 1"), "heads")
+    large = heads.where(F.col("k") > SMALL).select("sig", "a")
+    members = stored(active.join(large, "sig").where("doc <> a"), "members")
+    each = F.flatten(F.transform("docs", lambda x, i: F.transform(F.slice("docs", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = heads.where(F.col("k") <= SMALL).select(F.explode(each).alias("p")).select("p.a", "p.b").unionByName(members.select("a", F.col("doc").alias("b")))
     if not short.isEmpty():
-        lonely = stored(short.join(rows.select(F.col("cls").alias("b"), F.explode("empty").alias("key")), "key").where("a <> b").select("a", "b").distinct(), "short")
-        wanted = wanted.unionByName(lonely.select(F.col("a").alias("cls"))).unionByName(lonely.select(F.col("b").alias("cls")))
-    reps = stored(classes.join(wanted.distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("_rep")), "nodes")
-
-    def again(chunk):
-        out = []
-        for c, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
-            s = shingles(t or "", size)
-            if digest(s)[0] == c:  # a repeated id may bring another text
-                out.append((c, t, len(s), *sketch(s)))
-        return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(3 + SKETCH)]
-
-    some = keyed(docs.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("text")), reps.select("_rep").distinct(), "_rep", "left_semi")
-    columns = ", ".join(["cls long, text string, n int", *(f"k{i} long" for i in range(SKETCH))])
-    texts = stored(map_rows(some.join(reps, "_rep"), ["cls", "text"], columns, again).dropDuplicates(["cls"]), "texts")
-    facts = texts.drop("text")
-
-    weights = active.groupBy("cls").agg(F.sum("c").alias("w"))
-    members = stored(active.join(weights, "cls").join(facts.select("cls", "n"), "cls"), "members")
-    sketches = facts.drop("n")
-    links = None if lonely is None else stored(verified(lonely, texts, size, percent), "verified")
-    roots = None if links is None else contracted(links)
-    leaders_now = 1
+        keys = [r["key"] for r in short.select("key").distinct().collect()]  # at most the segments of the plan
+        pairs = pairs.unionByName(short.join(empty_segments(nodes, keys, size, percent), "key").where("a <> b").select("a", "b"))
+    pairs = stored(once(pairs), "pairs")
+    discard(heads, active, buckets)
+    texts = texts_of(nodes, pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), repeats, size)
+    links = verified(pairs, texts, size, percent)
+    roots = None if every else merged(None, links)
+    discard(pairs)
+    members, leaders_now = members.drop("a"), 4
+    sketches = texts.select("doc", "n", *SKETCHES)
     while True:
         # members: those that have not led yet, in buckets that aren't done
-        now = members.withColumn("root", F.col("cls")) if roots is None else members.join(roots, same("cls", "node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-        groups = now.groupBy("sig", "root").agg(F.count("*").alias("k"))
-        main = groups.groupBy("sig").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1").drop("roots")
-        open_ = now.join(main, "sig").withColumn("outside", F.col("root") != F.col("main") if roots is not None else F.lit(True))
-        order = Window.partitionBy("sig").orderBy(F.desc("outside"), F.desc("w"), "cls")
-        open_ = open_.withColumn("leads", F.col("outside") & ((F.row_number().over(order) <= leaders_now) | (F.col("c") <= SMALL))).drop("outside", "main")
-        open_ = stored(open_.join(sketches, "cls"), "open")  # the wide columns come last
-        if open_.isEmpty():
+        now = rooted(members, roots, "doc", "root")
+        main = now.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1").drop("roots")
+        main = stored(main, "main")
+        if main.isEmpty():
             break
-        lead = sided(open_.where("leads").drop("leads", "w", "c"), "a", ("sig",))
-        other = sided(open_.drop("w", "c"), "b", ("sig",))
-        new = (F.col("root_a") != F.col("root_b")) & (~F.col("leads_b") | (F.col("cls_a") < F.col("cls_b")))
-        met = lead.join(other, (lead["sig"] == other["sig"]) & new & may_be_similar(percent))
-        pairs = met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-        found = stored(verified(stored(pairs, "pairs"), texts, size, percent), "verified")
-        links = found if links is None else links.unionByName(found)
-        members = open_.where("NOT leads").drop("leads", "root", *(f"k{i}" for i in range(SKETCH)))
-        roots, leaders_now = contracted(links), leaders_now * 4
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+        open_ = stored(now.join(main, "sig"), "open")
+        leaders = open_.where("root <> main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= leaders_now).select("sig", "doc", "root")
+        leaders = stored(leaders, "leaders")
+        lead, other = (x.select("sig", "doc", "root").join(sketches, "doc") for x in (leaders, open_))
+        lead, other = (x.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "sig")) for x, k in ((lead, "a"), (other, "b")))
+        met = lead.join(other, (lead["sig"] == other["sig"]) & (F.col("root_a") != F.col("root_b")) & may_be_similar(percent))
+        pairs = stored(once(met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))), "pairs")
+        found = verified(pairs, texts, size, percent)
+        left = stored(open_.select("sig", "doc", "w").join(leaders.select("sig", "doc"), ["sig", "doc"], "left_anti"), "members")
+        roots = roots if every else merged(roots, found)
+        links = stored(links.unionByName(found).distinct(), "links")
+        discard(main, open_, leaders, pairs, found, members)
+        members, leaders_now = left, leaders_now * 4
+    return links, roots, sizes
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """(rows, members, nodes, extra, repeats): doc_id, digest and representative of each row;
+    (doc_id, lo) with the least representative of each document; the representatives' texts;
+    links by repeated ids, if there are any."""
+    plain = plain_rows(docs, id_col, text_col)
+    rows = stored(digests(plain), "digests")
+    classes = stored(rows.where("doc_id IS NOT NULL AND dg IS NOT NULL").groupBy("dg").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = stored(rows.join(classes, "dg", "left"), "rows")
+    by_id = rows.where("doc_id IS NOT NULL AND dg IS NOT NULL").select("doc_id", "rep")
+    members = stored(by_id.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("k")), "docs")
+    repeats = not members.where("k > 1").isEmpty()
+    extra = by_id.join(members.where("lo <> hi").select("doc_id", "lo"), "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    # a document is a node if its text (or one of them) is the first of its class
+    copies = members.where("hi < doc_id").select("doc_id")
+    nodes = keyed(plain.where("doc_id IS NOT NULL"), copies, "doc_id", "left_anti")
+    return rows, members, nodes, extra, repeats
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id), read from tables of the scratch folder."""
+    rows, members, nodes, extra, repeats = prepared(docs, id_col, text_col)
+    _, roots, sizes = node_links(nodes, repeats, size, percent)
+    roots = merged(roots, extra) if repeats else roots
+    homes = stored(rooted(members.select("doc_id", "lo"), roots, "lo", "root"), "homes")
+    least = stored(homes.groupBy("root").agg(F.min("lo").alias("component_id")), "least")
+    by_id = homes.join(least, "root").select("doc_id", "component_id")
+    # the first 64 bits of a digest tell the texts of one representative apart
+    name = F.conv(F.substring(F.hex("dg"), 1, 16), 16, -10).cast("long")
+    named = rows.where("doc_id IS NOT NULL").withColumn("name", name).join(sizes.withColumnRenamed("doc", "rep"), ["rep", "name"], "left").join(by_id, "doc_id", "left")
+    out = named.select(F.col("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("dg").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.unionByName(without_id(plain_rows(docs, id_col, text_col), size))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
@@ -345,37 +515,41 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared folder; what was stored on the way to it is removed."""
     spark = docs.sparkSession
     with scratch(spark):
-        return written(_components(docs, id_col, text_col, size, percent), shared_dir(spark), "components")
+        return written(_components(docs, id_col, text_col, size, percent).withColumnRenamed("doc_id", id_col), shared_dir(spark), "components")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    found = sets(docs, id_col, text_col, size, percent)
-    linked = found.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(linked.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.count("*").alias("k")).select(F.col("d1").alias("cls"), "d2", F.col("x.doc_id").alias("rep"), F.col("x.row").alias("row"), "k"), "classes")
-    # Of each class one row brings signatures; the others are few or are joined by a shuffle.
-    copied = classes.where("k > 1").select(F.col("cls").alias("d1"), "d2", F.col("row").alias("first"))
-    copies = stored(linked.select("row", "d1", "d2").join(copied, ["d1", "d2"]).where("row <> first").select("row"), "copies")
-    rows = keyed(linked, copies, "row", "left_anti").select(F.col("d1").alias("cls"), "sigs", "empty", "needed")
-    links = class_links(docs, classes, rows, id_col, text_col, size, percent)
-    # An id that stands on several rows links the classes of all of them.
-    again = linked.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count("*").alias("k")).where("k > 1 AND a <> b").select("doc_id", "a")
-    shared = linked.join(again, "doc_id").select("a", F.col("d1").alias("b")).where("a <> b")
-    roots = contracted(links.unionByName(shared))
-    rooted = classes.join(roots, same("cls", "node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = rooted.join(least, "root").select(F.col("cls").alias("d1"), "component_id")
-    rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"))
-    out = rows.join(by_class, "d1", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+def plain_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def without_id(plain: DataFrame, size: int) -> DataFrame:
+    """The rows without an id, which are linked with nothing."""
+    sized = map_rows(plain.where("doc_id IS NULL"), ["doc_id", "text"], "doc_id long, n_shingles long", lambda chunk: [chunk.column(0), [Grams(words(t), size).n for t in chunk.column(1).to_pylist()]])
+    return sized.withColumn("component_id", F.lit(None).cast("long"))
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Every link between different texts, once, as a pair (a, b) of representatives, a < b, and
+    the members (doc_id, rep) of the classes that they represent.  A row that repeats an id stands
+    for each class that one of its texts is in."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        rows, _, nodes, _, repeats = prepared(docs, id_col, text_col)
+        links, _, _ = node_links(nodes, repeats, size, percent, every=True)
+        pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        classes = rows.where("doc_id IS NOT NULL AND dg IS NOT NULL").select(F.col("doc_id").alias(id_col), "rep").distinct()
+        return written(pairs, shared_dir(spark), "pairs"), written(classes, shared_dir(spark), "classes")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near duplicates (the one with the smallest id).
     Documents without shingles and rows without an id stay; of rows that repeat an id and stay,
     all stay."""
-    groups = near_components(docs, id_col, text_col, size, percent)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return keyed(docs, stored(gone, "gone"), id_col, "left_anti").select(docs.columns)
+    spark = docs.sparkSession
+    with scratch(spark):
+        groups = _components(docs, id_col, text_col, size, percent)
+        gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), shared_dir(spark), "gone")
+    return keyed(docs, gone, id_col, "left_anti").select(docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
