@@ -1,13 +1,14 @@
-"""Scalar text functions: Column in, Column out, all inside the JVM."""
+"""Scalar text functions: Column in, Column out, inside the JVM but for split_by."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and digits as the curation patterns see them (a character class body).
+#: Fixed value: letters and digits as the curation patterns see them (a character class body).
 TR_WORD = "0-9A-Za-zğüşöçıİĞÜŞÖÇ"
 UNICODE_WORD = r"\p{L}\p{N}"
 
@@ -149,3 +150,21 @@ def translated(x: Column, names: dict[str, str]) -> Column:
     for k, v in names.items():
         out = F.when(x == k, v).otherwise(out)
     return F.coalesce(out, x)
+
+
+def split_by(splitter: Callable[[list[str]], list[list[str]]]) -> Callable[[Column], Column]:
+    """A sentence splitter for a curation job out of a Python one, which takes a batch of texts
+    (and must be picklable); a batch that it fails on is split by split_sentences."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        some = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if some.any():
+            try:
+                out[some] = pd.Series([list(x) for x in splitter(texts[some].tolist())], index=texts.index[some], dtype=object)
+            except Exception:  # noqa: BLE001  a splitter that fails is replaced
+                pass
+        return out
+
+    return lambda x: F.coalesce(run(x), split_sentences(x))

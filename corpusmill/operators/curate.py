@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions import text as T
 from ..functions.lexicon import Lexicons, matches
 from ..functions.sketch import band, simhash64
@@ -36,6 +36,7 @@ class Curation:
     max_chars: int = MAX_CHARS
     near_bits: int | None = None  # Hamming threshold of near duplicates; None: off
     context: bool = False
+    band_bits: int = BAND_BITS
     split: Callable[[Column], Column] = T.split_sentences
 
 
@@ -92,29 +93,34 @@ def greedy_survivors(hashes: DataFrame, hash_col: str, order: list[str], bits: i
 
     Equal hashes share their fate with the first of them, so only that one, found by an
     aggregation that combines in each task, enters the ordered fold.  The fold streams each
-    band's hashes in order and holds its survivors only.
+    band's hashes in order and holds its survivors only, filed by bits + 1 blocks of their other
+    bits: hashes at most bits apart agree in one block, so few survivors are compared.
     """
     at = F.struct(*order)
     once = hashes.groupBy(hash_col).agg(F.min(at).alias("_at")).withColumn("_band", band(F.col(hash_col), band_bits))
     kind = once.schema["_at"].dataType.simpleString()
 
+    rest, blocks = 64 - band_bits, bits + 1
+    edges = [rest * i // blocks for i in range(blocks + 1)]
+    cuts = [(low, (1 << (high - low)) - 1) for low, high in zip(edges, edges[1:])]
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, alive, n = None, np.zeros(256, np.uint64), 0
+        now, alive = None, {}
         for b in batches:
             keep = []
             for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if k != now:
-                    now, n = k, 0
-                h = np.uint64(h & 0xFFFFFFFFFFFFFFFF)
-                near = n and bool((np.bitwise_count(alive[:n] ^ h) <= bits).any())
+                    now, alive = k, {}
+                h &= 0xFFFFFFFFFFFFFFFF
+                keys = [(i, h >> low & mask) for i, (low, mask) in enumerate(cuts)]
+                near = any((h ^ x).bit_count() <= bits for key in keys for x in alive.get(key, ()))
                 keep.append(not near)
                 if not near:
-                    if n == len(alive):
-                        alive = np.concatenate((alive, np.zeros(n, np.uint64)))
-                    alive[n] = h
-                    n += 1
+                    for key in keys:
+                        alive.setdefault(key, []).append(h)
             yield b.filter(pa.array(keep, pa.bool_())).select([1, 2])
 
+    ship(hashes.sparkSession)
     ordered = once.select("_band", hash_col, "_at").repartition("_band").sortWithinPartitions("_band", "_at")
     kept = ordered.mapInArrow(fold, f"`{hash_col}` long, _at {kind}")
     return kept.select(hash_col, *(F.col(f"_at.{c}").alias(c) for c in order))
@@ -131,7 +137,7 @@ def candidates(docs: DataFrame, job: Curation, id_col: str = "doc_id", text_col:
     order = [id_col, "idx"]
     if job.near_bits is not None:
         hashed = rows.withColumn("_h", simhash64(F.col("sentence")))
-        alive = greedy_survivors(hashed.select("_h", *order), "_h", order, job.near_bits)
+        alive = greedy_survivors(hashed.select("_h", *order), "_h", order, job.near_bits, job.band_bits)
         rows = hashed.join(alive, ["_h", *order], "left_semi").drop("_h")
     kept = rows.where(keeps(F.col("features")))
     unique = first_of(kept, [T.md5_norm(F.col("sentence"))], order)
@@ -139,6 +145,24 @@ def candidates(docs: DataFrame, job: Curation, id_col: str = "doc_id", text_col:
     return unique.select(*keys, "idx", "sentence", bucket_of(F.col("features")).alias("bucket"), *(F.col(f"features.{f}").alias(f) for f in FLAGS), *context)
 
 
+#: How candidates lie in files: flags and context in structs of their own.
+LAYOUT = f"doc_id string, date string, source string, idx int, sentence string, bucket string, features struct<{','.join(f'{f}:boolean' for f in FLAGS)}>, context struct<prev:string,next:string>"
+
+
+def laid_out(cands: DataFrame, id_col: str = "doc_id", date_col: str | None = None, source_col: str | None = None) -> DataFrame:
+    """Candidates as they lie in files; date and source are NULL where no column is named."""
+    named = lambda c, name: (F.col(c).cast("string") if c else F.lit(None).cast("string")).alias(name)
+    context = [F.struct("prev", "next").alias("context")] if "prev" in cands.columns else []
+    more = ["true_feature_count"] if "true_feature_count" in cands.columns else []
+    return cands.select(named(id_col, "doc_id"), named(date_col, "date"), named(source_col, "source"), "idx", "sentence", "bucket", F.struct(*FLAGS).alias("features"), *context, *more)
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Candidates from their layout in files: flags and context as columns."""
+    context = ["context.prev", "context.next"] if "context" in rows.columns else []
+    return rows.select("doc_id", "date", "source", "idx", "sentence", "bucket", *(F.coalesce(f"features.{f}", F.lit(False)).alias(f) for f in FLAGS), *context)
+
+
 def downsample(cands: DataFrame, targets: dict[str, int], seed: str, order: list[str], template_cap: int = TEMPLATE_CAP) -> DataFrame:
     """Stage 2: buckets with a target, at most template_cap rows a template (the first by
     order), then a seeded draw of each bucket's target."""

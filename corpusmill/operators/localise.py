@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 # Fields that may hold the text, in order of preference.
 FIELDS = ("text", "content", "input", "original_text", "english_text", "sentence", "prompt")
 
@@ -45,4 +47,5 @@ def translate(df: DataFrame, text_col: str, translator: Callable[[list[str]], li
                     pass
             yield part.assign(translated_text=out)
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, schema)

@@ -98,8 +98,19 @@ def mlm_metrics(df: DataFrame, batch: str, loss: str, label: str, ranked: str, k
     return out.select(F.round("avg_loss", 6).alias("avg_loss"), F.round(F.exp("avg_loss"), 6).alias("perplexity"), F.round(F.col("one") / n, 6).alias("top1_acc"), F.round(F.col("some") / n, 6).alias(f"top{k}_acc"), "masked_tokens", "steps")
 
 
-def attach_predictions(rows: DataFrame, predictions: DataFrame, key: str, truth: str, check: bool = False) -> DataFrame:
-    """rows with their predictions and correct, joined by key; with check, unequal counts are an error."""
+def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """df with the columns that it lacks, filled by their defaults: a value, or the name of a
+    column after "=".  Columns that it has stay as they are."""
+    for name, value in defaults.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.col(value[1:]) if value.startswith("=") else F.lit(value))
+    return df
+
+
+def attach_predictions(rows: DataFrame, predictions: DataFrame, key: str, truth: str, check: bool = False, defaults: dict[str, str] | None = None) -> DataFrame:
+    """rows with their predictions and correct, joined by key; with check, unequal counts are an
+    error; columns that rows lack come from defaults."""
+    rows = with_defaults(rows, defaults or {})
     if check and rows.count() != predictions.count():
         raise ValueError("rows and predictions differ in number")
     return rows.join(predictions, key).withColumn("correct", F.col(truth) == F.col("predicted_label"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: Ids of the tokens that begin and end, and that hide others; bounds of a block.
 CLS, SEP, MASK, MAX_LEN, MIN_LEN = 2, 3, 4, 512, 32
+#: Runs that a corpus is packed in.
+SHARDS = 64
 
 
 class Packer:
@@ -52,14 +56,17 @@ class Packer:
         return self.flush() if len(self.block) > 1 else []
 
 
-def pack(docs: DataFrame, order: list[str], sentences_col: str, shards: int = 1, max_len: int = MAX_LEN, min_len: int = MIN_LEN) -> DataFrame:
+def pack(docs: DataFrame, order: list[str], sentences_col: str, shards: int = SHARDS, max_len: int = MAX_LEN, min_len: int = MIN_LEN) -> DataFrame:
     """(shard, block, input_ids, attention_mask) of documents whose sentences are arrays of ids.
 
-    One shard packs all documents in order into one run of blocks, a sequential task by its
-    nature; with more shards (documents dealt by a hash of their order key) each has a run of
-    its own, so at most shards partial blocks more come out, and the work spreads.
+    Documents are dealt to shards by a hash of their order key, and each shard has a run of its
+    own, so the result depends on their number only, not on the cluster; at most that many
+    partial blocks more come out than from one run.  One shard packs all documents in order, a
+    sequential task by its nature, for small inputs.
     """
-    shard = F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")
+    ship(docs.sparkSession)
+    digest = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order)))
+    shard = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % shards).cast("int")
     dealt = docs.select(shard.alias("shard"), *order, F.col(sentences_col).alias("_s")).repartition(shards, "shard").sortWithinPartitions("shard", *order)
     col = len(order) + 1
 
@@ -100,6 +107,22 @@ def chunked(ids: Column, size: int) -> Column:
     return F.when(F.size(ids) > 0, F.transform(F.sequence(F.lit(1), F.size(ids), F.lit(size)), lambda i: F.slice(ids, i, size))).otherwise(F.array().cast("array<array<int>>"))
 
 
+def tokenized(texts: Column, tokenize: Callable[[list[str]], list[list[int]]], spark: SparkSession) -> Column:
+    """Ids of an array of texts by any tokenizer: tokenize takes a batch of texts and returns the
+    ids of each.  It must be picklable, and may open its vocabulary at the first call."""
+    ship(spark)
+
+    @F.pandas_udf("array<array<int>>")
+    def run(some: pd.Series) -> pd.Series:
+        flat = [t for x in some if x is not None for t in x]
+        ids, out = iter(tokenize(flat) if flat else []), []
+        for x in some:
+            out.append(None if x is None else [list(next(ids)) for _ in x])
+        return pd.Series(out, dtype=object)
+
+    return run(texts)
+
+
 def stand_in_ids(words: Column) -> Column:
     """Ids for words where no vocabulary is at hand: 16 bits of their md5, after 5 special ids."""
     return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") + 5))

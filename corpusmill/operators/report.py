@@ -29,6 +29,14 @@ def dominant(df: DataFrame, category: str, order: str, truth: str = "ground_trut
     return df.select(category).distinct().join(best.select(category, text.alias("dominant")), category, "left").withColumn("dominant", F.coalesce("dominant", F.lit(NO_ERRORS)))
 
 
+def category_report(by_category: DataFrame, df: DataFrame, category: str, order: str, truth: str = "ground_truth", predicted: str = "predicted_label") -> DataFrame:
+    """Metrics of each category (key, count, accuracy, macro_f1) joined with its mismatches: how
+    many, and the most common one.  Categories without metrics are left out."""
+    wrong = mismatches(df, truth, predicted).groupBy(F.col(category).alias("key")).agg(F.count("*").alias("mismatch_count"))
+    common = dominant(df, category, order, truth, predicted).withColumnRenamed(category, "key")
+    return by_category.join(wrong, "key", "left").join(common, "key", "left").withColumn("mismatch_count", F.coalesce("mismatch_count", F.lit(0)).cast("long")).withColumn("dominant", F.coalesce("dominant", F.lit(NO_ERRORS)))
+
+
 def class_distribution(df: DataFrame, truth: str = "ground_truth", predicted: str = "predicted_label") -> DataFrame:
     """(label, truth_n, predicted_n) in one pass."""
     both = df.select(F.explode(F.array(F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("x"))
@@ -83,3 +91,14 @@ def bar_chart(counts: dict[str, int], width: int = 360) -> str:
     return f"<svg xmlns='http://www.w3.org/2000/svg' width='{width + 200}' height='{20 * len(counts) + 4}'>{bars}</svg>"
 
 
+def heat_map(cells: dict[tuple[str, str], int], rows: list[str], columns: list[str], size: int = 72) -> str:
+    """An SVG of a confusion matrix: darker cells hold more of their row."""
+    out = [f"<text x='{120 + size * j}' y='16'>{escape(c)}</text>" for j, c in enumerate(columns)]
+    for i, r in enumerate(rows):
+        total = max(sum(cells.get((r, c), 0) for c in columns), 1)
+        out.append(f"<text x='0' y='{24 + size * i + size // 2}'>{escape(r)}</text>")
+        for j, c in enumerate(columns):
+            n = cells.get((r, c), 0)
+            shade = 255 - round(200 * n / total)
+            out.append(f"<rect x='{120 + size * j}' y='{24 + size * i}' width='{size - 2}' height='{size - 2}' fill='rgb({shade},{shade},255)'/><text x='{126 + size * j}' y='{24 + size * i + size // 2}'>{n}</text>")
+    return f"<svg xmlns='http://www.w3.org/2000/svg' width='{130 + size * len(columns)}' height='{30 + size * len(rows)}'>{''.join(out)}</svg>"

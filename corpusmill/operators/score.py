@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..deploy import ship
 from .metrics import LABELS
 
 BATCH = 16
@@ -29,6 +30,7 @@ def score_texts(df: DataFrame, text_col: str, make_model: Callable[[], Callable[
             p = e / e.sum(axis=1, keepdims=True) if len(e) else e
             yield part.assign(predicted_label=[labels[i] for i in p.argmax(axis=1)] if len(p) else [], **{f"score_{k}": np.round(p[:, i], 6) for i, k in enumerate(labels)})
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.money import FX
 from ..operators.curate import FRACTIONS
-from ..operators.synth import FAMILIES, SLOTS
+from ..operators.synth import benchmark_sql, phrasebank_sql
 from . import catalogue as C
 
 SEED = C.SEED
@@ -28,47 +28,39 @@ pr AS (SELECT *, CASE WHEN predicted_n = 0 THEN 0 ELSE hit / predicted_n END AS
 cls AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM pr),
 grp AS (SELECT grouping, key, sum(support)::BIGINT AS count, round(sum(hit) / sum(support), 4) AS accuracy, round(avg(f1) FILTER (WHERE support > 0), 4) AS macro_f1 FROM cls GROUP BY ALL)"""
 IDS = r"list_transform({0}, lambda w: ('0x' || substr(md5(w), 1, 4))::INT + 5)"
-TURNS = rf"""turn_ids AS (SELECT conv_id || '-' || turn AS key, {IDS.format(r"string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')")}[:128] AS ids FROM conversations)"""
+TURNS = rf"""turn_ids AS (SELECT conv_id || '-' || turn AS key, {IDS.format(r"string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')")} AS ids FROM conversations)"""
 HIDDEN = f"(('0x' || substr(md5('{SEED}|' || key || '|' || (i - 1)), 1, 8))::BIGINT < {int(0.15 * (1 << 32))} AND ids[i] NOT IN (0, 1, 2, 3, 4))"
-DONE = "list_filter([CASE WHEN {0}[-1] <> 3 THEN list_append({0}, 3) ELSE {0} END], lambda x: len(x) >= 8)"
-PACK = rf"""sents AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?…]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS s FROM benchmark),
-flat AS (SELECT item_id, unnest(generate_series(1, len(s))) AS i, unnest(s) AS sentence FROM sents WHERE len(s) > 0),
-steps AS (SELECT row_number() OVER (ORDER BY item_id, kind, i) AS step, kind, t FROM (
-  SELECT item_id, 0 AS kind, i, {IDS.format("string_split(sentence, ' ')")} AS t FROM flat UNION ALL SELECT item_id, 1, 0, []::INT[] FROM benchmark)),
-fold AS (SELECT 0::BIGINT AS step, [2]::INT[] AS cur, []::INT[][] AS done
-  UNION ALL SELECT s.step,
-    CASE WHEN kind = 1 THEN CASE WHEN len(cur) > 1 AND len(cur) < 63 THEN list_append(cur, 3) WHEN len(cur) = 63 THEN [2] ELSE cur END
-      WHEN len(t) > 62 THEN [2] WHEN len(cur) + len(t) + 1 <= 64 THEN list_append(list_concat(cur, t), 3) ELSE list_append(list_concat([2], t), 3) END,
-    CASE WHEN kind = 1 THEN CASE WHEN len(cur) = 63 THEN [list_append(cur, 3)] ELSE [] END
-      WHEN len(t) > 62 THEN list_concat(CASE WHEN len(cur) > 1 THEN {DONE.format("cur")} ELSE [] END, list_transform(generate_series(0, (len(t) - 1) // 62), lambda k: list_append(list_concat([2], t[k * 62 + 1 : k * 62 + 62]), 3)))
-      WHEN len(cur) + len(t) + 1 <= 64 THEN [] ELSE {DONE.format("cur")} END
-  FROM fold f JOIN steps s ON s.step = f.step + 1),
-out AS (SELECT step, unnest(generate_series(1, len(done))) AS k, unnest(done) AS ids FROM fold WHERE len(done) > 0
-  UNION ALL SELECT step + 1, 1, unnest({DONE.format("cur")}) FROM (SELECT * FROM fold ORDER BY step DESC LIMIT 1) WHERE len(cur) > 1),
-blocks AS (SELECT row_number() OVER (ORDER BY step, k) - 1 AS block, ids FROM out)"""
+
+
+def _pack(table: str, key: str, shards: int, most: int, least: int) -> str:
+    """Blocks of a table's sentences by a fold in order, a run a shard."""
+    done = f"list_filter([CASE WHEN {{0}}[-1] <> 3 THEN list_append({{0}}, 3) ELSE {{0}} END], lambda x: len(x) >= {least})"
+    return rf"""dealt AS (SELECT {key} AS k, (('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT % {shards})::INT AS shard, text FROM {table}),
+sents AS (SELECT k, shard, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?…]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS s FROM dealt),
+flat AS (SELECT k, shard, unnest(generate_series(1, len(s))) AS i, unnest(s) AS sentence FROM sents WHERE len(s) > 0),
+steps AS (SELECT row_number() OVER (PARTITION BY shard ORDER BY k, kind, i) AS step, shard, kind, t FROM (
+  SELECT k, shard, 0 AS kind, i, {IDS.format("string_split(sentence, ' ')")} AS t FROM flat UNION ALL SELECT k, shard, 1, 0, []::INT[] FROM dealt)),
+fold AS (SELECT DISTINCT shard, 0::BIGINT AS step, [2]::INT[] AS cur, []::INT[][] AS done FROM dealt
+  UNION ALL SELECT s.shard, s.step,
+    CASE WHEN kind = 1 THEN CASE WHEN len(cur) > 1 AND len(cur) < {most - 1} THEN list_append(cur, 3) WHEN len(cur) = {most - 1} THEN [2] ELSE cur END
+      WHEN len(t) > {most - 2} THEN [2] WHEN len(cur) + len(t) + 1 <= {most} THEN list_append(list_concat(cur, t), 3) ELSE list_append(list_concat([2], t), 3) END,
+    CASE WHEN kind = 1 THEN CASE WHEN len(cur) = {most - 1} THEN [list_append(cur, 3)] ELSE [] END
+      WHEN len(t) > {most - 2} THEN list_concat(CASE WHEN len(cur) > 1 THEN {done.format("cur")} ELSE [] END, list_transform(generate_series(0, (len(t) - 1) // {most - 2}), lambda j: list_append(list_concat([2], t[j * {most - 2} + 1 : j * {most - 2} + {most - 2}]), 3)))
+      WHEN len(cur) + len(t) + 1 <= {most} THEN [] ELSE {done.format("cur")} END
+  FROM fold f JOIN steps s ON s.shard = f.shard AND s.step = f.step + 1),
+out AS (SELECT shard, step, unnest(generate_series(1, len(done))) AS j, unnest(done) AS ids FROM fold WHERE len(done) > 0
+  UNION ALL SELECT shard, step + 1, 1, unnest({done.format("cur")}) FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY shard ORDER BY step DESC) = 1) WHERE len(cur) > 1),
+blocks AS (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY step, j) - 1 AS block, ids FROM out)"""
+
+
+PACK = _pack("benchmark", "item_id", 1, 64, 8)
+BLOCKS = "SELECT shard, block, len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS ids, len(ids)::INT AS mask_n FROM blocks"
 FX_ROWS = ", ".join(f"({y}, '{c}', {r})" for y, by in FX.items() for c, r in by.items())
 AMOUNTS = """amt AS (SELECT o_orderkey AS k, (1999 + o_orderkey % 14)::INT AS year, ['USD', 'EUR', 'GBP'][o_orderkey % 3 + 1] AS currency,
   CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE '$' || floor(o_totalprice / 1000)::BIGINT || '.' || (o_orderkey % 10) || ['', 'k', ' million', 'm', ' bn'][o_orderkey % 5 + 1] END AS amount FROM orders)"""
 DOTS = "replace(format('{{:,}}', {0}), ',', '.')"
 
 
-def _synth(seed: str = "20260329", tries: int = 160, per_family: int = 20) -> str:
-    def slot(i: int, name: str) -> str:
-        values = ", ".join(f"'{v}'" for v in SLOTS[name])
-        return f"([{values}])[(('0x' || substr(md5('{seed}/{name}|{i}|' || a), 1, 8))::BIGINT % {len(SLOTS[name])} + 1)::INT]"
-
-    parts = []
-    for i, f in enumerate(FAMILIES):
-        text = f"'{f.template}'"
-        for name in SLOTS:
-            if "{" + name + "}" in f.template:
-                text = f"replace({text}, '{{{name}}}', {slot(i, name)})"
-        parts.append(f"SELECT {i} AS family, a, {text} AS text, '{f.label}' AS ground_truth, '{f.difficulty}' AS difficulty, '{f.category}' AS category, '{f.tone or f.label}' AS surface_tone, {str(f.hard).lower()} AS hard_case FROM generate_series(0, {tries - 1}) g(a)")
-    return f"""made AS ({' UNION ALL '.join(parts)}),
-once AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY text ORDER BY family, a) = 1),
-bench AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY family ORDER BY a) <= {per_family})"""
-
-
 def _dist(source: str, table: str, columns: list[str]) -> str:
     return f"WITH {source} " + " UNION ALL ".join(f"SELECT '{c}' AS field, {c}::VARCHAR AS value, count(*) AS n FROM {table} GROUP BY {c}" for c in columns)
 
@@ -118,7 +110,7 @@ SELECT doc_id FROM fold WHERE keep""",
     "head_subset": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100",
     "shuffled_subset": f"SELECT doc_id FROM documents ORDER BY md5('{SEED}|' || doc_id), doc_id LIMIT 100",
     "slice_rows": "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 120 OFFSET 50",
-    "token_packing": f"WITH RECURSIVE {PACK} SELECT block, len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS ids, len(ids)::INT AS mask_n FROM blocks",
+    "token_packing": f"WITH RECURSIVE {PACK} {BLOCKS}",
     "packing_stats": f"WITH RECURSIVE {PACK} SELECT count(*) AS blocks, sum(len(ids))::BIGINT AS tokens, round(avg(len(ids)), 4) AS mean_len, round(sum(len(ids)) * 100 / (count(*) * 64), 4) AS efficiency_pct, count(*) FILTER (WHERE len(ids) = 64) AS full, round(count(*) FILTER (WHERE len(ids) = 64) * 100 / count(*), 4) AS full_pct, min(len(ids))::INT AS min_len, max(len(ids))::INT AS max_len FROM blocks",
     "block_histogram": f"WITH RECURSIVE {PACK}, inside AS (SELECT len(ids) AS n FROM blocks WHERE len(ids) BETWEEN 16 AND 64) SELECT (least((n - 16) // 4, 11) * 4 + 16)::INT AS bin_start, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * 4), 6) AS density FROM inside GROUP BY 1",
     "mlm_mask": f"""WITH {TURNS} SELECT key, array_to_string(list_transform(generate_series(1, len(ids)), lambda i: CASE WHEN {HIDDEN} THEN 4 ELSE ids[i] END), ',') AS input_ids,
@@ -137,8 +129,8 @@ SELECT round(avg(l), 6) AS avg_loss, round(exp(avg(l)), 6) AS perplexity, round(
 e AS (SELECT doc_id, z, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM z)
 SELECT doc_id, ['negative', 'neutral', 'positive'][list_position(z, list_max(z))] AS predicted_label, round(round(e[1] / list_sum(e), 6), 5) AS score_negative, round(round(e[2] / list_sum(e), 6), 5) AS score_neutral, round(round(e[3] / list_sum(e), 6), 5) AS score_positive FROM e""",
     "attach_predictions": f"WITH {C.PRED_SQL}, r AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'negative' ELSE 'positive' END AS ground_truth FROM labels) SELECT r.ground_truth, r.ground_truth = predicted_label AS correct, count(*) AS n FROM r JOIN pred USING (doc_id) GROUP BY ALL",
-    "masked_accuracy": "SELECT round(avg((quality = 1)::INT), 4) AS accuracy FROM labels WHERE doc_id % 3 <> 0 AND quality <> -100",
-    "softmax_argmax": "WITH e AS (SELECT vec_id, list_transform(embedding[:10], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, (list_position(v, list_max(v)) - 1)::INT AS predicted, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS score FROM e",
+    "masked_accuracy": "SELECT round(avg((quality = (doc_id % 5 <> 0)::INT)::INT), 4) AS accuracy FROM labels WHERE doc_id % 3 <> 0 AND quality <> -100",
+    "softmax_argmax": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, (list_position(v, list_max(v)) - 1)::INT AS predicted, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS score FROM e",
     "mismatches": f"WITH {C.PRED_SQL} SELECT doc_id, ground_truth, predicted_label FROM pred WHERE ground_truth <> predicted_label",
     "error_transitions": f"WITH {C.PRED_SQL}, t AS (SELECT ground_truth, predicted_label, count(*) AS n, min(doc_id) AS f FROM pred WHERE ground_truth <> predicted_label GROUP BY ALL) SELECT ground_truth, predicted_label, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM t",
     "dominant_transition": f"WITH {C.PRED_SQL}, t AS (SELECT category, ground_truth, predicted_label, count(*) AS n, min(doc_id) AS f FROM pred WHERE ground_truth <> predicted_label GROUP BY ALL), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, f) = 1) SELECT c.category, coalesce(ground_truth || ' → ' || predicted_label || ' (' || n || ')', 'hata yok') AS dominant FROM (SELECT DISTINCT category FROM pred) c LEFT JOIN b USING (category)",
@@ -154,10 +146,19 @@ v AS (SELECT k, year, currency, regexp_extract(lower(amount), '\\d+(?:[.,]\\d+)?
 w AS (SELECT k, year, currency, CASE WHEN num <> '' THEN num::DECIMAL(20, 6) * unit END AS a FROM v)
 SELECT k, a::DOUBLE AS amount_value, {DOTS.format("round(a * rate, 0)::BIGINT")} || ' TL' AS tl_formatted FROM w LEFT JOIN fx USING (year, currency)""",
     "tl_format": f"SELECT o_orderkey, {DOTS.format('round(o_totalprice::DECIMAL(20, 2), 0)::BIGINT')} || ' TL' AS tl, replace(printf('%.2f', o_totalprice::DOUBLE), '.', ',') AS plain FROM orders",
-    "json_text_resolve": "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN md5(text) END AS text FROM conversations",
-    "synthetic_benchmark": f"WITH {_synth()} SELECT ground_truth, difficulty, count(*) AS n, count(DISTINCT text) AS texts, count(*) AS ids FROM bench GROUP BY ALL",
-    "phrasebank": f"WITH {_synth('20260330', 320, 40)}, v AS (SELECT *, CASE WHEN category = 'slow_growth' THEN 'analyst' ELSE 'investor' END AS viewpoint FROM bench) SELECT ground_truth, surface_tone, hard_case, viewpoint, count(*) AS n, count(DISTINCT text) AS texts FROM v GROUP BY ALL",
-    "synthetic_distribution": _dist(_synth(), "bench", ["ground_truth", "difficulty", "category", "surface_tone", "hard_case"]),
+    "json_text_resolve": "SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 1) THEN md5(text) WHEN turn % 5 IN (2, 3) AND length(text) > 10 THEN md5(text) END AS text FROM conversations",
+    "synthetic_benchmark": benchmark_sql(),
+    "phrasebank": phrasebank_sql(),
+    "synthetic_distribution": _dist(f"b AS ({benchmark_sql()})", "b", ["ground_truth", "difficulty", "category", "category_tr"]),
+    "jsonl_round_trip": "SELECT doc_id, md5(text) AS text, lang FROM documents WHERE text IS NOT NULL",
+    "jsonl_strict": "SELECT doc_id, md5(text) AS text, n_chars FROM documents",
+    "csv_round_trip": "SELECT doc_id, md5(text) AS text, source FROM documents WHERE text <> ''",
+    "dataset_rewrite": "SELECT doc_id, lang, n_chars * 2 AS n_chars FROM documents",
+    "candidate_files": f"WITH {C.FLAG_SQL} SELECT doc_id, source, idx, md5(sentence) AS sentence, bucket, {TRUE_N} AS n_true, md5(prev) AS prev FROM uniq JOIN documents USING (doc_id)",
+    "category_report": f"""WITH {GROUPS}, t AS (SELECT category, ground_truth, predicted_label, count(*) AS n, min(doc_id) AS f FROM pred WHERE ground_truth <> predicted_label GROUP BY ALL),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, f) = 1), w AS (SELECT category, sum(n)::BIGINT AS mismatch_count FROM t GROUP BY category)
+SELECT key, count, accuracy, macro_f1, coalesce(mismatch_count, 0) AS mismatch_count, coalesce(ground_truth || ' → ' || predicted_label || ' (' || b.n || ')', 'hata yok') AS dominant
+FROM grp LEFT JOIN w ON w.category = key LEFT JOIN b ON b.category = key WHERE grouping = 'category'""",
     "sweep_best": f"SELECT optim, lr::DOUBLE AS lr, steps::INT AS steps, eval_loss::DOUBLE AS eval_loss, eval_accuracy::DOUBLE AS eval_accuracy FROM (VALUES {C._values(C.SWEEP)}) t(optim, lr, steps, eval_loss, eval_accuracy) ORDER BY eval_loss, optim, lr LIMIT 1",
     "train_eval_gap": f"WITH g AS (SELECT * FROM (VALUES {C._values(C.GAP)}) t(epoch, kind, accuracy)), w AS (SELECT epoch::INT AS epoch, max(accuracy::DOUBLE) FILTER (WHERE kind = 'train') AS train_accuracy, max(accuracy::DOUBLE) FILTER (WHERE kind = 'eval') AS eval_accuracy FROM g GROUP BY epoch) SELECT *, round((train_accuracy - eval_accuracy) * 100, 2) AS gap_pct, CASE WHEN round((train_accuracy - eval_accuracy) * 100, 2) <= 5 THEN 'good' ELSE 'moderate' END AS fit FROM w",
     "log_split": f"SELECT CASE WHEN eval_loss IS NOT NULL THEN 'eval' WHEN loss IS NOT NULL THEN 'train' ELSE 'other' END AS kind, count(*) AS n FROM (VALUES {C._values(C.LOG)}) t(what, epoch, step, loss, eval_loss, acc) GROUP BY 1",

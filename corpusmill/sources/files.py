@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Sequence
 from datetime import datetime
@@ -11,6 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names.  Only a
+    session on one machine may go without it: executors elsewhere would each write to their own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"/tmp/checkpoints/{os.getpid()}"
+
+
+def spread_out(scan: DataFrame) -> DataFrame:
+    """A scan (of a table, nothing else) over at least as many partitions as there are cores: a
+    small file of one row group would keep one core busy.  Large tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_jsonl(spark: SparkSession, path: str, fields: Sequence[str], text_field: str | None = None) -> DataFrame:
     """Tolerant: blank lines, bad JSON and values that aren't objects are left out, and so are
     objects whose text_field is no string.  Fields come as text; other kinds as JSON text."""
@@ -55,10 +74,36 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mo
     return True
 
 
-def write_summary(summary: dict, path: str) -> None:
-    """A small JSON document on the driver, indented by 2."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(summary, f, ensure_ascii=False, indent=2)
+def write_summary(summary: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small JSON document, indented by 2: a file of the driver, or of any store when a session
+    is given."""
+    text = json.dumps(summary, ensure_ascii=False, indent=2)
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    fs, at = _filesystem(spark, path)
+    out = fs.create(at(path), True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_summary(spark: SparkSession, path: str) -> dict:
+    """A small JSON document of any store."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def read_config(path: str) -> dict:
+    """A job's configuration: JSON, or YAML where a parser is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text)
 
 
 def save_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,6 +1,10 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
 from corpusmill.functions.lexicon import Lexicons
 from corpusmill.operators import curate as C
 from corpusmill.operators import localise, metrics, packing, report, sampling, score, synth
@@ -144,6 +148,70 @@ def test_text_resolution(spark):
 
 def test_synthetic(spark):
     b = synth.benchmark(spark, per_family=5)
-    assert b.count() == 45 and b.select("text").distinct().count() == 45 and b.agg(F.max("id")).first()[0] == "BENCH-0045"
-    with pytest.raises(Exception):
+    rows = b.collect()
+    assert b.columns == ["id", "text", "ground_truth", "ground_truth_tr", "difficulty", "difficulty_tr", "category", "category_tr", "label_rationale", "source"]
+    assert len(rows) == 90 and len({r["text"] for r in rows}) == 90 and len({r["category"] for r in rows}) == 18 and not any("{" in r["text"] for r in rows)
+    assert {r["ground_truth_tr"] for r in rows} == {"negatif", "nötr", "pozitif"} and all(r["category_tr"] and r["label_rationale"] for r in rows)
+    p = synth.phrasebank(spark, per_family=3).collect()
+    assert len(p) == 63 and len({r["category_id"] for r in p}) == 21 and len({r["category_id"] for r in p if r["hard_case"]}) == 5 and {r["viewpoint"] for r in p} == {"investor_impact"}
+    with pytest.raises(Exception, match="too few"):
         synth.benchmark(spark, [synth.Family("x", "neutral", "clear", "{company}.")], per_family=50).collect()
+
+
+def test_shards_are_packed_as_one_run_each(spark):
+    """Against the plain fold, document by document."""
+    rng = random.Random(3)
+    rows = [(k, [[rng.randrange(9, 99) for _ in range(rng.randrange(1, 30))] for _ in range(rng.randrange(0, 6))]) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, s array<array<int>>")
+    got = {}
+    for r in packing.pack(df, ["k"], "s", 4, 24, 5).collect():
+        got.setdefault(r["shard"], {})[r["block"]] = r["input_ids"]
+    want = {}
+    for shard in range(4):
+        packer, out = packing.Packer(24, 5), []
+        for k, s in rows:
+            if int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 4 == shard:
+                out += [b for x in s for b in packer.sentence(x)] + packer.document_end()
+        want[shard] = dict(enumerate(out + packer.end()))
+    assert got == want
+
+
+def test_tokenizer_and_splitter_plug_in(spark):
+    df = spark.createDataFrame([("a bb. ccc",), (None,)], "t string")
+    ids = df.select(packing.tokenized(F.split("t", " "), lambda texts: [[len(t)] for t in texts], spark).alias("x")).collect()
+    assert [r["x"] for r in ids] == [[[1], [3], [3]], None]
+    halves = df.select(T.split_by(lambda texts: [t.split(".") for t in texts])(F.col("t")).alias("x")).collect()
+    assert halves[0]["x"] == ["a bb", " ccc"]
+    fails = df.select(T.split_by(lambda texts: 1 / 0)(F.col("t")).alias("x"), T.split_sentences(F.col("t")).alias("y")).collect()
+    assert fails[0]["x"] == fails[0]["y"]
+
+
+def test_defaults_category_report_and_charts(spark):
+    df = spark.createDataFrame([(1, "negative", "a"), (2, "neutral", "a"), (3, "neutral", "b")], "id int, ground_truth string, category string")
+    filled = metrics.with_defaults(df, {"difficulty": "unknown", "category": "x", "name": "=category"})
+    assert [tuple(r)[3:] for r in filled.collect()] == [("unknown", "a"), ("unknown", "a"), ("unknown", "b")]
+    predicted = spark.createDataFrame([(1, "neutral"), (2, "neutral"), (3, "neutral")], "id int, predicted_label string")
+    scored = metrics.attach_predictions(df, predicted, "id", "ground_truth", True, {"difficulty": "clear"})
+    by = metrics.grouped_summary(scored, "ground_truth", "predicted_label", ["category"]).where("grouping = 'category'")
+    rows = {r["key"]: (r["mismatch_count"], r["dominant"]) for r in report.category_report(by, scored, "category", "id").collect()}
+    assert rows == {"a": (1, "negative → neutral (1)"), "b": (0, report.NO_ERRORS)}
+    svg = report.heat_map({("x", "x"): 3, ("x", "<y>"): 1}, ["x", "<y>"], ["x", "<y>"])
+    assert svg.count("<rect") == 4 and "&lt;y&gt;" in svg
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 6])
+def test_near_duplicate_fold_against_brute_force(spark, bits):
+    rng = random.Random(bits)
+    hashes = []
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        hashes += [base] + [base ^ sum(1 << b for b in rng.sample(range(48), rng.randrange(0, 9))) for _ in range(6)]
+    rows = [(h - (1 << 64) if h >> 63 else h, i) for i, h in enumerate(hashes)]
+    got = {r["at"] for r in C.greedy_survivors(spark.createDataFrame(rows, "h long, at int"), "h", ["at"], bits, 16).collect()}
+    alive, want = {}, set()
+    for i, h in enumerate(hashes):
+        near = [x for x in alive.setdefault(h >> 48, []) if (x ^ h).bit_count() <= bits]
+        if not near:
+            alive[h >> 48].append(h)
+            want.add(i)
+    assert got == want

@@ -43,13 +43,35 @@ def test_json_sinks_and_rewrite(spark, tmp_path):
     assert files.load_dataset(spark, str(tmp_path / "p")).count() == 2
 
 
+def read_lines(folder):
+    return [json.loads(x) for f in sorted(folder.glob("part-*.json")) for x in f.read_text().splitlines()]
+
+
 def test_cli(spark, tmp_path):
-    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps({"id": str(i), "text": f"Şirketin kâr rakamı {i} puan arttı bugün."}, ensure_ascii=False) for i in range(5)))
+    rows = [{"id": str(i), "text": f"Şirketin kâr rakamı {i} puan arttı bugün. Önceki gün durgundu.", "day": "2024", "site": "x"} for i in range(5)]
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
     cli.main(["lexicons", str(tmp_path / "lex")])
-    cli.main(["curate", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "out"), "--lexicons", str(tmp_path / "lex")])
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
-    cli.main(["downsample", "--input", str(tmp_path / "out"), "--output", str(tmp_path / "down"), "--total", "20", "--id-field", "id"])
-    assert spark.read.parquet(str(tmp_path / "down")).count() == 3
+    common = ["--lexicons", str(tmp_path / "lex"), "--date-field", "day", "--source-field", "site", "--context", "--near-bits", "3", "--band-bits", "8", "--stem"]
+    cli.main(["curate", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "out"), "--lexicons", str(tmp_path / "lex"), "--date-field", "day", "--source-field", "site", "--context"])
+    got = read_lines(tmp_path / "out")
+    assert len(got) == 5 and list(got[0]) == ["doc_id", "date", "source", "idx", "sentence", "bucket", "features", "context"]
+    assert got[0]["date"] == "2024" and got[0]["source"] == "x" and got[0]["features"]["direction_up"] is True and got[0]["context"]["next"].startswith("Önceki")
+    cli.main(["downsample", "--input", str(tmp_path / "out"), "--output", str(tmp_path / "down"), "--total", "20"])
+    assert len(read_lines(tmp_path / "down")) == 3  # one template
+    cli.main(["filter", "--input", str(tmp_path / "down"), "--output", str(tmp_path / "few"), "--min-true", "2"])
+    assert all(r["true_feature_count"] >= 2 and r["features"] for r in read_lines(tmp_path / "few"))
+    (tmp_path / "job.json").write_text(json.dumps({"max-per-bucket": 2, "min-true": 0, "output_format": "parquet"}))
+    cli.main(["run-all", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "all"), "--config", str(tmp_path / "job.json"), *common])
+    assert spark.read.parquet(str(tmp_path / "all")).count() <= 2
+
+
+def test_shared_folder_and_small_scans(spark, tmp_path):
+    assert files.work_folder(spark).startswith("/tmp/checkpoints")
+    files.write_summary({"a": "ş"}, str(tmp_path / "s.json"), spark)
+    assert files.read_summary(spark, str(tmp_path / "s.json")) == {"a": "ş"} and files.read_config(str(tmp_path / "s.json")) == {"a": "ş"}
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    assert files.spread_out(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread_out(scan).count() == 10
 
 
 def test_stream(spark, tmp_path):
