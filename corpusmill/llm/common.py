@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship
+from ..sources.files import spread_out, work_folder
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows of one Arrow batch that become Python objects at a time.
@@ -22,23 +22,17 @@ CHUNK_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_out(df) if name in ("documents", "pages") else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.  On a cluster it is named by
-    spark.checkpoint.dir; only where that is unset (tests, one machine) a local one is set."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    local = f"/tmp/checkpoints/{os.getpid()}"
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    spark.checkpoint.dir; only on one machine (tests) a local one is set where that is unset."""
+    folder = work_folder(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 _FOLDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
