@@ -2,26 +2,34 @@
 
 Parsing.  A page is cut into its leaf blocks: the text between block-level tags, with
 character references decoded and white space turned into one space.  Scripts, styles, markup,
-comments and the head hold no blocks.
+comments and the head hold no blocks.  A block's path is a node of a tree in which equal paths
+share a node, so the time and memory of a page are in proportion to its length, however deep.
 
 Labelling.  Each block becomes a vector: hashed tags, classes and ids of its path, hashed
 words, and a few numbers (length, share of link text, place).  A bidirectional LSTM in numpy
 reads the vectors of the whole page and gives every block the probability that it belongs to
-the article, from what stands before and after it.
+the article, from what stands before and after it.  Pages of more than LONG blocks are read in
+parts by the same recurrence, once forward and once backward, the state carried over, so a page
+needs no more memory than its blocks and one part.
 
 Training.  The driver makes TRAIN_PAGES pages from a grammar of page parts (articles in many
 containers, menus, headers, footers, sidebars, notices, adverts, forms, comments; well-formed
-or not) whose labels are thus known, with words from a bounded sample of the pages
-(SAMPLE_PAGES, a documented parameter), and trains by Adam.  The model has a fixed size.
+or not) whose labels are thus known, and trains by Adam.  The words of articles and those of
+the other parts are drawn from two distributions, counted in what some sampled pages
+(SAMPLE_PAGES, a documented parameter) plainly mark as one or the other; of each, VOCABULARY
+words (a documented parameter; those with the smallest hash) with their counts.  The model has
+a fixed size; it can be stored and loaded (save_labeller, load_labeller).
 
 Defined results: a null or empty page has the empty text and 0 characters; a page without an
-article block too; repeated rows get equal results; other columns are not read.
+article block too; repeated rows get equal results; an empty table gives no rows; of other
+columns those that are asked for are kept, the rest isn't read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache
 from html import unescape
 
@@ -31,13 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-PATH, LEAF, WORDS, NUMBERS, HIDDEN = 160, 32, 24, 6, 24
+PATH, LEAF, WORDS, NUMBERS, HIDDEN = 160, 32, 48, 6, 24
 INPUT = PATH + LEAF + WORDS + NUMBERS
-TRAIN_PAGES, EPOCHS, RATE, SEED, SAMPLE_PAGES = 1200, 10, 4e-3, 11, 200
+TRAIN_PAGES, EPOCHS, RATE, SEED, SAMPLE_PAGES, VOCABULARY = 1200, 10, 4e-3, 11, 200, 8000
+#: Blocks of a page that are read at once, and nodes that a worker keeps between pages.
+LONG, KEPT_NODES = 4096, 20_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe select option".split())
+#: Tags that end an open one of their kind.
+SIBLING = frozenset("li dt dd tr td th option".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -50,9 +62,82 @@ def names(attributes: str) -> tuple[str, ...]:
     return tuple(x for m in ATTRIBUTE.finditer(attributes) for x in NAME.findall((m[2] or m[3] or m[4] or "").lower()))
 
 
-def blocks(html: str) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters inside links) of each leaf block; path: (tag, names) from the root."""
-    out, stack, parts, linked = [], [], [], 0
+@lru_cache(maxsize=4096)
+def _buckets(tag: str, own: tuple[str, ...]) -> tuple[int, list[int], int]:
+    return zlib.crc32(tag.encode()) % PATH, [zlib.crc32(b"." + n.encode()) % PATH for n in own], PATH + zlib.crc32(tag.encode()) % LEAF
+
+
+class Node:
+    """A path of block-level elements: the last one's tag and names, and the path before it."""
+
+    __slots__ = ("parent", "tag", "names", "depth", "below", "_vector")
+    made = 0
+
+    def __init__(self, parent: Node | None, tag: str, own: tuple[str, ...]):
+        Node.made += 1
+        self.parent, self.tag, self.names = parent, tag, own
+        self.depth = parent.depth + 1 if parent else 0
+        self.below: dict = {}
+        self._vector: np.ndarray | None = None
+
+    def child(self, tag: str, own: tuple[str, ...]) -> Node:
+        if (found := self.below.get((tag, own))) is None:
+            found = self.below[tag, own] = Node(self, tag, own)
+        return found
+
+    def vector(self) -> np.ndarray:
+        """Which tags and names the path has: 0, 1 or 2 in each bucket; the last tag apart."""
+        chain = [self]
+        while chain[-1]._vector is None and chain[-1].parent:
+            chain.append(chain[-1].parent)
+        for node in reversed(chain):
+            if node._vector is None:
+                v = np.zeros(PATH + LEAF, np.uint8)
+                if node.parent:
+                    v[:PATH] = node.parent._vector[:PATH]
+                    tag, own, leaf = _buckets(node.tag, node.names)
+                    v[tag], v[leaf] = max(v[tag], 1), 1
+                    for i in own:
+                        v[i] = min(v[i] + 1, 2)
+                node._vector = v
+        return self._vector
+
+    def marks(self) -> set[str]:
+        """All tags and names of the path."""
+        out, node = set(), self
+        while node.parent:
+            out |= {node.tag, *node.names}
+            node = node.parent
+        return out
+
+
+_ROOT = Node(None, "", ())
+
+
+def _root() -> Node:
+    """The tree's root; a tree that has grown large is left."""
+    global _ROOT
+    if Node.made > KEPT_NODES:
+        Node.made, _ROOT = 0, Node(None, "", ())
+    return _ROOT
+
+
+class Open:
+    """An open element; node is None for inline ones, and depth counts the block-level ones before."""
+
+    __slots__ = ("tag", "node", "depth", "alive")
+
+    def __init__(self, tag: str, node: Node | None, depth: int):
+        self.tag, self.node, self.depth, self.alive = tag, node, depth, True
+
+
+def blocks(html: str) -> list[tuple[Node, str, int]]:
+    """(path, text, characters inside links) of each leaf block."""
+    root = _root()
+    out, parts, linked, links = [], [], 0, 0
+    stack: list[Open] = []
+    solid: list[Open] = []  # the block-level ones of the stack
+    by_tag: dict[str, list[Open]] = defaultdict(list)
     at, skip = 0, None
 
     def close() -> None:
@@ -60,15 +145,28 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((tuple((t, n) for t, n in stack if t not in INLINE), text, min(linked, len(text))))
+                out.append((solid[-1].node if solid else root, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def end(last: Open) -> None:
+        """Closes an element and all that were opened after it."""
+        nonlocal links
+        while True:
+            x = stack.pop()
+            if x.alive:
+                by_tag[x.tag].pop()
+                links -= x.tag == "a"
+                if x.node:
+                    solid.pop()
+            if x is last:
+                return
+
     for m in TOKEN.finditer(html):
         if skip is None and m.start() > at:
             raw = html[at : m.start()]
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if links:
                 linked += len(raw.strip())
         at = m.end()
         tag = m[2]
@@ -86,51 +184,42 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             close()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in INLINE and any(t not in INLINE for t, _ in stack[k + 1 :]):
-                        del stack[k]  # misnested: the block goes on
-                    else:
-                        del stack[k:]
-                    break
+            if by_tag[tag]:
+                last = by_tag[tag][-1]
+                if inline and last.depth < len(solid):  # misnested: the block goes on
+                    by_tag[tag].pop().alive = False
+                    links -= tag == "a"
+                else:
+                    end(last)
         elif tag not in VOID and not m[3].endswith("/"):
-            if tag not in INLINE:
-                for k in range(len(stack) - 1, -1, -1):  # an open paragraph, list item or cell ends here
-                    if stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            stack.append((tag, names(m[3])))
+            if not inline and solid and (solid[-1].tag == "p" or solid[-1].tag == tag and tag in SIBLING):
+                end(solid[-1])  # an open paragraph, list item or cell ends here
+            node = None if inline else (solid[-1].node if solid else root).child(tag, names(m[3]))
+            stack.append(x := Open(tag, node, len(solid)))
+            by_tag[tag].append(x)
+            links += tag == "a"
+            if node:
+                solid.append(x)
     if skip is None and at < len(html):
         parts.append(html[at:])
     close()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple) -> np.ndarray:
-    v = np.zeros(PATH + LEAF, np.float32)
-    for tag, own in path:
-        v[zlib.crc32(tag.encode()) % PATH] = 1
-        for n in own:
-            v[zlib.crc32(b"." + n.encode()) % PATH] += 1
-    if path:
-        v[PATH + zlib.crc32(path[-1][0].encode()) % LEAF] = 1
-    return np.minimum(v, 2)
-
-
-def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
-    out = np.zeros((len(found), INPUT), np.float32)
-    for i, (path, text, linked) in enumerate(found):
+def vectors(found: list[tuple[Node, str, int]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The vectors of a page's blocks from start to stop."""
+    some = found[start:stop]
+    out = np.zeros((len(some), INPUT), np.float32)
+    for i, (path, text, linked) in enumerate(some):
         own = text.split()
-        out[i, : PATH + LEAF] = _path_vector(path)
+        out[i, : PATH + LEAF] = path.vector()
         n = np.bincount([zlib.crc32(w.encode()) % WORDS for w in own], minlength=WORDS)
         out[i, PATH + LEAF : -NUMBERS] = n / len(own)
-        out[i, -NUMBERS:] = (np.log1p(len(text)) / 8, linked / len(text), i / len(found), len(path) / 10, min(sum(map(text.count, ".,;!?")) / len(own), 1.0), 1)
+        out[i, -NUMBERS:] = (np.log1p(len(text)) / 8, linked / len(text), (start + i) / len(found), min(path.depth, 30) / 10, min(sum(map(text.count, ".,;!?")) / len(own), 1.0), 1)
     return out
 
 
@@ -150,11 +239,12 @@ class BiLSTM:
         w["o"], w["p"] = rng.normal(0, 0.1, 2 * HIDDEN), np.zeros(1)
         return cls({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
-        """Hidden states over steps (T, B, H); x: (T, B, INPUT), padded at the end."""
+    def _run(self, x: np.ndarray, d: str, keep: bool, state: tuple | None = None):
+        """Hidden states over steps (T, B, H), what training needs, and the last state; x:
+        (T, B, INPUT), padded at the end."""
         steps, batch = x.shape[:2]
         z_in = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        h = c = np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32),) * 2
         hs, kept = np.zeros((steps, batch, HIDDEN), np.float32), []
         for t in range(steps):
             z = z_in[t] + h @ self.w[f"h{d}"]
@@ -167,7 +257,7 @@ class BiLSTM:
                 kept.append((i, f, o, g, before, tc, h))
             h = o * tc
             hs[t] = h
-        return hs, kept
+        return hs, kept, (h, c)
 
     @staticmethod
     def _flipped(x: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -176,8 +266,8 @@ class BiLSTM:
         return x[np.where(t < size, size - 1 - t, t), np.arange(x.shape[1])]
 
     def _forward(self, x: np.ndarray, size: np.ndarray, keep: bool):
-        f, kept_f = self._run(x, "f", keep)
-        b, kept_b = self._run(self._flipped(x, size), "b", keep)
+        f, kept_f, _ = self._run(x, "f", keep)
+        b, kept_b, _ = self._run(self._flipped(x, size), "b", keep)
         both = np.concatenate((f, self._flipped(b, size)), axis=2)
         return 1 / (1 + np.exp(-np.clip(both @ self.w["o"] + self.w["p"], -30, 30))), both, kept_f, kept_b
 
@@ -251,6 +341,18 @@ class BiLSTM:
         return out
 
 
+    def streamed(self, found: list[tuple[Node, str, int]]) -> np.ndarray:
+        """Probability of each block of one page, read in parts of LONG blocks."""
+        logit, parts = np.full(len(found), self.w["p"][0], np.float32), range(0, len(found), LONG)
+        for d, order, out in (("f", parts, self.w["o"][:HIDDEN]), ("b", reversed(parts), self.w["o"][HIDDEN:])):
+            state = None
+            for a in order:
+                x = vectors(found, a, a + LONG)[:: 1 if d == "f" else -1, None]
+                hs, _, state = self._run(x, d, False, state)
+                logit[a : a + LONG] += (hs[:, 0] @ out)[:: 1 if d == "f" else -1]
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 class Grammar:
     """Pages with known labels.  Article words lie between marks that the parser's text keeps."""
 
@@ -267,15 +369,31 @@ class Grammar:
     }
     ARTICLE = ("content", "post", "article", "entry", "story", "main", "body", "post content", "entry content", "article body", "text", "page")
 
-    def __init__(self, rng: np.random.Generator, vocabulary: list[str]):
-        self.rng, self.vocabulary = rng, vocabulary or ["word"]
+    #: Share of the words that come from the other vocabulary, and share of texts in a language
+    #: of their own, whose words tell nothing.
+    MIXED, STRANGE = 0.3, 0.2
+
+    def __init__(self, rng: np.random.Generator, article: dict[str, int], other: dict[str, int] | None = None):
+        self.rng, self.kinds = rng, []
+        for some in (article or other or {"word": 1}, other or article or {"word": 1}):
+            names, n = list(some), np.array(list(some.values()), float)
+            self.kinds.append((names, np.cumsum(n / n.sum())))
 
     def pick(self, some):
         return some[int(self.rng.integers(len(some)))]
 
-    def said(self, low: int, high: int) -> str:
-        text = " ".join(self.pick(self.vocabulary) for _ in range(int(self.rng.integers(low, high + 1))))
-        return text.replace("<", "").replace(">", "")
+    def said(self, low: int, high: int, kind: int = 1) -> str:
+        """Words of articles (kind 0) or of other parts."""
+        n = int(self.rng.integers(low, high + 1))
+        if self.rng.random() < self.STRANGE:
+            return " ".join("".join(map(chr, self.rng.integers(97, 123, size).tolist())) for size in self.rng.integers(1, 12, n))
+        kinds = np.where(self.rng.random(n) < self.MIXED, 1 - kind, kind)
+        place = self.rng.random(n)
+        out = []
+        for k, x in zip(kinds.tolist(), place.tolist(), strict=True):
+            names, upto = self.kinds[k]
+            out.append(names[min(int(np.searchsorted(upto, x)), len(names) - 1)])
+        return " ".join(out).replace("<", "").replace(">", "")
 
     def named(self, words: str) -> str:
         value = words.replace(" ", self.pick("-_ "))
@@ -304,7 +422,7 @@ class Grammar:
 
     def body(self) -> str:
         """The article's blocks; every word is marked."""
-        own = lambda a, b: re.sub(r"(\S+)", "\x01\\1", self.said(a, b))
+        own = lambda a, b: re.sub(r"(\S+)", "\x01\\1", self.said(a, b, 0))
         loose = self.rng.random() < 0.4
         out = [f"<h1>{own(2, 12)}</h1>"] if self.rng.random() < 0.85 else []
         for _ in range(int(self.rng.integers(1, 16) if self.rng.random() < 0.85 else self.rng.integers(16, 160))):
@@ -343,25 +461,69 @@ class Grammar:
         return vectors([(p, t.replace("\x01", ""), n) for p, t, n in found]), labels
 
 
-def fit_labeller(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BiLSTM:
-    """A labeller trained on made pages with words of some sampled pages."""
+def plainly(node: Node) -> int | None:
+    """0 for a block that stands in what is marked as an article, 1 for one in another part."""
+    marks = node.marks()
+    if marks & OTHER:
+        return 1
+    return 0 if marks & MAIN else None
+
+
+OTHER = frozenset(x for some in Grammar.PARTS.values() for name in some for x in name.split()) | {"nav", "header", "footer", "aside", "form"}
+MAIN = frozenset(x for name in Grammar.ARTICLE for x in name.split()) | {"article", "main"}
+
+
+def page_words(pages: DataFrame, html_col: str, sample_pages: int) -> list[dict[str, int]]:
+    """Words and their counts in plain article blocks and in those of other parts, VOCABULARY of
+    each at most, of some sampled pages."""
     col = F.col(html_col)
     sample = pages.where(col.isNotNull()).select(col.alias("html")).orderBy(F.xxhash64("html"), "html").limit(sample_pages)
 
     def work(chunk):
-        return [[sorted({w for _, t, _ in blocks(h) for w in t.split()})[:: max(1, len(h) // 20_000)][:400] for h in chunk.column(0).to_pylist()]]
+        kind, word, n = [], [], []
+        for h in chunk.column(0).to_pylist():
+            times: dict = defaultdict(int)
+            for node, text, _ in blocks(h):
+                if (k := plainly(node)) is not None:
+                    for w in text.split():
+                        times[k, w] += 1
+            for (k, w), c in times.items():
+                kind.append(k)
+                word.append(w)
+                n.append(c)
+        return [kind, word, n]
+
+    counted = map_rows(sample, ["html"], "kind int, word string, n long", work).groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    out = []
+    for k in (0, 1):
+        rows = counted.where(F.col("kind") == k).orderBy(F.xxhash64("word"), "word").limit(VOCABULARY).collect()
+        out.append({r["word"]: r["n"] for r in rows})
+    return out
 
-    words = sorted({w for r in map_rows(sample, ["html"], "words array<string>", work).toArrow()["words"].to_pylist() for w in r})
+
+def fit_labeller(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BiLSTM:
+    """A labeller trained on made pages with words of some sampled pages."""
     rng = np.random.default_rng(SEED)
-    grammar = Grammar(rng, words)
+    grammar = Grammar(rng, *page_words(pages, html_col, sample_pages))
     model = BiLSTM.fresh(rng)
     model.train([x for x in (grammar.example() for _ in range(TRAIN_PAGES)) if len(x[1])], rng)
     return model
 
 
+def save_labeller(spark: SparkSession, model: BiLSTM, path: str) -> None:
+    """Writes the weights as a table of one row each."""
+    rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in sorted(model.w.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, value array<float>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_labeller(spark: SparkSession, path: str) -> BiLSTM:
+    return BiLSTM({r["name"]: np.array(r["value"], np.float32).reshape(r["shape"]) for r in spark.read.parquet(path).collect()})
+
+
 def main_texts(model: BiLSTM, pages: list[str]) -> list[str]:
     found = [blocks(h) for h in pages]
-    chances = model.predict([vectors(b) for b in found])
+    chances = model.predict([vectors(b) if len(b) <= LONG else vectors([]) for b in found])
+    chances = [model.streamed(b) if len(b) > LONG else c for b, c in zip(found, chances, strict=True)]
     return ["\n\n".join(t for (_, t, _), p in zip(b, c, strict=True) if p >= 0.5) for b, c in zip(found, chances, strict=True)]
 
 
