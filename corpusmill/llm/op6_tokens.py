@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, table
+from .common import map_rows, scratch, shared_dir, small_batches, stored, table, written
 
 #: Ids after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 1 << 18
@@ -246,6 +246,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shards to the shared folder; returns the table of them, as read again."""
+    small_batches(docs.sparkSession)
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -321,4 +322,5 @@ def occurrences(shards: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(table(spark, sf_dir, "documents")))
+    with scratch(spark):  # the shards go when they have been read back
+        return written(read_shards(write_shards(table(spark, sf_dir, "documents"))), shared_dir(spark), "token-rows")
