@@ -76,7 +76,7 @@ def clear_of(more: Column, base: Column) -> Column:
     those that begin after all earlier ends of base, one from the right those that end before
     all later starts."""
     place = lambda k: lambda x: F.struct(x["s"], F.lit(k).alias("k"), x["e"], x["v"], x["left"], x["right"], x["kind"])
-    both = F.array_sort(F.concat(F.transform(base, place(0)), F.transform(more, place(1))))
+    both = F.sort_array(F.concat(F.transform(base, place(0)), F.transform(more, place(1))))
     none = F.array().cast(f"array<{CANDIDATE}>")
     ahead = lambda at, x: (F.when(x["k"] == 0, F.greatest(at, x["e"])).otherwise(at), F.when((x["k"] == 0) | (at <= x["s"]), F.array(x)).otherwise(none))
     back = lambda at, x: (F.when(x["k"] == 0, F.least(at, x["s"])).otherwise(at), F.when((x["k"] == 1) & (at >= x["e"]), F.array(x)).otherwise(none))
@@ -204,7 +204,7 @@ def with_spans(docs: DataFrame, model: SpanModel, text_col: str = "text") -> Dat
     plain = lambda x: F.struct(x["s"], F.element_at(order, x["kind"]).alias("k"), x["e"], x["kind"])
     found = with_candidates(docs, text_col)
     chosen = found.withColumn("_chosen", F.filter("_extra", model.accepts))
-    return chosen.withColumn("base", F.array_sort(F.transform("_base", plain)).cast(SPAN)).withColumn("spans", F.array_sort(F.transform(F.concat("_base", "_chosen"), plain)).cast(SPAN)).drop("_base", "_extra", "_chosen")
+    return chosen.withColumn("base", F.sort_array(F.transform("_base", plain)).cast(SPAN)).withColumn("spans", F.sort_array(F.transform(F.concat("_base", "_chosen"), plain)).cast(SPAN)).drop("_base", "_extra", "_chosen")
 
 
 def between(pieces: Column, start: Column, end: Column) -> Column:
