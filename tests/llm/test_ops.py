@@ -100,6 +100,28 @@ def test_spans_of_a_large_benchmark(spark, monkeypatch):
     assert rows() == small and len(small) == len(texts) and sum(small[i][1] != t for i, t in enumerate(texts)) == 4
 
 
+def test_large_benchmark_documents(spark, monkeypatch):
+    rng = random.Random(36)
+    items = [said(rng, n) for n in (40, 20, 13, 2, 60)]
+    texts = [*ODD, *items, f"{items[0]} {said(rng, 900)}", f"{said(rng, 5)} {items[4][:200]}", said(rng, 100)]
+    df, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {i for i, x in enumerate(brute_contamination(texts, list(enumerate(items)))) if not x[4]}
+    real = op1.benchmark_windows
+    for limit in (60_000, 9):
+        monkeypatch.setattr(op1, "benchmark_windows", lambda b, n=limit: real(b, limit=n))
+        kept = op1.decontaminate(df, bench)
+        assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_many_hits_in_one_text(spark):
+    rng = random.Random(37)
+    item = said(rng, 13, 10**6)
+    text = f"é {item}, z. " * 5000
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    cut = op1.decontaminate(docs(spark, [text]), bench, mode="spans").collect()[0]["text"]
+    assert cut == ("é " + " " * 12 + ", z. ") * 5000
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
@@ -187,6 +209,50 @@ def test_components_odd_ids(spark):
     assert op3.near_components(df.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    """Two words whose polynomial hashes modulo 2^64 are equal, whatever the base."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_shingles_are_compared_by_words(spark):
+    a, b = thue_morse(1024)
+    rng = random.Random(30)
+    tail = said(rng, 3, 10**6)
+    rows = [(0, f"{a} {tail}"), (1, f"{b} {tail}"), (2, f"{a} {tail}"), (3, a), (4, b), (5, f"{a} {b} {a} {b} {a} {a} {a} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op3.near_components(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_links_are_every_link(spark):
+    rng = random.Random(31)
+    texts = [t for n in (5, 30, 60) for t in copies(rng, said(rng, n, 10**6), 14, 3)] + ["x y", "x y", None, ""]
+    pairs, classes = op3.near_links(docs(spark, texts))
+    rep = {r["doc_id"]: r["rep"] for r in classes.collect()}
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) for w in ((t or "").split() for t in texts)]
+    alike = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    reps = sorted(set(rep.values()))
+    assert set(rep) == {i for i, t in enumerate(texts) if t} and all(texts[i] == texts[r] for i, r in rep.items())
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(a, b) for a in reps for b in reps if a < b and alike(sets[a], sets[b])]
+
+
+def test_large_buckets_are_compared_in_rounds(spark, monkeypatch):
+    """Leaders, salts and shuffle joins, as large tables need them."""
+    for name in ("BROADCAST_IDS", "BROADCAST_PAIRS", "SALT_ROWS"):
+        monkeypatch.setattr(op3, name, 3)
+    rng = random.Random(32)
+    texts = []
+    for n in (2, 4, 6, 9, 14):
+        base = said(rng, n, 10**6)
+        texts += [t for part in range(4) for t in copies(rng, f"{base} {said(rng, n, 10**6)}", 12, 2 + n // 8)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op3.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 @pytest.mark.parametrize(("percent", "rare"), [(85, op3.RARE), (80, op3.RARE), (85, 0.99), (80, 0.99)])
 def test_pigeonhole_plan_is_sound(monkeypatch, percent, rare):
     """Also with plans whose segments often don't suffice, which match by their empty segments."""
@@ -200,7 +266,8 @@ def test_pigeonhole_plan_is_sound(monkeypatch, percent, rare):
             b = a[rng.permutation(len(a))[: len(a) - cut]]
             extra = max(0, int((len(a) - cut) / share) - len(a))
             b = np.unique(np.concatenate((b, op3.mix(rng.integers(0, 1 << 60, rng.integers(0, extra + 1)).astype(np.uint64)))))
-            if op3.similar(a, b, percent):
+            both = len(np.intersect1d(a, b))
+            if op3.enough(both, len(a), len(b), percent):
                 (x, ex, nx), (y, ey, ny) = plan.signatures(a), plan.signatures(b)
                 assert np.intersect1d(x, y).size or np.intersect1d(nx, ey).size or np.intersect1d(ex, ny).size
 
@@ -226,6 +293,43 @@ def test_media(spark):
     assert op4.read_media(op4.to_media(df.limit(0), ["doc_id"]), ["doc_id"]).count() == 0
 
 
+def lossless_frame(x, predictor, lengths, symbols):
+    """A lossless JPEG frame with the given table (codes of each length) and predictor."""
+    code, codes, at = 0, {}, 0
+    for n, many in enumerate(lengths, 1):
+        for _ in range(many):
+            codes[symbols[at]] = format(code, f"0{n}b")
+            code, at = code + 1, at + 1
+        code <<= 1
+    bits, h, w = "", *x.shape
+    for r in range(h):
+        for c in range(w):
+            a, b, e = (int(x[r, c - 1]) if c else 0), (int(x[r - 1, c]) if r else 0), (int(x[r - 1, c - 1]) if r and c else 0)
+            guess = (b if r else 128) if not c else a if not r else [0, a, b, e, a + b - e, a + ((b - e) >> 1), b + ((a - e) >> 1), (a + b) >> 1][predictor]
+            d = int(x[r, c]) - guess
+            s = abs(d).bit_length()
+            bits += codes[s] + (format(d if d > 0 else d + (1 << s) - 1, f"0{s}b") if s else "")
+    bits += "1" * (-len(bits) % 8)
+    raw = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    table = b"\x01" + bytes(lengths) + bytes(symbols)
+    two = lambda n: n.to_bytes(2, "big")
+    return b"\xff\xd8\xff\xc4" + two(2 + len(table)) + table + b"\xff\xc3" + two(11) + b"\x08" + two(h) + two(w) + b"\x01\x01\x11\x00\xff\xda" + two(8) + b"\x01\x01\x10" + bytes([predictor]) + b"\0\0" + raw + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("predictor", range(1, 8))
+def test_other_lossless_frames(predictor):
+    rng = np.random.default_rng(predictor)
+    x = np.cumsum(rng.integers(-20, 21, (5, 23)), axis=1).clip(0, 255).astype(np.uint8)
+    frame = lossless_frame(x, predictor, [0, 1, 5, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9])
+    rows, width, p, tables, coded = op4._scan(frame)
+    assert (rows, width, p) == (5, 23, predictor) and (op4._plain(rows, width, p, tables[0][1], coded) == x).all()
+    own = op4.avi(op4.pad(bytes(rng.integers(0, 256, 5000).astype(np.uint8))))
+    samples, starts, _ = op4.read_avi(own)
+    at = own.index(b"00dc") + 8
+    rows, width, p, tables, coded = op4._scan(own[at : at + int.from_bytes(own[at - 4 : at], "little")])
+    assert (op4._plain(rows, width, p, tables[0][1], coded) == samples[: starts[1]]).all()
+
+
 # --- 5 --------------------------------------------------------------------------------------
 
 
@@ -249,12 +353,80 @@ def test_labeller(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in op5.extract_text(df, model, ["page_id"]).collect()}
     assert sum(got[k][0] == want[k] for k in range(60)) >= 57
     assert got[100] == ("", 0) and got[101] == ("", 0) and got[0][1] == len(got[0][0])
-    fresh = op5.Grammar(np.random.default_rng(99), words)
+    fresh = op5.Grammar(np.random.default_rng(99), dict.fromkeys(words[:200], 1), dict.fromkeys(words[200:], 1))
     made = [x for x in (fresh.example() for _ in range(100)) if len(x[1])]
     right = np.concatenate([(p >= 0.5) == y for p, (_, y) in zip(model.predict([v for v, _ in made]), made, strict=True)])
     assert right.mean() > 0.98
 
 
+def article_text(html):
+    """Brute force for pages whose only article element is well formed and holds nothing else."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag not in op5.INLINE:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag not in op5.INLINE:
+                self.blocks.append("")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    r = Reader()
+    r.feed(html)
+    r.close()
+    return "\n\n".join(" ".join(b.split()) for b in r.blocks if b.split())
+
+
+def test_article_against_a_plain_parse(spark):
+    rng = random.Random(38)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    pages = []
+    for k in range(50):
+        body = "".join(rng.choice((f"<p>{text(rng.randrange(3, 60))} &amp; <em>x</em></p>", f"<h2>{text(4)}</h2>", f"<ul><li>{text(5)}</li><li>{text(7)}</li></ul>", f"<blockquote>{text(20)}</blockquote>")) for _ in range(rng.randrange(2, 40)))
+        pages.append(f"<!doctype html><html><body><header><h1>{text(2)}</h1></header><nav><ul><li><a href=/>{text(1)}</a></li></ul></nav><article><h1>{text(6)}</h1>{body}</article><aside class='sidebar'><p>{text(12)}</p></aside><footer><p>&copy; {text(4)}</p></footer></body></html>")
+    rows = [(k, h, "u", "x", 1) for k, h in enumerate(pages)] + [(7, pages[7], "u", "x", 1), (90, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, url string, text string, n_chars int")  # extra columns, a repeated row
+    model = op5.fit_labeller(df)
+    got = op5.extract_text(df, model, ["page_id", "url"]).collect()
+    assert len(got) == 52 and [r["text"] for r in got if r["page_id"] == 7] == [article_text(pages[7])] * 2
+    assert sum(r["text"] == article_text(pages[r["page_id"]]) for r in got if r["page_id"] < 50) >= 49
+    assert op5.extract_text(df.limit(0), model, ["page_id"]).count() == 0
+    assert op5.page_words(df.limit(0), "html", 10) == [{}, {}]
+
+
+def test_labeller_is_stored(spark, tmp_path):
+    model = op5.BiLSTM.fresh(np.random.default_rng(1))
+    op5.save_labeller(spark, model, f"{tmp_path}/model")
+    again = op5.load_labeller(spark, f"{tmp_path}/model")
+    assert again.w.keys() == model.w.keys() and all((again.w[k] == v).all() for k, v in model.w.items())
+
+
+def test_long_and_deep_pages(monkeypatch):
+    import time
+
+    began = time.time()
+    deep = "<div class=a>x <b>" * 50_000 + "</b>" * 50_000 + "<p>y" * 1000 + "</div></span>" * 50_000
+    found = op5.blocks(deep)
+    assert len(found) == 51_000 and found[-1][0].depth == 50_001 and len(op5.vectors(found)) == 51_000
+    assert time.time() - began < 20
+    rng = np.random.default_rng(2)
+    model, some = op5.BiLSTM.fresh(rng), op5.blocks("".join(f"<p>{'w ' * (k % 9 + 1)}" for k in range(700)))
+    whole = model.predict([op5.vectors(some)])[0]
+    monkeypatch.setattr(op5, "LONG", 64)
+    assert np.allclose(model.streamed(some), whole, atol=1e-5)
+
+
 # --- 6 --------------------------------------------------------------------------------------
 
 
@@ -278,6 +450,36 @@ def test_token_shards(spark):
     assert op6.read_shards(op6.write_shards(docs(spark, texts).limit(0))).count() == 0
 
 
+def test_token_chunks_are_known_by_their_bytes(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(op6.default_vocabulary())
+    texts = [*thue_morse(1024), "plain words"]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in op6.read_shards(op6.write_shards(docs(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        code = [*lib.encode(t, add_special_tokens=False).ids, 1]
+        assert got[i] == (len(code), zlib.crc32(np.array(code, "<u4").tobytes()))
+
+
+def test_token_files_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(34)
+    texts = [said(rng, rng.randrange(1, 9)) for _ in range(120)] + [None, ""]
+    ids = [7] * 100 + list(range(22))
+    df, seen, before = docs(spark, texts, ids), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            shards = op6.write_shards(df.repartition(int(n)), shard_tokens=60)
+            seen.append(sorted(tuple(r) for r in op6.read_shards(shards).collect()))
+            counts = {r["id"]: r["n"] for r in op6.occurrences(shards, [1, 60_000]).collect()}
+            assert counts == {1: 122, 60_000: 0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 122
+    monkeypatch.setattr(op6, "CACHE_CHUNKS", 5)  # a full table starts anew
+    assert sorted(tuple(r) for r in op6.read_shards(op6.write_shards(df)).collect()) == seen[0]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(9)
     for n in (1, 7, 8, 9, 40_000):
@@ -334,7 +536,7 @@ def test_repeated_passages(spark):
 def test_windows_cover():
     rng = random.Random(12)
     for t in ["a", "é" * 2000, "x" * 5000, said(rng, 14, 10**6), *(said(rng, n, 10**6) for n in (15, 40, 900))]:
-        digest, place, words = op7.windows(t)
+        digest, _, place, _ = op7.windows(t)
         edges = [0, *op7.cuts(op7.as_bytes(t)).tolist()]
         raw = t.encode()
         words_before = {x: len(raw[:x].split()) for x in edges}
@@ -346,6 +548,32 @@ def test_windows_cover():
             assert (n >= 15) == bool(inside) and (not inside or (min(inside)[0] == a and max(s[1] for s in inside) == b))
 
 
+def test_passages_against_brute_force(spark):
+    """Every byte of a reported passage, and no other stretch of RUN_WORDS words, stands in another document."""
+    rng = random.Random(33)
+    a, b = thue_morse(2048)
+    bank = [said(rng, n, 10**7) for n in (10, 14, 20, 35, 60, 80)]
+    texts = [" ".join(rng.choice([said(rng, rng.randrange(5, 60), 10**7), rng.choice(bank)]) for _ in range(4)) for _ in range(60)]
+    texts += [f"{a} {said(rng, 14, 10**7)}", f"{b} {said(rng, 14, 10**7)}", *texts[:3], " ".join([texts[0], texts[0]])]
+    rows = op7.repeated_passages(docs(spark, texts)).collect()
+    raw = [t.encode() for t in texts]
+    found = [set() for _ in texts]
+    for r in rows:
+        found[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    want = [set() for _ in texts]
+    for i, t in enumerate(texts):
+        _, _, place, _ = op7.windows(t)
+        for s, e in zip((place >> 32).tolist(), (place & 0xFFFFFFFF).tolist(), strict=True):
+            stretch = raw[i][s:e]
+            for j in range(len(texts)):
+                if j != i and stretch in raw[j]:
+                    spans = op7.windows(texts[j])[2]
+                    if any(raw[j][x >> 32 : x & 0xFFFFFFFF] == stretch for x in spans.tolist()):
+                        want[i] |= set(range(s, e))
+                        break
+    assert found == want and sum(map(bool, found)) > 30
+
+
 def test_quote_inside_copies_stays(spark):
     rng = random.Random(14)
     own = lambda n: said(rng, n, 10**7)
@@ -458,3 +686,39 @@ def test_weak_supervision_adds_secrets_and_redacts(spark):
     assert all(rows[k] == 'x token = "<SECRET>" y' for k in range(30)) and rows[30] == "mail me: <EMAIL> now" and rows[100] is None and rows[101] == "plain"
     assert (model.reliability.sum(axis=2) - 1 < 1e-9).all()
     assert op10.with_spans(df.limit(0), op10.fit_pii(df.limit(0))).count() == 0
+
+
+def test_personal_data_overlaps(spark):
+    """Added spans keep clear of base ones, and redaction takes the first of spans that overlap."""
+    rng = random.Random(35)
+    parts = ["4111 1111-1111 1111", "+1 (555) 123-4567", "a.b@c.example.com", "10.0.0.1", " ", " x ", "(0201) 1234-5678", "123-45-6789", "DE89 3704 0044 0532 0130 00", "tok3n_abcdef0123456789", "é😀", "1234567890123456", "-", "+"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(300)] + [None, ""]
+    df = docs(spark, texts)
+    model = op10.fit_pii(df)
+    got = {r["doc_id"]: r for r in op10.with_spans(df, model).select("doc_id", "base", "spans").collect()}
+    clean = {r["doc_id"]: r["text"] for r in op10.redact(df, model).collect()}
+    for i, t in enumerate(texts):
+        base = [(x["s"], x["e"]) for x in got[i]["base"]]
+        added = [x for x in got[i]["spans"] if x["kind"] in op10.EXTRA]
+        assert all(not (b < x["e"] and x["s"] < e) for x in added for b, e in base)
+        want, at = "", 0
+        for x in got[i]["spans"]:
+            if x["s"] >= at:
+                want, at = want + t[at : x["s"]] + f"<{x['kind'].upper()}>", x["e"]
+        assert clean[i] == (None if t is None else want + t[at:])
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in one text, with added candidates between them."""
+    import time
+
+    one = "é 10.0.0.1 (0201) 1234-5678; "
+    texts = [one * 50_000, one * 10]
+    df = docs(spark, texts)
+    began = time.time()
+    model = op10.fit_pii(df)
+    got = {r["doc_id"]: r for r in op10.with_spans(df, model).select("doc_id", F.size("base").alias("n"), op10.listed(F.col("base")).alias("base")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in op10.redact(df, model).collect()}
+    assert time.time() - began < 120
+    assert got[0]["n"] == 50_000 and got[0]["base"].endswith(f"ip:{len(one) * 49_999 + 2}:{len(one) * 49_999 + 10}")
+    assert clean[0] == clean[1] * 5000 and "10.0.0.1" not in clean[0]
