@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import DOCUMENT_COLUMNS, stored, table
+from corpusmill.llm.common import DOCUMENT_COLUMNS, discard, stored, table
 from corpusmill.llm.op1_decontaminate import decontaminate
 from corpusmill.llm.op2_bpe import bpe_round_trip
 from corpusmill.llm.op3_jaccard import one_of_each
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs, "stage")
+            discard(before)  # the table of the stage before, but not the input
     return docs
