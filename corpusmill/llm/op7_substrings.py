@@ -125,10 +125,11 @@ def windows(text: str, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarr
     return *digests(raw.tobytes(), edge[a], edge[b]), edge[a] << 32 | edge[b], word[a] << 10 | (word[b] - word[a] - run_words)
 
 
-def window_rows(docs: DataFrame, run_words: int) -> DataFrame:
+def window_rows(docs: DataFrame, run_words: int, keyed: bool) -> DataFrame:
     """(digest, tag, doc_id, key, place, words) for each window of each document (doc_id, text).
     The lowest six bits of words are 0 where a batch has the digest once, 1 for the first of
-    several, beyond for the others."""
+    several, beyond for the others, whose digests have their upper bits flipped by them and so
+    go elsewhere.  Where no id repeats, all keys are 0 (and take no room)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,13 +138,14 @@ def window_rows(docs: DataFrame, run_words: int) -> DataFrame:
                 rows += chunk.column(0).to_pylist()
                 for t in chunk.column(1).to_pylist():
                     found.append(windows(t or "", run_words))
-                    keys.append(text_key((t or "").encode()) if len(found[-1][0]) else 0)
+                    keys.append(text_key((t or "").encode()) if keyed and len(found[-1][0]) else 0)
             if not rows:
                 continue
             digest, tag, place, words = (np.concatenate([x[k] for x in found]) for k in range(4))
             _, first, of, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
-            m = np.where(times[of] > 1, 2 + np.arange(len(digest)) % WAYS, 0)
+            m = np.where(times[of] > 1, 2 + np.arange(len(digest)) % WAYS, 0).astype(np.int64)
             m[first[times > 1]] = 1
+            digest = digest ^ np.where(m > 1, m << 58, 0)
             n = [len(x[0]) for x in found]
             columns = [digest, tag, np.repeat(np.array(rows, np.int64), n), np.repeat(np.array(keys, np.int64), n), place, words << 6 | m]
             for at in range(0, len(digest), 100_000):
@@ -172,7 +174,7 @@ def united(key: np.ndarray, place: np.ndarray, words: np.ndarray, first: np.ndar
 
 def passages(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> DataFrame:
     """(doc_id, key, start, end, n_words, first_doc_id): repeated passages with the key of their
-    text, as a table in the shared folder."""
+    text (0 if no id repeats), as a table in the shared folder."""
     run_words, spark = max(run_words, 1), docs.sparkSession
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
@@ -183,10 +185,11 @@ def passages(docs: DataFrame, id_col: str, text_col: str, run_words: int) -> Dat
         return list(map(list, zip(*out, strict=True))) if out else [[] for _ in range(6)]
 
     with scratch(spark):
-        rows = window_rows(some, run_words).withColumn("m", F.col("words").bitwiseAND(63))
-        alike = Window.partitionBy("digest", F.greatest("m", F.lit(1)))
-        met = rows.withColumn("low", F.min("doc_id").over(alike)).withColumn("high", F.max("doc_id").over(alike)).where("low <> high OR m <> 0")
-        kept = stored(met.select("digest", "tag", "doc_id", "key", "place", F.shiftright("words", 6).alias("words")), "windows")
+        keyed = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
+        rows, m, alike = window_rows(some, run_words, keyed), F.col("words").bitwiseAND(63), Window.partitionBy("digest")
+        met = rows.select("*", F.min("doc_id").over(alike).alias("low"), F.max("doc_id").over(alike).alias("high")).where((F.col("low") != F.col("high")) | (m != 0))
+        digest = F.when(m > 1, F.col("digest").bitwiseXOR(F.shiftleft(m, 58))).otherwise(F.col("digest"))
+        kept = stored(met.select(digest.alias("digest"), "tag", "doc_id", "key", "place", F.shiftright("words", 6).alias("words")), "windows")
         repeats = kept.groupBy("digest", "tag").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("digest", "tag", "first")
         marked = kept.join(repeats, ["digest", "tag"]).select("doc_id", "key", "place", "words", "first")
         gathered = marked.groupBy("doc_id").agg(F.collect_set(F.struct("key", "place", "words", "first")).alias("x")).select("doc_id", "x.key", "x.place", "x.words", "x.first")
@@ -214,7 +217,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 raw, at, kept = t.encode(), 0, []
                 key = text_key(raw)
                 for s in spans:
-                    if s["key"] == key and s["end"] > at:
+                    if s["key"] in (0, key) and s["end"] > at:
                         start, end = max(s["start"], at), s["end"]
                         while start < end and raw[start] & 0xC0 == 0x80:
                             start += 1
