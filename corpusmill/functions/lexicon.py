@@ -16,9 +16,10 @@ NAMES = ("finance", "company", "up", "down", "risk", "legal", "rating", "boilerp
 
 #: Endings that the simple stemmer removes, in the order in which they are tried.
 SUFFIXES = (
-    "lerinden larindan lerine larina lerini larini lerinde larinda lerden lardan lerde larda lerin larin leri lari ler lar "
-    "inden indan ine ina ini inde inda den dan de da in i ı u ü e a miş mis muş mus mış ti tı tu tü di dı du dü li lı lu lü ki"
-).split()
+    "lerinden", "larindan", "lerine", "larina", "lerini", "larini", "lerinde", "larinda", "lerden", "lardan", "lerde", "larda", "lerin",
+    "larin", "leri", "lari", "ler", "lar", "inden", "indan", "ine", "ina", "ini", "inde", "inda", "den", "dan", "de", "da", "in", "i", "ı",
+    "u", "ü", "e", "a", "miş", "mis", "muş", "mus", "mış", "ti", "tı", "tu", "tü", "di", "dı", "du", "dü", "li", "lı", "lu", "lü", "ki",
+)
 
 #: A small lexicon to begin with; jobs bring their own.
 STARTER = {

@@ -22,7 +22,8 @@ TEMPLATE_STEPS = (
     ("<CUR>", r"(?iuU)(₺|\btl\b|\btry\b|\busd\b|\beur\b|\bgbp\b|\bdolar\b|\beuro\b)"),
     ("<NUM>", r"(?U)\b\d+(?:[.,]\d+)?\b"),
 )
-# Bounds of a cleaned sentence.
+# Letters that preprocessing knows, small and great ones, and bounds of a cleaned sentence.
+LETTERS, SMALL, GREAT = "a-zA-ZçğıöşüÇĞİÖŞÜ", "a-zçğıöşü", "A-ZÇĞİÖŞÜ"
 SENTENCE_MIN, SENTENCE_MAX = 15, 512
 
 
@@ -47,12 +48,11 @@ def md5_norm(x: Column) -> Column:
 def preprocess(x: Column) -> Column:
     """Cleaning before pretraining: digits part from letters, white space collapses, invisible
     characters go, dashes and dots are unified, glued sentences are parted."""
-    letters = "a-zA-ZçğıöşüÇĞİÖŞÜ"
-    y = F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?U)(\d+)([{letters}])", "$1 $2")
+    y = F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?U)(\d+)([{LETTERS}])", "$1 $2")
     y = F.regexp_replace(y, r"(?U)\s+", " ")
     y = F.translate(y, "\u00a0\u2013\u2014\u200b\ufeff", " --")
     y = F.replace(y, F.lit("…"), F.lit("..."))
-    y = F.regexp_replace(y, "([a-zçğıöşü])([A-ZÇĞİÖŞÜ][a-zçğıöşü])", "$1. $2")
+    y = F.regexp_replace(y, f"([{SMALL}])([{GREAT}][{SMALL}])", "$1. $2")
     return F.trim(y)
 
 
