@@ -144,11 +144,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements of a block that a fold appends to, and blocks of a group.
+FOLD = 32
+
+
 def folded(items: Column, at, step, kind: str) -> Column:
     """What a fold over items gives out, in a row.  step(at, x) is the new state (an int) and an
     array of elements of the kind.  Appending to an array copies it, so the fold goes by blocks
-    of the root of the length and appends blocks."""
+    of FOLD elements, blocks by groups, and appends whole blocks and groups."""
     out, outs = f"array<{kind}>", f"array<array<{kind}>>"
+    cut = lambda some, size: F.transform(F.sequence(F.lit(0), F.size(some) - 1, F.lit(size)), lambda b: F.slice(some, b + 1, size))
 
     def inner(start: Column, block: Column) -> Column:
         def one(a: Column, x: Column) -> Column:
@@ -157,11 +162,10 @@ def folded(items: Column, at, step, kind: str) -> Column:
 
         return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(out).alias("out")), one)
 
-    def by_block(all_: Column) -> Column:
-        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), F.size(all_) - 1, size), lambda b: F.slice(all_, b + 1, size))
-        merge = lambda a, block: let(inner(a["at"], block), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).cast(outs).alias("out")))
-        zero = F.struct(F.lit(at).cast("int").alias("at"), F.array().cast(outs).alias("out"))
-        return F.when(F.size(all_) > 0, F.aggregate(blocks, zero, merge, lambda a: F.flatten(a["out"]))).otherwise(F.array().cast(out))
+    def over(parts: Column, start: Column, body) -> Column:
+        merge = lambda a, part: let(body(a["at"], part), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(parts, F.struct(start.alias("at"), F.array().cast(outs).alias("out")), merge, lambda a: F.struct(a["at"].alias("at"), F.flatten(a["out"]).alias("out")))
 
-    return let(items, by_block)
+    group = lambda start, some: over(cut(some, FOLD), start, inner)
+    whole = lambda all_: F.when(F.size(all_) > 0, over(cut(all_, FOLD * FOLD), F.lit(at).cast("int"), group)["out"]).otherwise(F.array().cast(out))
+    return let(items, whole)

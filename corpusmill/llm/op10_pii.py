@@ -14,9 +14,9 @@ share of true spans; the posteriors then train the final span classifier, a logi
 regression on kind and votes, whose weights go back into the DataFrame expression.
 
 Places are counted in code points: matches and the gaps between them come from the same
-pattern, and a fold over both adds their lengths up.  Folds that make arrays go by blocks of
-the root of their length, and texts are cut in pieces of PIECE code points, so the time for a
-text of n matches grows as n to the power 1.5 at most, and memory in proportion.
+pattern, and a fold over both adds their lengths up.  Folds that make arrays append to short
+blocks, and texts are cut in pieces of PIECE code points, so time and memory for a text of many
+matches grow about in proportion to them.
 
 Defined results: a null or empty text has no spans; without candidates the classifier adds
 nothing; overlapping spans of different base kinds all stay, added spans never overlap base
