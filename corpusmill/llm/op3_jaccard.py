@@ -22,8 +22,8 @@ signature; the rare sets whose segments don't suffice are matched through a seco
 empty segments.
 
 Candidates.  Rows that share a signature form a bucket.  One shuffle of (signature, id) finds
-those of more than one row; of rows that share a signature within one Arrow batch only the
-first goes to the bucket's task, the others (already known to have company) are dealt by salt,
+those of more than one row; of rows that share a signature within a group of GROUP documents only
+the first goes to the bucket's task, the others (already known to have company) are dealt by salt,
 so a signature that a third of all rows hold doesn't meet in one task.  In buckets of up to
 SMALL members all are compared.  Beyond, each round takes leaders and compares them with the
 members that they aren't linked with so far; what is verified is contracted into components,
@@ -76,8 +76,8 @@ SMALL = 6
 BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 100_000
 #: Partners of a leader that one task reads.
 SALT_ROWS = 256
-#: Ways in which rows of one signature and batch are dealt.
-WAYS = 62
+#: Documents among whose signatures repeats are found at once, and ways in which these are dealt.
+GROUP, WAYS = 1024, 62
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SKETCHES = [f"k{i}" for i in range(SKETCH)]
@@ -247,14 +247,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, doc, m) for every signature.  m is 0 where a batch has the signature once, 1 for the
+    """(sig, doc, m) for every signature.  m is 0 where a group of documents has it once, 1 for the
     first of several, beyond for the others; keys of empty segments that a set needs have -1.
     A row with m = -2 - n for each text holds the size n of its set and, as sig, its digest's
     first 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = _plan(percent)
-        for batch in batches:
+        for batch in (b.slice(at, GROUP) for b in batches for at in range(0, b.num_rows, GROUP)):
             sigs, needs, rows, names, sizes = [], [], [], [], []
             for chunk in rows_in_chunks(iter([batch])):
                 for d, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
