@@ -198,6 +198,8 @@ def test_components(spark):
     df = docs(spark, texts, order)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op3.near_components(df).collect()}
     assert got == brute_components(list(zip(order, texts, strict=True)))
+    five = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op3.near_components(df, size=5, percent=80).collect()}
+    assert five == brute_components(list(zip(order, texts, strict=True)), 5, 80)  # every link, as the pipeline takes them
     kept = op3.one_of_each(df, size=4, percent=85)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (n, c) in got.items() if i == c}
 
@@ -633,6 +635,8 @@ def test_toxicity_and_quality(spark):
         assert 100 < len(test) < 400 and all(got[r[0]][1] == (zlib.crc32(str(r[0]).encode()) % 5 == 0) for r in rows)
         assert np.mean([(got[r[0]][0] >= limit) == r[label] for r in test]) > 0.97
         assert all(0 <= s <= 1 for s, _ in got.values()) and got[10**6][0] == got[10**6 + 1][0]
+    empty = df.limit(0)
+    assert op9.score_quality(empty, op9.fit_quality(empty, labels), ["doc_id"]).count() == 0 and op8.score_toxicity(empty, op8.fit_toxicity(empty, labels), ["doc_id"]).count() == 0
     kept = op9.keep_quality(df, op9.fit_quality(df, labels))
     assert kept.columns == df.columns and 0.7 < kept.count() / df.count() < 0.9
 
@@ -722,3 +726,24 @@ def test_many_matches_in_one_text(spark):
     assert time.time() - began < 120
     assert got[0]["n"] == 50_000 and got[0]["base"].endswith(f"ip:{len(one) * 49_999 + 2}:{len(one) * 49_999 + 10}")
     assert clean[0] == clean[1] * 5000 and "10.0.0.1" not in clean[0]
+
+
+def test_added_candidates_against_brute_force(spark):
+    """Every match of an added kind that overlaps no base span, and nothing else."""
+    import regex
+
+    rng = random.Random(40)
+    parts = ["(0201) 1234-5678", "123-45-6789", "DE89 3704 0044 0532 0130 00", "tok3n_abcdef0123456789", "12345678901234", "4111111111111111", "10.0.0.1", "+1 555 123 4567", "a.b@c.example.com", " ", "x", "-", "é", ": "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    rows = op10.with_candidates(docs(spark, texts), "text").select("doc_id", F.transform("_extra", lambda x: F.struct(x["kind"], x["s"], x["e"])).alias("x")).collect()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_pii(t).split(",") if x]
+        want = set()
+        for kind, pattern in op10.EXTRA.items():
+            for m in regex.finditer(pattern, t):
+                luhn = kind == "number" and any(int(a) == m.start() and int(b) == m.end() for k, a, b in (x.split(":") for x in brute_pii(t).split(",") if x) if k == "card")
+                if not luhn and all(e <= m.start() or m.end() <= s for s, e in base):
+                    want.add((kind, m.start(), m.end()))
+        assert {tuple(x) for x in r["x"]} - {x for x in {tuple(y) for y in r["x"]} if x[0] == "number"} == {x for x in want if x[0] != "number"}
+        assert {tuple(x) for x in r["x"]} <= want

@@ -52,3 +52,23 @@ def test_pipeline(spark, tmp_path):
     assert last.where(F.col("decoded_sha256") != F.col("want")).count() == 0 and last.where(F.size("ids") != F.col("n_tokens")).count() == 0
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in whole.collect()} == set(seen[4])
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, repeated ids, long texts, extra columns and an empty table, stage by stage."""
+    write(spark, str(tmp_path), 120)
+    plain = "doc_id long, text string, lang string, source string, n_chars long, _key string, spans string, row int"
+    long_text = " ".join(f"w{k % 7919}" for k in range(60_000))
+    rows = [(1, "a b c d e f g h", "en", "s", 15, "k", "x", 1), (1, "q r s t u v w x", "en", "s", 15, "k", "x", 2), (2, "a b c d e f g h", None, None, None, None, None, 3), (None, "a b c d e f g h", "en", "s", 15, "k", "x", 4), (3, None, "en", "s", 0, "k", "x", 5), (4, "", "en", "s", 0, "k", "x", 6), (5, long_text, "en", "s", 1, "k", "x", 7), (6, long_text, "en", "s", 1, "k", "x", 8)]
+    docs = spark.createDataFrame(rows, plain)
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in near if r["doc_id"] is None or r["doc_id"] < 5) == [(False, None), (True, 1), (True, 1), (True, 3), (True, 4)]
+    assert [r["doc_id"] for r in near if r["doc_id"] in (5, 6)] == [5]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        n = out.count()
+        assert (n == 5 + 1 if k == 1 else 0 < n <= len(rows)), name
+        if k < 4:
+            assert out.columns == plain.replace(" long", "").replace(" string", "").split(", ")[:5]
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns
