@@ -140,25 +140,63 @@ class ClassModel:
         self.two = (count - d) / stands[at] if len(count) else np.zeros(0)
         self.rest = d * np.bincount(at, minlength=len(self.context)) / stands if len(count) else np.zeros(0)
 
-    def logs(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each word by the lower order and after the one before."""
-        one = looked_up(self.word, self.one, h, 0.0) + self.rest_of_all * self.shared.of(h)
-        p = one.copy()
-        if len(h) > 1:
-            p[1:] = looked_up(self.pair, self.two, bigrams(h), 0.0) + looked_up(self.context, self.rest, h[:-1], 1.0) * one[1:]
-        return np.log(one), np.log(p)
-
-
-def evidence(h: np.ndarray, toxic: ClassModel, plain: ClassModel) -> tuple[float, float, float]:
-    """Length-normalised log-likelihood differences: of the text, of its strongest window of
-    WINDOW words, and of its strongest single word."""
-    if not len(h):
-        return 0.0, 0.0, 0.0
-    (one_t, pair_t), (one_p, pair_p) = toxic.logs(h), plain.logs(h)
-    d = pair_t - pair_p
-    total = np.concatenate(([0.0], d.cumsum()))
-    size = min(WINDOW, len(d))
-    return float(d.mean()), float((total[size:] - total[:-size]).max() / WINDOW), float((one_t - one_p).max())
+
+class Contrast:
+    """The log-likelihoods of two class models against each other.  The words and pairs of both
+    lie in one table each, in which a batch of documents is looked up together, in the order of
+    the hashes."""
+
+    def __init__(self, toxic: ClassModel, plain: ClassModel):
+        both = (toxic, plain)
+        self.word, self.pair = (np.unique(np.concatenate(x)) for x in ((toxic.word, plain.word), (toxic.pair, plain.pair)))
+        share = toxic.shared.of(self.word)
+        one = [looked_up(m.word, m.one, self.word, 0.0) + m.rest_of_all * share for m in both]
+        rest = [looked_up(m.context, m.rest, self.word, 1.0) for m in both]
+        two = [looked_up(m.pair, m.two, self.pair, 0.0) for m in both]
+        # the last entry stands for what is in neither
+        self.one = [np.append(x, m.rest_of_all * m.shared.other) for x, m in zip(one, both, strict=True)]
+        self.rest, self.two = [np.append(x, 1.0) for x in rest], [np.append(x, 0.0) for x in two]
+
+    @staticmethod
+    def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key, the number of keys for those that are none."""
+        if not len(keys) or not len(wanted):
+            return np.full(len(wanted), len(keys))
+        some, of = np.unique(wanted, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+        return np.where(keys[at] == some, at, len(keys))[of]
+
+    def differences(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic less ordinary log-probability of each word of all documents in a row: by itself,
+        and after the one before it in its document."""
+        flat = joined(docs)
+        at = self._places(self.word, flat)
+        one = [x[at] for x in self.one]
+        alone = np.log(one[0]) - np.log(one[1])
+        inside = np.ones(len(flat), bool)
+        starts = np.cumsum([0, *map(len, docs)])[:-1]
+        inside[starts[starts < len(flat)]] = False
+        i = np.flatnonzero(inside)
+        known = (at[i] < len(self.word)) & (at[i - 1] < len(self.word))  # a pair of the tables has words of them
+        pair = np.full(len(i), len(self.pair))
+        pair[known] = self._places(self.pair, mix(flat[i - 1][known] * np.uint64(3) + flat[i][known]))
+        p = [two[pair] + rest[at[i - 1]] * x[i] for two, rest, x in zip(self.two, self.rest, one, strict=True)]
+        after = alone.copy()
+        after[i] = np.log(p[0]) - np.log(p[1])
+        return alone, after
+
+    def evidence(self, docs: list[np.ndarray]) -> np.ndarray:
+        """For each document the length-normalised log-likelihood differences: of the text, of its
+        strongest window of WINDOW words, and of its strongest single word; 0 without words."""
+        out, end = np.zeros((len(docs), 3)), 0
+        alone, after = self.differences(docs)
+        for k, h in enumerate(docs):
+            if len(h):
+                d, end = after[end : end + len(h)], end + len(h)
+                total = np.concatenate(([0.0], d.cumsum()))
+                size = min(WINDOW, len(d))
+                out[k] = d.mean(), (total[size:] - total[:-size]).max() / WINDOW, alone[end - len(h) : end].max()
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -173,33 +211,36 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, toxic: ClassModel | None, plain: ClassModel | None, weights: np.ndarray):
-        self.toxic, self.plain, self.weights = toxic, plain, weights
+    def __init__(self, contrast: Contrast | None, weights: np.ndarray):
+        self.contrast, self.weights = contrast, weights
 
     @classmethod
     def fit(cls, rows: list[tuple[np.ndarray, int]], totals: dict[int, int], corpus: tuple[np.ndarray, np.ndarray, int, int]) -> ToxicityModel:
         by = {k: [h for h, y in rows if y == k] for k in (0, 1)}
         if len(by[0]) < 2 or len(by[1]) < 2:
             p = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-6), 1 - 1e-6)
-            return cls(None, None, np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))]))
+            return cls(None, np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))]))
         x, y = [], []
         for half in (0, 1):
             learn = {k: by[k][half::2] for k in (0, 1)}
-            shared = Shared(learn[0] + learn[1], corpus)
-            toxic, plain = ClassModel(learn[1], shared), ClassModel(learn[0], shared)
+            contrast = contrasted(learn[1], learn[0], corpus)
             for k in (0, 1):
-                for h in by[k][1 - half :: 2]:
-                    x.append(evidence(h, toxic, plain))
-                    y.append(k)
-        weights = fit_logistic(np.array(x), np.array(y, float))
+                some = by[k][1 - half :: 2]
+                x.append(contrast.evidence(some))
+                y += [k] * len(some)
+        weights = fit_logistic(np.concatenate(x), np.array(y, float))
         weights[-1] += np.log(totals[1] / totals[0]) - np.log(len(by[1]) / len(by[0]))
-        shared = Shared(by[0] + by[1], corpus)
-        return cls(ClassModel(by[1], shared), ClassModel(by[0], shared), weights)
+        return cls(contrasted(by[1], by[0], corpus), weights)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), 3)) if self.contrast is None else self.contrast.evidence([words(t) for t in texts])
+        z = x @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
 
-    def score(self, text: str) -> float:
-        x = (0.0, 0.0, 0.0) if self.toxic is None else evidence(words(text), self.toxic, self.plain)
-        z = self.weights @ np.array([*x, 1.0])
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+def contrasted(toxic: list[np.ndarray], plain: list[np.ndarray], corpus: tuple[np.ndarray, np.ndarray, int, int]) -> Contrast:
+    shared = Shared(toxic + plain, corpus)
+    return Contrast(ClassModel(toxic, shared), ClassModel(plain, shared))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> ToxicityModel:
@@ -242,7 +283,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def work(chunk):
-        return [*(chunk.column(i) for i in range(len(keep))), [shared.value.score(t or "") for t in chunk.column(len(keep)).to_pylist()]]
+        return [*(chunk.column(i) for i in range(len(keep))), shared.value.scores([t or "" for t in chunk.column(len(keep)).to_pylist()])]
 
     return map_rows(docs, [*keep, text_col], f"{kept}, score double", work)
 
