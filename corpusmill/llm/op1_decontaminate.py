@@ -6,7 +6,8 @@ L - g + 1 in the document, so a document is scanned only there: the hashes of th
 are looked up in a broadcast hash set of the anchors of all windows, and around each find the
 possible windows are verified as exact strings in the set of windows.  Both sets are part of
 the expression (a literal set, shipped once a stage): a document is judged in its own row,
-with no join, no shuffle and no copy of its text.
+with no join, no shuffle and no copy of its text.  Only the few rows with hits are joined with
+the items of their windows, for their names.
 
 The sets are bounded: a benchmark of more than SET_LIMIT windows is taken in batches of that
 many, in the order of its items, each by a pass of the same kind over the texts; the driver
