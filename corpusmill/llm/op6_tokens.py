@@ -26,7 +26,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, scratch, shared_dir, small_batches, stored, table, written
+from .hashing import BLANK_BYTE, word_hashes
 
 #: Ids after which a shard is closed (at the end of a document).
 SHARD_TOKENS = 1 << 18
 BLOCK = 4096
 BITS = 16
-#: Chunks of text whose ids a worker keeps (about 150 bytes each).
-CACHE_CHUNKS = 1_000_000
+#: Chunks of text at which a worker forgets half of them (about 45 bytes each).
+CACHE_CHUNKS = 3_000_000
 #: Text that is tokenized at a time.
 BATCH_BYTES = 4 << 20
 MAGIC = b"WMTX0001"
@@ -59,9 +59,11 @@ class Tokens:
     """The library's tokenizer behind a table of chunks, for whole batches of texts.
 
     The vocabulary's normalizer and splitter never join anything across white space, so a
-    text's ids are those of its chunks between ASCII white space.  The table knows a chunk by
-    its bytes; new ones go to the library, many in one call with a special token between them
-    (which it cuts out before all else).  A full table starts anew.
+    text's ids are those of its chunks between ASCII white space.  Chunks are found by the
+    64-bit hash of their bytes in a sorted array, and their bytes are compared: all of a batch
+    with the first of their hash, those with what the table holds.  A batch in which two chunks
+    clash goes to the library without the table.  New chunks go there many in one call, with a
+    special token between them (which it cuts out before all else).
     """
 
     def __init__(self, spec: str):
@@ -71,14 +73,21 @@ class Tokens:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if self.tokenizer.get_vocab_size() > 1 << BITS:
+            raise ValueError(f"an id needs more than {BITS} bits")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.between = self.specials[0]
         self.between_id = self.tokenizer.token_to_id(self.between)
-        self.forget()
+        self.turn, self.key, self.pool, self.raw = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint8)
+        self.at, self.size, self.raw_at, self.raw_size, self.used = (np.zeros(0, np.int32) for _ in range(5))
 
     def forget(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Keeps the half of the table that was used last."""
+        keep = self.used > np.sort(self.used)[len(self.used) // 2]
+        self.pool = self.pool[spread(self.at[keep], self.size[keep])]
+        self.raw = self.raw[spread(self.raw_at[keep], self.raw_size[keep])]
+        self.key, self.size, self.raw_size, self.used = self.key[keep], self.size[keep], self.raw_size[keep], self.used[keep]
+        self.at, self.raw_at = (np.cumsum(x, dtype=np.int32) - x for x in (self.size, self.raw_size))
 
     def ask(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks in a row, and how many each has."""
@@ -94,33 +103,58 @@ class Tokens:
             ids.append(np.delete(got, cut))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         ids, size = self.ask([c.decode() for c in chunks])
-        self.row.update(zip(chunks, range(len(self.size), len(self.size) + len(chunks))))
-        self.at = np.concatenate((self.at, len(self.pool) + np.cumsum(size) - size))
-        self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, ids))
+        raw, raw_size = np.frombuffer(b"".join(chunks), np.uint8), np.array(list(map(len, chunks)))
+        to = np.searchsorted(self.key, keys)
+        self.key = np.insert(self.key, to, keys)
+        self.at = np.insert(self.at, to, len(self.pool) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, to, size)
+        self.raw_at = np.insert(self.raw_at, to, len(self.raw) + np.cumsum(raw_size) - raw_size)
+        self.raw_size = np.insert(self.raw_size, to, raw_size)
+        self.used = np.insert(self.used, to, self.turn)
+        self.pool, self.raw = np.concatenate((self.pool, ids.astype(np.uint16))), np.concatenate((self.raw, raw))
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts in a row, and how many each has."""
-        parts = [t.encode().split() for t in texts]
-        flat = list(chain.from_iterable(parts))
-        if not flat:
+        self.turn += 1
+        parts = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join(parts), np.uint8)
+        text_end = np.cumsum([len(x) + 1 for x in parts]) - 1
+        hashes, start, end = word_hashes(raw, ~BLANK_BYTE[raw])
+        if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        different = dict.fromkeys(flat)
-        if len(self.row) and len(self.row) + len(different) > CACHE_CHUNKS:
+        keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        length = end - start
+        clash = not same_bytes(raw, start, length, raw, start[first][of], length[first][of])
+        if len(self.key) > CACHE_CHUNKS:
             self.forget()
-        if new := [c for c in different if c not in self.row]:
-            self.learn(new)
-        row = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
-        size = self.size[row]
-        ids = self.pool[spread(self.at[row], size)]
-        upto = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, parts)])]
-        return ids, np.diff(upto)
+        to = np.searchsorted(self.key, keys)
+        old = np.zeros(len(keys), bool) if not len(self.key) else self.key[np.minimum(to, len(self.key) - 1)] == keys
+        clash = clash or not same_bytes(raw, start[first[old]], length[first[old]], self.raw, self.raw_at[to[old]], self.raw_size[to[old]])
+        data = raw.tobytes()
+        if clash:
+            ids, size = self.ask([data[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        else:
+            if not old.all():
+                new = first[~old]
+                self.learn(keys[~old], [data[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+                to = np.searchsorted(self.key, keys)
+            self.used[to] = self.turn
+            size = self.size[to][of]
+            ids = self.pool[spread(self.at[to][of], size)].astype(np.uint32)
+        upto = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, text_end)]
+        return ids, np.diff(np.concatenate(([0], upto)))
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> bool:
+    """Whether all runs of a are those of b, byte for byte."""
+    return bool((a_size == b_size).all()) and bool((a[spread(a_at, a_size)] == b[spread(b_at, b_size)]).all())
 
 
 def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indexes of the runs that begin at at and have the sizes."""
-    end = np.cumsum(size)
+    end = np.cumsum(size, dtype=np.int64)
     return np.repeat(at - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
