@@ -256,7 +256,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     learnt.sort(key=lambda r: (r[1], len(r[0]), r[0][:64].tobytes()))
     model = ToxicityModel.fit(learnt, totals, sample_counts(docs, joined([h for h, _ in learnt])))
     del learnt, flat, got
-    pa.default_memory_pool().release_unused()  # the driver goes on without the training rows
+    release()  # the driver goes on without the training rows
     return model
 
 

@@ -20,11 +20,10 @@ repeated rows get equal scores; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, table
+from .common import filter_rows, map_rows, release, table
 from .hashing import BLANK_BYTE, as_bytes, gram_hashes, mix, word_hashes
 from .labelled import held_out, training_rows
 
@@ -106,7 +105,7 @@ class SubwordClassifier:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> SubwordClassifier:
     rows, totals = training_rows(docs, labels, label, per_class)
     model = SubwordClassifier.fit(counted(rows), totals)
-    pa.default_memory_pool().release_unused()  # the driver goes on without the training rows
+    release()  # the driver goes on without the training rows
     return model
 
 
