@@ -53,7 +53,7 @@ VOTES = ("shape", "gazetteer", "context", "variety", "length")
 #: Words that speak for and against personal data in the characters before a candidate.
 FOR = r"(?i)(mail|contact|phone|tel|call|mobile|fax|card|visa|iban|account|ssn|social|ip|host|addr|token|password|passwd|pwd|secret|key|login|user|bearer)[^\p{L}]{0,8}$"
 AGAINST = r"(?i)(version|license|licen[cs]ed|isbn|issn|page|fig|figure|table|section|chapter|build|release|commit|sha|checksum|hash)[^\p{L}]{0,4}$"
-ONE = "struct<s:int,e:int,v:string,left:string,right:string>"
+ONE = "struct<s:int,e:int,v:string,left:string,right:string,kind:string>"
 CANDIDATE = "struct<s:int,k:int,e:int,v:string,left:string,right:string,kind:string>"
 #: Code points of a piece of a text that is cut by places.
 PIECE_BITS = 12
@@ -61,14 +61,15 @@ PIECE = 1 << PIECE_BITS
 SPAN = "array<struct<s:int,k:int,e:int,kind:string>>"
 
 
-def located(zipped: Column) -> Column:
-    """Array of (s, e, v, left, right) from the zip of matches, gaps before and gaps after."""
+def located(items: Column) -> Column:
+    """Array of (s, e, v, left, right, kind) from the matches of all kinds in a row, each with the
+    gaps before and after it and whether it is its kind's first."""
     def step(at: Column, x: Column) -> tuple[Column, Column]:
-        s = at + F.length(x["gap"])
+        s = F.when(x["first"], F.lit(0)).otherwise(at) + F.length(x["gap"])
         e = s + F.length(x["v"])
-        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), F.right(x["gap"], F.lit(LEFT)).alias("left"), F.left(x["after"], F.lit(RIGHT)).alias("right")))
+        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"), F.right(x["gap"], F.lit(LEFT)).alias("left"), F.left(x["after"], F.lit(RIGHT)).alias("right"), x["kind"].alias("kind")))
 
-    return folded(F.filter(zipped, lambda x: x["v"].isNotNull()), 0, step, ONE)
+    return folded(items, 0, step, ONE)
 
 
 def clear_of(more: Column, base: Column) -> Column:
@@ -109,11 +110,18 @@ TESTS = {
 }
 
 
-def tested(kind: str, matches: Column, gaps: Column) -> Column:
-    zipped = F.arrays_zip(matches.alias("v"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps) + 1).alias("after"))
-    test = TESTS.get(kind, TESTS["email"])
-    found = F.filter(located(zipped), lambda x: test(x["v"]))
-    return F.transform(found, lambda x: F.struct(x["s"], x["e"], x["v"], x["left"], x["right"], F.lit(kind).alias("kind")))
+def matches(kind: str, found: Column, gaps: Column) -> Column:
+    """Array of (v, gap, after, first, kind) of one kind."""
+    zipped = F.arrays_zip(found.alias("v"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps) + 1).alias("after"))
+    return F.transform(F.filter(zipped, lambda x: x["v"].isNotNull()), lambda x, i: F.struct(x["v"], x["gap"], x["after"], (i == 0).alias("first"), F.lit(kind).alias("kind")))
+
+
+def passes(x: Column) -> Column:
+    """Whether a match passes the test of its kind."""
+    out = F.lit(True)
+    for kind, test in TESTS.items():
+        out = F.when(x["kind"] == kind, test(x["v"])).otherwise(out)
+    return out
 
 
 def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
@@ -128,9 +136,10 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
         parts = parts.withColumn(f"_v_{kind}", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     for kind, pattern in {**BASE, **EXTRA}.items():
         parts = parts.withColumn(f"_g_{kind}", F.when(F.size(f"_v_{kind}") > 0, F.split(text, pattern, -1)).otherwise(none))
-    for kind in KINDS:
-        parts = parts.withColumn(f"_f_{kind}", tested(kind, F.col(f"_v_{kind}"), F.col(f"_g_{kind}")))
-    parts = parts.withColumn("_base", F.concat(*(F.col(f"_f_{k}") for k in BASE))).withColumn("_more", F.concat(*(F.col(f"_f_{k}") for k in EXTRA)))
+    every = F.concat(*(matches(k, F.col(f"_v_{k}"), F.col(f"_g_{k}")) for k in KINDS))
+    parts = parts.withColumn("_found", F.filter(located(every), passes))
+    is_base = lambda x: x["kind"].isin(*BASE)
+    parts = parts.withColumn("_base", F.filter("_found", is_base)).withColumn("_more", F.filter("_found", lambda x: ~is_base(x)))
     return parts.withColumn("_extra", clear_of(F.col("_more"), F.col("_base"))).select(*docs.columns, "_base", "_extra")
 
 
