@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, folder: str, what: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_driver(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -105,6 +107,23 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_driver(spark: SparkSession) -> bool:
+    """Gives memory that the driver has freed back to the system, in Python and in the JVM, whose
+    many threads (planner, compiler, network) each leave freed blocks in a C heap of their own.
+    Whether the JVM did so: a JDK without that command (before 17.0.9) goes on as it is."""
+    release()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    try:
+        # by the interface's method, as the class of the server is closed to reflection
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: T.StructType | str, work: Callable) -> DataFrame:
     """work(chunk: RecordBatch) -> list of columns, run in Arrow batches on the chosen columns."""
 

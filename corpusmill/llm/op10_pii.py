@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded, let, table
+from .common import folded, let, release_driver, table
 
 #: Patterns of the base kinds.  Guards and possessive quantifiers keep them
 #: linear on long runs; they find the same matches as the plain patterns.
@@ -241,7 +241,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def fit_pii(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    return SpanModel(counted_votes(docs, text_col))
+    model = SpanModel(counted_votes(docs, text_col))
+    release_driver(docs.sparkSession)  # the same large plan is made once more
+    return model
 
 
 def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:

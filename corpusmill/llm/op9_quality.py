@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, release, table
+from .common import filter_rows, map_rows, release_driver, table
 from .hashing import BLANK_BYTE, as_bytes, gram_hashes, mix, word_hashes
 from .labelled import held_out, training_rows
 
@@ -105,7 +105,7 @@ class SubwordClassifier:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> SubwordClassifier:
     rows, totals = training_rows(docs, labels, label, per_class)
     model = SubwordClassifier.fit(counted(rows), totals)
-    release()  # the driver goes on without the training rows
+    release_driver(docs.sparkSession)  # which goes on without the training rows
     return model
 
 

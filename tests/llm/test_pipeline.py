@@ -1,10 +1,14 @@
 """The stages of the pipeline on a small table, each against brute force or its own rule."""
 
 import random
+import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusmill.llm.common import release_driver, stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,3 +76,32 @@ def test_stages_on_odd_documents(spark, tmp_path):
             assert out.columns == plain.replace(" long", "").replace(" string", "").split(", ")[:5]
         none = stage(spark, docs.limit(0), str(tmp_path))
         assert none.count() == 0 and none.columns == out.columns
+
+
+@pytest.mark.parametrize("through", ["stage", "stored"])
+def test_the_driver_gives_freed_memory_back(spark, through):
+    """Blocks that the JVM has freed between some that it still holds: the C heap keeps them by itself."""
+    if not release_driver(spark):
+        pytest.skip("this JDK can't be asked")
+    jvm = spark.sparkContext._jvm
+    path = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", path.read_text()))) / 1024
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)], DOCS)
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, size = field.get(None), 100_000
+    some = [unsafe.allocateMemory(size) for _ in range(1500)]
+    for x in some:
+        unsafe.setMemory(x, size, 1)
+    for k, x in enumerate(some):
+        if k % 10:
+            unsafe.freeMemory(x)
+    before = held()
+    if through == "stage":
+        corpus_pipeline.encoding(spark, docs, "")
+    else:
+        stored(docs, "small")
+    after = held()
+    for x in some[::10]:
+        unsafe.freeMemory(x)
+    assert before - after > 60, (before, after)
